@@ -1,0 +1,5 @@
+"""No streaming operators: the workload is bounded batch, so there is nothing to run as a stream.
+
+The package is kept so that the layout is complete. Row-level steps in ``functions`` are plain
+``DataFrame -> DataFrame`` transforms and hold no batch-only state.
+"""

@@ -9,13 +9,14 @@ also keeps a hot key from reaching the join as more than one row per group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleslens.functions.numeric import COUNT, margin_percent, price, published, rate
 
 ADDITIVE = (
     "quantity",
+    "discounted_units",
     "net_sales",
     "line_count",
     "revenue",
@@ -27,15 +28,25 @@ ADDITIVE = (
 )
 
 
+def discounted_units() -> Column:
+    """Units at full price that would earn the same: ``quantity * (1 - discount)``."""
+    return F.col("quantity").cast(COUNT) * (1 - rate(F.col("discount")))
+
+
 def with_net_sales(sales: DataFrame) -> DataFrame:
-    """``quantity * list_price * (1 - discount)``.
+    """``quantity * list_price * (1 - discount)``"""
+    return sales.withColumn("net_sales", discounted_units() * price(F.col("list_price")))
 
-    Linear in ``quantity``, so it also prices a frame pre-aggregated over rows that share a
-    price and a discount.
-    """
-    return sales.withColumn(
-        "net_sales",
-        F.col("quantity").cast(COUNT) * price(F.col("list_price")) * (1 - rate(F.col("discount"))),
+
+def with_discounted_units(sales: DataFrame) -> DataFrame:
+    """The part of net sales that does not need the price, and so can be summed before it is known."""
+    return sales.withColumn("discounted_units", discounted_units())
+
+
+def with_priced_units(by_product: DataFrame) -> DataFrame:
+    """Net sales of summed ``discounted_units`` that share one list price; exact in decimals."""
+    return by_product.withColumn(
+        "net_sales", F.col("discounted_units") * price(F.col("list_price"))
     )
 
 

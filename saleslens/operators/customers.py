@@ -17,16 +17,18 @@ MIN_CUSTOMERS = 2
 DRAFT_MIN_CUSTOMERS = 10
 
 
-def rows_per_customer(sales: DataFrame) -> DataFrame:
-    """``lines``: fact rows of the customer; ``order_rows``: those of them that name an order."""
+def rows_per_customer(sales: DataFrame, *places: str) -> DataFrame:
+    """``lines``: fact rows of the customer; ``order_rows``: those of them that name an order.
+
+    ``places`` are columns of the sales that say where the customer lives, kept beside the key.
+    """
+    named = F.when(F.col("order_id").isNotNull(), F.col("line_count"))
     return (
         with_known(sales, "customer_id")
-        .groupBy("customer_id")
+        .groupBy("customer_id", *places)
         .agg(
             F.sum("line_count").alias("lines"),
-            F.coalesce(
-                F.sum(F.when(F.col("order_id").isNotNull(), F.col("line_count"))), F.lit(0)
-            ).alias("order_rows"),
+            F.coalesce(F.sum(named), F.lit(0)).alias("order_rows"),
         )
     )
 
@@ -112,17 +114,19 @@ def top_by_repeat_rate(
     return enough.orderBy(F.desc("repeat_rate"), place).limit(n)
 
 
-def largest_place(*by_places: DataFrame) -> DataFrame:
-    """Customers of the largest place over all frames, at least 1."""
-    sizes = None
-    for by_place in by_places:
-        column = by_place.select("customers")
-        sizes = column if sizes is None else sizes.unionByName(column)
-    return sizes.agg(
-        F.greatest(F.lit(1).cast("bigint"), F.coalesce(F.max("customers"), F.lit(1))).alias(
-            "max_cust"
-        )
+def largest_place(per_customer: DataFrame, *places: str) -> DataFrame:
+    """Customers of the largest place of any kind (city, state), at least 1.
+
+    Each customer counts once for every kind of place it has, so the frame is read once.
+    """
+    kinds = F.array(*[F.struct(F.lit(p).alias("kind"), F.col(p).alias("place")) for p in places])
+    sizes = (
+        with_known(per_customer.select("customer_id", F.inline(kinds)), "place")
+        .groupBy("kind", "place")
+        .agg(F.count_distinct("customer_id").alias("customers"))
     )
+    largest = F.coalesce(F.max("customers"), F.lit(1).cast("bigint"))
+    return sizes.agg(F.greatest(F.lit(1).cast("bigint"), largest).alias("max_cust"))
 
 
 def with_default_threshold(largest: DataFrame) -> DataFrame:

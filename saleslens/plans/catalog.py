@@ -354,12 +354,12 @@ def brand_category_rollup(data: Retail) -> DataFrame:
 
 @query
 def discount_effect_left(data: Retail) -> DataFrame:
-    return sales.discount_effect(frames.product_sales(data), LEFT_CLOSED)
+    return sales.discount_effect(frames.priced_lines(data), LEFT_CLOSED)
 
 
 @query
 def discount_effect_right(data: Retail) -> DataFrame:
-    return sales.discount_effect(frames.product_sales(data), RIGHT_CLOSED)
+    return sales.discount_effect(frames.priced_lines(data), RIGHT_CLOSED)
 
 
 @query
@@ -418,7 +418,9 @@ def top_states_repeat(data: Retail) -> DataFrame:
 
 
 def _largest_place(data: Retail) -> DataFrame:
-    return customers.largest_place(repeat_by_city_orders(data), repeat_by_state_orders(data))
+    return customers.largest_place(
+        frames.customer_orders(data), "customer_city", "customer_state"
+    )
 
 
 @query

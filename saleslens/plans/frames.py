@@ -2,8 +2,8 @@
 
 Which side of a join gets shrunk first decides what these reports cost at scale:
 
-* By product and discount the price is constant, so quantities are summed before the part is
-  joined; the fact leaves its scan as (product, discount) rows and a hot product is a few of them.
+* By product the price is constant, so discounted units are summed before the part is joined:
+  the fact is shuffled once, already combined, and a hot product is one row per scan task.
 * By order, lines are summed before the order is joined; the join is one row to one row, and
   because it leaves the rows partitioned by order, the distinct orders of a period need no
   shuffle of their own.
@@ -17,7 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslens.functions.measures import to_grain, with_net_sales
+from saleslens.functions.measures import (
+    to_grain,
+    with_discounted_units,
+    with_net_sales,
+    with_priced_units,
+)
 from saleslens.functions.periods import with_period_columns, with_ship_lag
 from saleslens.operators import cube, customers, enrich, shipping
 from saleslens.sources.retail import Retail
@@ -44,11 +49,13 @@ def period_sales(data: Retail) -> DataFrame:
 
 
 def product_sales(data: Retail) -> DataFrame:
-    """One row per product and discount, with the product's names and net sales."""
-    units = data.lines().select("product_id", "discount", "quantity", "line_count")
-    grained = to_grain(units, "product_id", "discount")
+    """One row per product, with its names and net sales."""
+    units = with_discounted_units(data.lines()).select(
+        "product_id", "quantity", "discounted_units"
+    )
     products = data.products().drop("brand_id", "category_id")
-    return with_net_sales(grained.join(products, "product_id", "left"))
+    by_product = to_grain(units, "product_id").join(products, "product_id", "left")
+    return with_priced_units(by_product)
 
 
 def staff_sales(data: Retail) -> DataFrame:

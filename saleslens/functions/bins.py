@@ -3,32 +3,28 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.functions.numeric import rate
-
 
 @dataclass(frozen=True)
 class Bins:
     """Consecutive ranges between ``edges``, closed on one side only."""
 
-    edges: tuple[str, ...]
+    edges: tuple[float, ...]
     labels: tuple[str, ...]
     closed: str
 
     def ordinal(self, value: Column) -> Column:
         """Position of the bin that holds ``value``; null outside all of them."""
-        exact = rate(value)
+        stored = value.cast("double")
         found = None
         for position, (low, high) in enumerate(zip(self.edges, self.edges[1:])):
-            low_edge, high_edge = F.lit(Decimal(low)), F.lit(Decimal(high))
             if self.closed == "left":
-                inside = (exact >= low_edge) & (exact < high_edge)
+                inside = (stored >= low) & (stored < high)
             else:
-                inside = (exact > low_edge) & (exact <= high_edge)
+                inside = (stored > low) & (stored <= high)
             found = F.when(inside, position) if found is None else found.when(inside, position)
         return found
 
@@ -42,12 +38,12 @@ class Bins:
 
 # The discount ranges of the two discount reports.
 LEFT_CLOSED = Bins(
-    edges=("0", "0.05", "0.10", "0.15", "0.20", "0.25", "1.0"),
+    edges=(0.0, 0.05, 0.10, 0.15, 0.20, 0.25, 1.0),
     labels=("0-5%", "5-10%", "10-15%", "15-20%", "20-25%", "25%+"),
     closed="left",
 )
 RIGHT_CLOSED = Bins(
-    edges=("-0.01", "0.05", "0.10", "0.15", "0.20"),
+    edges=(-0.01, 0.05, 0.10, 0.15, 0.20),
     labels=("0-5%", "5-10%", "10-15%", "15-20%"),
     closed="right",
 )

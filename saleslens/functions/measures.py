@@ -12,7 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleslens.functions.numeric import COUNT, margin_percent, price, published, rate
+from saleslens.functions.numeric import (
+    exact,
+    margin_percent,
+    number,
+    row_amount,
+    whole_micros,
+)
 
 ADDITIVE = (
     "quantity",
@@ -28,25 +34,27 @@ ADDITIVE = (
 )
 
 
-def discounted_units() -> Column:
-    """Units at full price that would earn the same: ``quantity * (1 - discount)``."""
-    return F.col("quantity").cast(COUNT) * (1 - rate(F.col("discount")))
+def _undiscounted() -> Column:
+    return number("quantity") * (1 - number("discount"))
 
 
 def with_net_sales(sales: DataFrame) -> DataFrame:
-    """``quantity * list_price * (1 - discount)``"""
-    return sales.withColumn("net_sales", discounted_units() * price(F.col("list_price")))
+    """``quantity * list_price * (1 - discount)``, in millionths"""
+    amount = number("quantity") * number("list_price") * (1 - number("discount"))
+    return sales.withColumn("net_sales", exact(whole_micros(amount)))
 
 
 def with_discounted_units(sales: DataFrame) -> DataFrame:
-    """The part of net sales that does not need the price, and so can be summed before it is known."""
-    return sales.withColumn("discounted_units", discounted_units())
+    """``quantity * (1 - discount)``, in millionths: the part of net sales that does not need the
+    price, and so can be summed before it is known."""
+    return sales.withColumn("discounted_units", exact(whole_micros(_undiscounted())))
 
 
 def with_priced_units(by_product: DataFrame) -> DataFrame:
     """Net sales of summed ``discounted_units`` that share one list price; exact in decimals."""
+    unit_price = F.col("list_price").cast("decimal(12,2)")
     return by_product.withColumn(
-        "net_sales", F.col("discounted_units") * price(F.col("list_price"))
+        "net_sales", (F.col("discounted_units") * unit_price).cast("decimal(38,0)")
     )
 
 
@@ -63,32 +71,35 @@ def to_grain(sales: DataFrame, *keys: str) -> DataFrame:
     return sales.groupBy(*keys).agg(*measures)
 
 
+def with_revenue(fact: DataFrame) -> DataFrame:
+    """Net amount in millionths, for reports that need no other cube amount."""
+    return fact.withColumn("revenue", exact(whole_micros(number("net_amount"))))
+
+
 def with_cube_amounts(cube: DataFrame, unit_cost: str, *extras: str) -> DataFrame:
-    """Amounts of the sales cube.
+    """Amounts of the sales cube, in millionths.
 
     ``unit_cost`` is the product column a unit costs; ``extras`` are the charges that join the
     net amount in ``order_value``. Missing costs and charges count as 0.
     """
-    net = F.col("net_amount")
+    zero = F.lit(0.0)
+    net, gross = whole_micros(number("net_amount")), whole_micros(number("gross_amount"))
+    cost = whole_micros(number("quantity") * F.coalesce(number(unit_cost), zero))
     order_value = net
     for extra in extras:
-        order_value = order_value + F.coalesce(F.col(extra), F.lit(0))
-    return (
-        cube.withColumn("revenue", net)
-        .withColumn("gross_revenue", F.col("gross_amount"))
-        .withColumn("discount_amount", F.col("gross_amount") - net)
-        .withColumn(
-            "total_cost",
-            F.col("quantity").cast(COUNT) * F.coalesce(price(F.col(unit_cost)), F.lit(0)),
-        )
-        .withColumn("profit", net - F.col("total_cost"))
-        .withColumn("order_value", order_value)
-    )
+        order_value = order_value + whole_micros(F.coalesce(number(extra), zero))
+    amounts = {
+        "revenue": net,
+        "gross_revenue": gross,
+        "discount_amount": gross - net,
+        "total_cost": cost,
+        "profit": net - cost,
+        "order_value": order_value,
+    }
+    return cube.withColumns({name: exact(micros) for name, micros in amounts.items()})
 
 
 def with_margin(cube: DataFrame) -> DataFrame:
     """Margin of each row; not additive, so it is only defined on fact rows."""
-    return cube.withColumn(
-        "profit_margin",
-        margin_percent(published(F.col("profit")), published(F.col("net_amount"))),
-    )
+    profit, net = row_amount(F.col("profit")), row_amount(F.col("revenue"))
+    return cube.withColumn("profit_margin", margin_percent(profit, net))

@@ -1,30 +1,44 @@
 """Arithmetic with the null, zero and rounding rules every report shares.
 
-Money is computed in decimals, so that a sum does not depend on the order in which a cluster
-adds its rows, and is published as a double.
+Amounts of single sales are multiplied as doubles and then snapped to whole millionths, which
+recovers the exact product of a price in cents and rates in percent. From there they are integers
+in a decimal type: sums cannot depend on the order in which a cluster adds its rows, and a total
+is turned back into a double once, when it is published.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PRICE = "decimal(12,2)"
-RATE = "decimal(4,2)"
-COUNT = "decimal(15,0)"
+MICROS = 1_000_000
+
+
+def number(name: str) -> Column:
+    """A stored number as a double; an undefined one counts as missing."""
+    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+
+
+def whole_micros(amount: Column) -> Column:
+    """An amount of one sale as a whole number of millionths."""
+    return F.rint(amount * MICROS).cast("bigint")
 
 
-def price(column: Column) -> Column:
-    return column.cast(PRICE)
+def exact(micros: Column) -> Column:
+    """Millionths in the type they are summed in; their sums get ten digits more."""
+    return micros.cast("decimal(18,0)")
 
 
-def rate(column: Column) -> Column:
-    return column.cast(RATE)
+def published(total_micros: Column) -> Column:
+    """A total of millionths as the amount a report shows."""
+    return (total_micros * F.lit(Decimal("0.000001"))).cast("double")
 
 
-def published(column: Column) -> Column:
-    """Decimal total as the double a report shows."""
-    return column.cast("double")
+def row_amount(micros: Column) -> Column:
+    """Millionths of one sale as an amount."""
+    return micros.cast("double") / MICROS
 
 
 def total(name: str) -> Column:

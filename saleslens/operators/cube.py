@@ -162,7 +162,9 @@ def cube_kpi(cube: DataFrame) -> DataFrame:
         published(total("revenue")).alias("total_revenue"),
         published(total("profit")).alias("total_profit"),
         F.count_distinct("sale_id").alias("total_orders"),
-        six_places(ratio(F.sum("order_value"), F.count("order_value"))).alias("avg_order_value"),
+        six_places(
+            ratio(published(F.sum("order_value")), F.count("order_value"))
+        ).alias("avg_order_value"),
         six_places(F.coalesce(F.avg("profit_margin"), F.lit(0.0))).alias("profit_margin"),
         total("quantity").cast("bigint").alias("total_quantity"),
     )

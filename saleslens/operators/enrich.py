@@ -13,9 +13,12 @@ DIMENSIONS = ("product", "store", "customer")
 
 
 def product_dimension(
-    products: DataFrame, categories: DataFrame | None = None, brands: DataFrame | None = None
+    products: DataFrame,
+    categories: DataFrame | None = None,
+    brands: DataFrame | None = None,
+    *extras: str,
 ) -> DataFrame:
-    """Products with their category and brand names.
+    """Products with their category and brand names, and the product columns in ``extras``.
 
     The snowflake is folded on the product side, once per product rather than once per sale.
     Products that already carry the names pass through unchanged.
@@ -25,7 +28,7 @@ def product_dimension(
         wide = wide.join(categories.select("category_id", "category_name"), "category_id", "left")
     if "brand_name" not in wide.columns and brands is not None:
         wide = wide.join(brands.select("brand_id", "brand_name"), "brand_id", "left")
-    names = ("product_id", "product_name", "category_name", "brand_name")
+    names = ("product_id", "product_name", "category_name", "brand_name", *extras)
     return wide.select([name for name in names if name in wide.columns])
 
 

@@ -21,19 +21,11 @@ def filter_options(columns: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def table_preview(
-    tables: dict[str, tuple[DataFrame, tuple[str, ...]]], n: int = PREVIEW_ROWS
-) -> DataFrame:
-    """The first ``n`` rows of each table, as text, in the order of the named columns."""
+def table_preview(tables: dict[str, DataFrame], n: int = PREVIEW_ROWS) -> DataFrame:
+    """The first ``n`` rows of each table, as text, ordered by its columns from the left."""
     parts = []
-    for name, (df, order) in tables.items():
-        rows = df.withColumn(
-            "record",
-            F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns]),
-        )
-        parts.append(
-            rows.orderBy(*order, "record")
-            .limit(n)
-            .select(F.lit(name).alias("table_name"), "record")
-        )
-    return reduce(DataFrame.unionByName, parts)
+    for name, df in tables.items():
+        head = df.orderBy(*df.columns).limit(n)
+        record = [F.coalesce(F.col(column).cast("string"), F.lit("-")) for column in df.columns]
+        parts.append(head.select(F.lit(name).alias("table_name"), F.concat_ws("|", *record)))
+    return reduce(DataFrame.unionByName, [part.toDF("table_name", "record") for part in parts])

@@ -22,12 +22,12 @@ TOP_PRODUCTS = 10
 def sales_kpi(sales: DataFrame) -> DataFrame:
     """Total sales, distinct orders and customers, and sales per order."""
     counted = sales.agg(
-        total("net_sales").alias("total_sales"),
+        published(total("net_sales")).alias("total_sales"),
         F.count_distinct("order_id").alias("orders"),
         F.count_distinct("customer_id").alias("customers"),
     )
     return counted.select(
-        published(F.col("total_sales")).alias("total_sales"),
+        "total_sales",
         "orders",
         "customers",
         six_places(ratio(F.col("total_sales"), F.col("orders"))).alias("aov"),
@@ -75,14 +75,14 @@ def top_products(
 
     Keyed by name alone, products that share a name count as one.
     """
-    kind = "bigint" if measure == "quantity" else "double"
+    shown = F.col(measure).cast("bigint") if measure == "quantity" else published(F.col(measure))
     return (
         with_known(sales, *keys)
         .groupBy(*keys)
         .agg(total(measure).alias(measure))
         .orderBy(F.desc(measure), *keys)
         .limit(n)
-        .withColumn(measure, F.col(measure).cast(kind))
+        .withColumn(measure, shown)
     )
 
 

@@ -55,7 +55,7 @@ def staff_kpi(sales: DataFrame, staffs: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("net_sales", F.lit(None).cast(sold.schema["net_sales"].dataType))
     )
-    mean = six_places(ratio(F.sum("net_sales"), F.count("net_sales")))
+    mean = six_places(ratio(published(F.sum("net_sales")), F.count("net_sales")))
     return (
         sold.unionByName(listed)
         .agg(F.count("member").alias("total_staffs"), mean.alias("avg_sales_per_staff"))

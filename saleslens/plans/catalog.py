@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from saleslens.functions import display
 from saleslens.functions.bins import LEFT_CLOSED, RIGHT_CLOSED
-from saleslens.functions.numeric import published, ratio
+from saleslens.functions.numeric import published, ratio, row_amount, total
 from saleslens.functions.periods import with_period_columns
-from saleslens.operators import cube, customers, filters, options, sales, shipping, staff
+from saleslens.operators import cube, customers, enrich, filters, options, sales, shipping, staff
 from saleslens.plans import frames
 from saleslens.sources.retail import Retail
 
@@ -35,8 +35,8 @@ def query(build: Callable[[Retail], DataFrame]) -> Callable[[Retail], DataFrame]
     return build
 
 
-def _published(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({name: published(F.col(name)) for name in names})
+def _amounts(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({name: row_amount(F.col(name)) for name in names})
 
 
 # Row-level columns
@@ -47,13 +47,14 @@ def net_sales_rows(data: Retail) -> DataFrame:
     rows = frames.priced_lines(data).select(
         "sale_id", "product_id", "quantity", "list_price", "discount", "net_sales"
     )
-    return _published(rows, "list_price", "discount", "net_sales")
+    return _amounts(rows, "net_sales")
 
 
 @query
 def period_columns(data: Retail) -> DataFrame:
-    rows = data.lines().join(data.orders(), "order_id", "left")
-    return with_period_columns(rows).select("sale_id", "year", "quarter", "month", "date")
+    dated = with_period_columns(data.orders())
+    rows = data.lines().join(dated, "order_id", "left")
+    return rows.select("sale_id", "year", "quarter", "month", "date")
 
 
 @query
@@ -73,7 +74,7 @@ AMOUNTS = (
 
 def _measures(costed: DataFrame) -> DataFrame:
     rows = cube.with_margin(costed).select("sale_id", *AMOUNTS, "profit_margin")
-    return _published(rows, *AMOUNTS).withColumn("profit_margin", F.round("profit_margin", 6))
+    return _amounts(rows, *AMOUNTS).withColumn("profit_margin", F.round("profit_margin", 6))
 
 
 @query
@@ -116,7 +117,12 @@ def star_enriched(data: Retail) -> DataFrame:
         "customer_city",
         "customer_state",
     )
-    return _published(rows, "net_sales")
+    return _amounts(rows, "net_sales")
+
+
+@query
+def snowflake_products(data: Retail) -> DataFrame:
+    return enrich.product_dimension(data.snowflake_products(), data.categories(), data.brands())
 
 
 @query
@@ -140,7 +146,7 @@ def cube_b(data: Retail) -> DataFrame:
         *AMOUNTS,
         F.round("profit_margin", 6).alias("profit_margin"),
     )
-    return _published(rows, *AMOUNTS)
+    return _amounts(rows, *AMOUNTS)
 
 
 @query
@@ -163,7 +169,7 @@ def cube_a(data: Retail) -> DataFrame:
         *AMOUNTS,
         F.round("profit_margin", 6).alias("profit_margin"),
     )
-    return _published(rows, *AMOUNTS)
+    return _amounts(rows, *AMOUNTS)
 
 
 # Filters
@@ -178,7 +184,7 @@ def sales_in_range(data: Retail) -> DataFrame:
         F.col("order_date").cast("date").alias("order_date"),
         "net_sales",
     )
-    return _published(rows, "net_sales")
+    return _amounts(rows, "net_sales")
 
 
 @query
@@ -186,7 +192,7 @@ def sales_by_lists(data: Retail) -> DataFrame:
     rows = LISTS.apply(frames.listed_lines(data)).select(
         "sale_id", "store_name", "brand_name", "category_name", "quantity", "net_sales"
     )
-    return _published(rows, "net_sales")
+    return _amounts(rows, "net_sales")
 
 
 @query
@@ -194,7 +200,7 @@ def cube_slice(data: Retail) -> DataFrame:
     rows = filters.slice_cube(frames.warehouse_rows(data), **SLICE).select(
         "sale_id", *TIME_KEYS, "city_customer", "category_product", "revenue", "profit"
     )
-    return _published(rows, "revenue", "profit")
+    return _amounts(rows, "revenue", "profit")
 
 
 @query
@@ -248,14 +254,14 @@ def table_preview(data: Retail) -> DataFrame:
     )
     return options.table_preview(
         {
-            "dim_customers": (data.customers(), ("customer_id",)),
-            "dim_date": (data.dates(), ("date_key",)),
-            "dim_staffs": (data.staffs(), ("staff_id",)),
-            "dim_products": (products, ("product_id",)),
-            "dim_brands": (data.brands(), ("brand_id",)),
-            "dim_categories": (data.categories().select("category_name"), ("category_name",)),
-            "dim_stores": (data.stores(), ("store_id",)),
-            "fact_sales": (facts, ("sale_id",)),
+            "dim_customers": data.customers(),
+            "dim_date": data.dates(),
+            "dim_staffs": data.staffs(),
+            "dim_products": products,
+            "dim_brands": data.brands(),
+            "dim_categories": data.categories().select("category_name"),
+            "dim_stores": data.stores(),
+            "fact_sales": facts,
         }
     )
 
@@ -272,7 +278,7 @@ def sales_kpi(data: Retail) -> DataFrame:
 def kpi_display(data: Retail) -> DataFrame:
     sold = frames.order_sales(data)
     figures = sold.agg(
-        F.coalesce(F.sum("net_sales"), F.lit(0)).alias("total_sales"),
+        published(total("net_sales")).alias("total_sales"),
         F.count_distinct("order_id").alias("orders"),
         F.count_distinct("customer_id").alias("customers"),
         F.min("order_date").alias("first_day"),

@@ -22,6 +22,7 @@ from saleslens.functions.measures import (
     with_discounted_units,
     with_net_sales,
     with_priced_units,
+    with_revenue,
 )
 from saleslens.functions.periods import with_period_columns, with_ship_lag
 from saleslens.operators import cube, customers, enrich, shipping
@@ -108,26 +109,27 @@ def store_shipping(data: Retail) -> DataFrame:
     return totals.join(data.staff_stores(), "staff_id", "left")
 
 
+def _named_lines(data: Retail, product_dim: DataFrame) -> DataFrame:
+    """Fact rows priced and named by one join with the product."""
+    return with_net_sales(enrich.with_products(data.lines(), product_dim))
+
+
 def enriched_lines(data: Retail) -> DataFrame:
     """Fact rows with every dimension of the sales page.
 
     The customer is joined to the orders, not to their lines: the same result with a quarter of
     the rows to move.
     """
+    product_dim = enrich.product_dimension(data.products(), None, None, "list_price")
     headers = enrich.with_customer_geo(data.orders(), data.customers())
-    lines = priced_lines(data).join(headers, "order_id", "left")
-    product_dim = enrich.product_dimension(
-        data.snowflake_products(), data.categories(), data.brands()
-    )
-    lines = enrich.with_products(lines, product_dim)
+    lines = _named_lines(data, product_dim).join(headers, "order_id", "left")
     return lines.join(data.staff_stores(), "staff_id", "left")
 
 
 def listed_lines(data: Retail) -> DataFrame:
     """Priced fact rows with the names that the list filters test."""
-    product_dim = enrich.product_dimension(data.products())
-    lines = enrich.with_products(priced_lines(data), product_dim)
-    return lines.join(data.staff_stores(), "staff_id", "left")
+    product_dim = enrich.product_dimension(data.products(), None, None, "list_price")
+    return _named_lines(data, product_dim).join(data.staff_stores(), "staff_id", "left")
 
 
 # Cube over the general sales warehouse.
@@ -147,12 +149,12 @@ def warehouse_headers(data: Retail) -> DataFrame:
 
 def warehouse_by_product(data: Retail) -> DataFrame:
     """Cube revenue, one row per product."""
-    lines = data.warehouse_lines().select("product_key", F.col("net_amount").alias("revenue"))
+    lines = with_revenue(data.warehouse_lines()).select("product_key", "revenue")
     return cube.with_warehouse_product(to_grain(lines, "product_key"), data.warehouse_products())
 
 
 def _by_customer(data: Retail) -> DataFrame:
-    lines = data.lines().select("order_id", F.col("net_amount").alias("revenue"))
+    lines = with_revenue(data.lines()).select("order_id", "revenue")
     orders = to_grain(lines, "order_id").join(data.orders(), "order_id", "left")
     return to_grain(orders, "customer_id")
 
@@ -192,12 +194,8 @@ def warehouse_places(data: Retail) -> DataFrame:
 # Cube over the bike shop.
 
 
-def shop_product_part(data: Retail) -> DataFrame:
-    return cube.shop_product(data.snowflake_products(), data.brands(), data.categories())
-
-
-def flat_shop_product(data: Retail) -> DataFrame:
-    """Products under the cube's names, with the category name they already carry."""
+def shop_products(data: Retail) -> DataFrame:
+    """Products under the cube's names, with the brand and category names they already carry."""
     return data.products().select(
         F.col("product_id").alias("product_id_product"),
         F.col("product_name").alias("product_name_product"),
@@ -208,13 +206,13 @@ def flat_shop_product(data: Retail) -> DataFrame:
 
 
 def shop_costed(data: Retail) -> DataFrame:
-    wide = cube.with_shop_product(data.lines(), flat_shop_product(data))
+    wide = cube.with_shop_product(data.lines(), shop_products(data))
     return cube.with_shop_measures(wide)
 
 
 def shop_by_product(data: Retail) -> DataFrame:
-    lines = data.lines().select("product_id", F.col("net_amount").alias("revenue"))
-    return cube.with_shop_product(to_grain(lines, "product_id"), flat_shop_product(data))
+    lines = with_revenue(data.lines()).select("product_id", "revenue")
+    return cube.with_shop_product(to_grain(lines, "product_id"), shop_products(data))
 
 
 def shop_by_customer(data: Retail) -> DataFrame:
@@ -233,8 +231,7 @@ def shop_headers(data: Retail) -> DataFrame:
 
 def shop_rows(data: Retail) -> DataFrame:
     """The whole cube, one row per sale."""
-    wide = cube.with_shop_product(data.lines(), shop_product_part(data))
-    wide = cube.with_shop_measures(wide).join(shop_headers(data), "order_id", "left")
+    wide = shop_costed(data).join(shop_headers(data), "order_id", "left")
     wide = cube.with_shop_staff(wide, data.staffs())
     stores = data.stores().select(
         F.col("store_id").alias("store_id_store"), F.col("store_name").alias("store_name_store")

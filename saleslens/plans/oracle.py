@@ -247,12 +247,12 @@ def _summary(category: str, city: str) -> str:
     )
 
 
-def _first_rows(table: str, order: str, columns: list[str], source: str) -> str:
+def _first_rows(table: str, columns: list[str], source: str) -> str:
     record = " || '|' || ".join(f"coalesce(CAST({column} AS VARCHAR), '-')" for column in columns)
+    order = ", ".join(columns)
     return f"""
-      (SELECT '{table}' AS table_name, record
-       FROM (SELECT {order} AS position, {record} AS record FROM {source}) t
-       ORDER BY position, record LIMIT 5)"""
+      (SELECT '{table}' AS table_name, {record} AS record FROM {source}
+       ORDER BY {order} LIMIT 5)"""
 
 
 PREVIEW = _sales(
@@ -260,51 +260,46 @@ PREVIEW = _sales(
         [
             _first_rows(
                 "dim_customers",
-                "c_custkey",
                 ["c_custkey", "c_name", "n_name || ' ' || c_mktsegment", "n_name"],
                 "customer LEFT JOIN nation ON c_nationkey = n_nationkey",
             ),
             _first_rows(
                 "dim_date",
-                "d",
                 ["d", "year(d)", "quarter(d)", "month(d)", "monthname(d)"],
                 "(SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) x",
             ),
             _first_rows(
-                "dim_staffs", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey"], "supplier"
+                "dim_staffs", ["s_suppkey", "s_name", "s_nationkey"], "supplier"
             ),
             _first_rows(
                 "dim_products",
-                "p_partkey",
                 [
                     "p_partkey",
                     "p_name",
                     "CAST(split_part(p_brand, '#', 2) AS INTEGER)",
-                    "CAST(p_retailprice AS DECIMAL(12,2))",
+                    "p_retailprice",
                 ],
                 "part",
             ),
             _first_rows(
                 "dim_brands",
-                "CAST(split_part(p_brand, '#', 2) AS INTEGER)",
                 ["CAST(split_part(p_brand, '#', 2) AS INTEGER)", "p_brand"],
                 "(SELECT DISTINCT p_brand FROM part) x",
             ),
             _first_rows(
-                "dim_categories", "p_type", ["p_type"], "(SELECT DISTINCT p_type FROM part) x"
+                "dim_categories", ["p_type"], "(SELECT DISTINCT p_type FROM part) x"
             ),
-            _first_rows("dim_stores", "n_nationkey", ["n_nationkey", "n_name"], "nation"),
+            _first_rows("dim_stores", ["n_nationkey", "n_name"], "nation"),
             _first_rows(
                 "fact_sales",
-                "sale_id",
                 [
                     "sale_id",
                     "order_id",
                     "product_id",
                     "staff_id",
                     "quantity",
-                    "discount",
-                    "gross_amount",
+                    "CAST(discount AS DOUBLE)",
+                    "CAST(gross_amount AS DOUBLE)",
                     "shipped_date",
                 ],
                 "sales",
@@ -336,6 +331,9 @@ ORACLE: dict[str, str] = {
                {_dbl('net_sales')} AS net_sales, product_name, category_name, brand_name,
                store_name, customer_city, customer_state FROM sales"""
     ),
+    "snowflake_products": """
+        SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category_name,
+               p_brand AS brand_name FROM part""",
     "cube_b": _cube(
         f"""SELECT sale_id, order_date AS order_date_key, customer_id AS customer_key,
                staff_id AS employee_key, product_id AS product_key, quantity, month_name_date,

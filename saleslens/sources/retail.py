@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.functions.measures import with_line_count
-from saleslens.functions.numeric import price, rate
 from saleslens.sources.parquet import open_table
 
 
@@ -26,24 +25,19 @@ class Retail:
 
     def lines(self) -> DataFrame:
         """Sales without what the order or the part know about them."""
-        net = F.col("gross_amount") * (1 - F.col("discount"))
-        lines = (
-            self._table("lineitem")
-            .select(
-                (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sale_id"),
-                F.col("l_orderkey").alias("order_id"),
-                F.col("l_partkey").alias("product_id"),
-                F.col("l_suppkey").alias("staff_id"),
-                F.col("l_quantity").cast("int").alias("quantity"),
-                rate(F.col("l_discount")).alias("discount"),
-                F.col("l_shipdate").alias("shipped_date"),
-                F.col("l_extendedprice").cast("decimal(14,2)").alias("gross_amount"),
-                rate(F.col("l_tax")).alias("tax_rate"),
-            )
-            .withColumn("net_amount", net.cast("decimal(16,4)"))
-            .withColumn("taxes", (F.col("net_amount") * F.col("tax_rate")).cast("decimal(18,6)"))
-            .withColumn("shipping_fee", F.lit(None).cast("decimal(12,2)"))
-            .drop("tax_rate")
+        net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+        lines = self._table("lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sale_id"),
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("l_suppkey").alias("staff_id"),
+            F.col("l_quantity").cast("int").alias("quantity"),
+            F.col("l_discount").alias("discount"),
+            F.col("l_shipdate").alias("shipped_date"),
+            F.col("l_extendedprice").alias("gross_amount"),
+            net.alias("net_amount"),
+            (net * F.col("l_tax")).alias("taxes"),
+            F.lit(None).cast("double").alias("shipping_fee"),
         )
         return with_line_count(lines)
 
@@ -68,7 +62,7 @@ class Retail:
             F.col("p_name").alias("product_name"),
             F.substring_index("p_brand", "#", -1).cast("int").alias("brand_id"),
             F.xxhash64("p_type").alias("category_id"),
-            price(F.col("p_retailprice")).alias("list_price"),
+            F.col("p_retailprice").alias("list_price"),
             F.col("p_brand").alias("brand_name"),
             F.col("p_type").alias("category_name"),
         )

@@ -22,7 +22,7 @@ def test_every_query_has_a_twin():
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_matches_its_twin(spark, con, name):
     mine = contract.queries()[name](spark, SF_DIR).toArrow()
-    theirs = con.execute(contract.oracle_sql()[name]).to_arrow_table()
+    theirs = con.sql(contract.oracle_sql()[name]).to_arrow_table()
     assert mine.num_rows > 0
     assert differences(mine, theirs) == []
 

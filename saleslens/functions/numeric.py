@@ -9,6 +9,7 @@ is turned back into a double once, when it is published.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,4 @@ def margin_percent(profit: Column, net: Column) -> Column:
 
 def with_known(df: DataFrame, *keys: str) -> DataFrame:
     """Rows whose group keys are all present; a missing key never forms a group."""
-    for key in keys:
-        df = df.filter(F.col(key).isNotNull())
-    return df
+    return df.filter(reduce(Column.__and__, [F.col(key).isNotNull() for key in keys]))

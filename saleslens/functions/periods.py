@@ -25,11 +25,13 @@ def quarter_key(day: Column) -> Column:
 def with_period_columns(sales: DataFrame) -> DataFrame:
     """``year``, ``quarter``, ``month`` and ``date`` of ``order_date``."""
     day = F.col("order_date").cast("date")
-    return (
-        sales.withColumn("year", F.year(day))
-        .withColumn("quarter", quarter_key(day))
-        .withColumn("month", month_key(day))
-        .withColumn("date", day)
+    return sales.withColumns(
+        {
+            "year": F.year(day),
+            "quarter": quarter_key(day),
+            "month": month_key(day),
+            "date": day,
+        }
     )
 
 
@@ -38,14 +40,14 @@ def with_time_hierarchy(cube: DataFrame) -> DataFrame:
     year, quarter, month = (
         F.col(name).cast("int") for name in ("year_date", "quarter_date", "month_date")
     )
-    return (
-        cube.withColumn("year_date", year)
-        .withColumn("quarter_date", quarter)
-        .withColumn("month_date", month)
-        .withColumn("year_month", F.concat(year.cast("string"), F.lit("-"), two_digits(month)))
-        .withColumn(
-            "year_quarter", F.concat(year.cast("string"), F.lit("-Q"), quarter.cast("string"))
-        )
+    return cube.withColumns(
+        {
+            "year_date": year,
+            "quarter_date": quarter,
+            "month_date": month,
+            "year_month": F.concat(year.cast("string"), F.lit("-"), two_digits(month)),
+            "year_quarter": F.concat(year.cast("string"), F.lit("-Q"), quarter.cast("string")),
+        }
     )
 
 
@@ -63,6 +65,6 @@ def with_ship_lag(sales: DataFrame) -> DataFrame:
     An order that never shipped has no lag and is not on time.
     """
     lag = whole_days(F.col("order_date"), F.col("shipped_date"))
-    return sales.withColumn("order_to_ship_days", lag).withColumn(
-        "on_time", F.coalesce(F.col("order_to_ship_days") <= 0, F.lit(False))
+    return sales.withColumns(
+        {"order_to_ship_days": lag, "on_time": F.coalesce(lag <= 0, F.lit(False))}
     )

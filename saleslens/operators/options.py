@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 PREVIEW_ROWS = 5
 
 
-def filter_options(columns: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Distinct known values of several columns as one long frame ``field``, ``value``."""
-    parts = [
-        df.select(F.lit(field).alias("field"), F.col(column).cast("string").alias("value"))
-        .filter(F.col("value").isNotNull())
-        .distinct()
-        for field, (df, column) in columns.items()
-    ]
+def filter_options(*sources: tuple[DataFrame, dict[str, str]]) -> DataFrame:
+    """Distinct known values of several columns as one long frame ``field``, ``value``.
+
+    Each source names its fields and their columns, and is read once for all of them.
+    """
+    parts = []
+    for df, fields in sources:
+        pairs = [
+            F.struct(F.lit(field).alias("field"), F.col(column).cast("string").alias("value"))
+            for field, column in fields.items()
+        ]
+        listed = df.select(F.inline(F.array(*pairs)))
+        parts.append(listed.filter(F.col("value").isNotNull()).distinct())
     return reduce(DataFrame.unionByName, parts)
 
 

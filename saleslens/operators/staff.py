@@ -18,12 +18,25 @@ from saleslens.functions.numeric import (
 TOP_STAFF = 10
 
 
-def performance(sales: DataFrame, name: str) -> DataFrame:
-    """Net sales and distinct orders per store or staff name."""
+def performance(sales: DataFrame, name: str, order_lines: DataFrame | None = None) -> DataFrame:
+    """Net sales and distinct orders per store or staff name.
+
+    ``order_lines`` is the same sales with only the name and the order. Given it, orders are
+    counted there and ``sales`` may be a coarser grain that no longer knows them; the two short
+    results are added up by name.
+    """
+    if order_lines is None:
+        return (
+            with_known(sales, name)
+            .groupBy(name)
+            .agg(published_total("net_sales"), F.count_distinct("order_id").alias("orders"))
+        )
+    summed = with_known(sales, name).groupBy(name).agg(F.sum("net_sales").alias("net_sales"))
+    counted = orders_by(order_lines, name)
     return (
-        with_known(sales, name)
+        summed.unionByName(counted, allowMissingColumns=True)
         .groupBy(name)
-        .agg(published_total("net_sales"), F.count_distinct("order_id").alias("orders"))
+        .agg(published_total("net_sales"), total("orders").alias("orders"))
     )
 
 
@@ -31,6 +44,11 @@ def net_sales_by(sales: DataFrame, name: str) -> DataFrame:
     return with_known(sales, name).groupBy(name).agg(published_total("net_sales"))
 
 
+def orders_by(sales: DataFrame, name: str) -> DataFrame:
+    orders = F.count_distinct("order_id").alias("orders")
+    return with_known(sales, name).groupBy(name).agg(orders)
+
+
 def ranked(by_name: DataFrame, name: str, measure: str, n: int | None = None) -> DataFrame:
     """Largest ``measure`` first, equal ones by name; all of them, or the first ``n``."""
     ordered = by_name.orderBy(F.desc(measure), name)

@@ -14,7 +14,7 @@ from saleslens.functions.numeric import published, ratio, row_amount, total
 from saleslens.functions.periods import with_period_columns
 from saleslens.operators import cube, customers, enrich, filters, options, sales, shipping, staff
 from saleslens.plans import frames
-from saleslens.sources.retail import Retail
+from saleslens.sources.retail import Retail, retail
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,7 @@ SLICE = {"year": 1998, "quarter": 1, "category": "ECONOMY"}
 
 
 def query(build: Callable[[Retail], DataFrame]) -> Callable[[Retail], DataFrame]:
-    CATALOG[build.__name__] = lambda spark, path: build(Retail(spark, path))
+    CATALOG[build.__name__] = lambda spark, path: build(retail(spark, path))
     return build
 
 
@@ -189,7 +189,7 @@ def sales_in_range(data: Retail) -> DataFrame:
 
 @query
 def sales_by_lists(data: Retail) -> DataFrame:
-    rows = LISTS.apply(frames.listed_lines(data)).select(
+    rows = LISTS.apply(frames.named_lines(data)).select(
         "sale_id", "store_name", "brand_name", "category_name", "quantity", "net_sales"
     )
     return _amounts(rows, "net_sales")
@@ -211,11 +211,8 @@ def cube_slice_kpi(data: Retail) -> DataFrame:
 @query
 def filter_options(data: Retail) -> DataFrame:
     return options.filter_options(
-        {
-            "store": (data.stores(), "store_name"),
-            "brand": (data.products(), "brand_name"),
-            "category": (data.products(), "category_name"),
-        }
+        (data.stores(), {"store": "store_name"}),
+        (data.products(), {"brand": "brand_name", "category": "category_name"}),
     )
 
 
@@ -225,17 +222,13 @@ def cube_filter_options(data: Retail) -> DataFrame:
     days = sold.select(F.col("order_date").cast("date").alias("order_date_key")).distinct()
     calendar = cube.with_calendar(days, data.dates(), "order_date_key")
     buyers = sold.select(F.col("customer_id").alias("customer_key")).distinct()
-    places = cube.with_warehouse_customer(buyers, data.warehouse_customers())
+    places = frames.with_warehouse_home(buyers, data)
     goods = data.warehouse_lines().select("product_key").distinct()
     products = cube.with_warehouse_product(goods, data.warehouse_products())
     return options.filter_options(
-        {
-            "year": (calendar, "year_date"),
-            "quarter": (calendar, "quarter_date"),
-            "month": (calendar, "month_date"),
-            "city": (places, "city_customer"),
-            "category": (products, "category_product"),
-        }
+        (calendar, {"year": "year_date", "quarter": "quarter_date", "month": "month_date"}),
+        (places, {"city": "city_customer"}),
+        (products, {"category": "category_product"}),
     )
 
 
@@ -461,16 +454,20 @@ def repeat_display(data: Retail) -> DataFrame:
 # Employee page
 
 
+def _stores(data: Retail) -> DataFrame:
+    return staff.performance(
+        frames.store_sales(data), "store_name", frames.store_order_lines(data)
+    )
+
+
 @query
 def store_performance(data: Retail) -> DataFrame:
-    stores = staff.performance(frames.store_order_lines(data), "store_name")
-    return staff.ranked(stores, "store_name", "net_sales")
+    return staff.ranked(_stores(data), "store_name", "net_sales")
 
 
 @query
 def store_performance_orders(data: Retail) -> DataFrame:
-    stores = staff.performance(frames.store_order_lines(data), "store_name")
-    return staff.ranked(stores, "store_name", "orders")
+    return staff.ranked(_stores(data), "store_name", "orders")
 
 
 @query
@@ -481,7 +478,7 @@ def store_sales_share(data: Retail) -> DataFrame:
 
 @query
 def store_orders_share(data: Retail) -> DataFrame:
-    stores = staff.performance(frames.store_order_lines(data), "store_name")
+    stores = staff.orders_by(frames.store_order_lines(data), "store_name")
     return staff.share_of_total(stores, "store_name", "orders")
 
 
@@ -496,7 +493,9 @@ def best_staff(data: Retail) -> DataFrame:
 
 
 def _staff_performance(data: Retail) -> DataFrame:
-    return staff.performance(frames.staff_order_lines(data), "staff_fullname")
+    return staff.performance(
+        frames.named_staff_sales(data), "staff_fullname", frames.staff_order_lines(data)
+    )
 
 
 @query

@@ -29,6 +29,23 @@ from saleslens.operators import cube, customers, enrich, shipping
 from saleslens.sources.retail import Retail
 
 
+# A dimension made of two tables is joined one table at a time, never joined up first: Spark sizes
+# a stored table well enough to broadcast a small one, but the result of a join only as the
+# product of its sides, which it would rather shuffle the sales for.
+
+
+def with_home(df: DataFrame, data: Retail) -> DataFrame:
+    """City and state of ``customer_id``."""
+    buyers = data.buyers().drop("customer_fullname")
+    return data.with_home(df.join(buyers, "customer_id", "left"))
+
+
+def with_staff_store(df: DataFrame, data: Retail) -> DataFrame:
+    """Store name of ``staff_id``."""
+    stores_of_staff = data.staffs().select("staff_id", "store_id")
+    return enrich.with_stores(df.join(stores_of_staff, "staff_id", "left"), data.stores())
+
+
 def priced_lines(data: Retail) -> DataFrame:
     """Fact rows with their list price and net sales."""
     return with_net_sales(data.lines().join(data.prices(), "product_id", "left"))
@@ -70,31 +87,29 @@ def named_staff_sales(data: Retail) -> DataFrame:
 
 
 def staff_order_lines(data: Retail) -> DataFrame:
-    """Priced fact rows with the seller's name, for reports that count orders of a seller."""
-    lines = priced_lines(data).select("staff_id", "order_id", "net_sales")
-    return enrich.with_staff_names(lines, data.staffs())
+    """Orders of the fact rows with the seller's name, to count the orders of a seller."""
+    return enrich.with_staff_names(data.lines().select("staff_id", "order_id"), data.staffs())
 
 
 def store_order_lines(data: Retail) -> DataFrame:
-    """Priced fact rows with the store's name, for reports that count orders of a store."""
-    lines = priced_lines(data).select("staff_id", "order_id", "net_sales")
-    return lines.join(data.staff_stores(), "staff_id", "left")
+    """Orders of the fact rows with the store's name, to count the orders of a store."""
+    return with_staff_store(data.lines().select("staff_id", "order_id"), data)
 
 
 def store_sales(data: Retail) -> DataFrame:
-    return staff_sales(data).join(data.staff_stores(), "staff_id", "left")
+    return with_staff_store(staff_sales(data), data)
 
 
 def customer_rows(data: Retail) -> DataFrame:
     """One row per customer with sales: fact rows, city and state."""
     counted = customers.rows_per_customer(order_sales(data, priced=False))
-    return enrich.with_customer_geo(counted, data.customers())
+    return with_home(counted, data)
 
 
 def customer_orders(data: Retail) -> DataFrame:
     """One row per customer with sales: distinct orders, city and state."""
     counted = customers.orders_per_customer(order_sales(data, priced=False))
-    return enrich.with_customer_geo(counted, data.customers())
+    return with_home(counted, data)
 
 
 def ship_lags(data: Retail) -> DataFrame:
@@ -106,30 +121,24 @@ def ship_lags(data: Retail) -> DataFrame:
 def store_shipping(data: Retail) -> DataFrame:
     """Shipping totals per seller, with the store's name."""
     totals = shipping.shipping_totals(ship_lags(data), "staff_id")
-    return totals.join(data.staff_stores(), "staff_id", "left")
+    return with_staff_store(totals, data)
 
 
-def _named_lines(data: Retail, product_dim: DataFrame) -> DataFrame:
-    """Fact rows priced and named by one join with the product."""
-    return with_net_sales(enrich.with_products(data.lines(), product_dim))
+def named_lines(data: Retail) -> DataFrame:
+    """Fact rows with store and product names, priced by the same join with the product."""
+    product_dim = enrich.product_dimension(data.products(), None, None, "list_price")
+    lines = with_staff_store(data.lines(), data)
+    return with_net_sales(enrich.with_products(lines, product_dim))
 
 
 def enriched_lines(data: Retail) -> DataFrame:
     """Fact rows with every dimension of the sales page.
 
     The customer is joined to the orders, not to their lines: the same result with a quarter of
-    the rows to move.
+    the rows to move. The widest columns join last, so that they are moved least.
     """
-    product_dim = enrich.product_dimension(data.products(), None, None, "list_price")
-    headers = enrich.with_customer_geo(data.orders(), data.customers())
-    lines = _named_lines(data, product_dim).join(headers, "order_id", "left")
-    return lines.join(data.staff_stores(), "staff_id", "left")
-
-
-def listed_lines(data: Retail) -> DataFrame:
-    """Priced fact rows with the names that the list filters test."""
-    product_dim = enrich.product_dimension(data.products(), None, None, "list_price")
-    return _named_lines(data, product_dim).join(data.staff_stores(), "staff_id", "left")
+    headers = with_home(data.orders(), data)
+    return named_lines(data).join(headers, "order_id", "left")
 
 
 # Cube over the general sales warehouse.
@@ -141,10 +150,40 @@ def warehouse_costed(data: Retail) -> DataFrame:
     return cube.with_warehouse_measures(wide)
 
 
+def with_warehouse_home(df: DataFrame, data: Retail) -> DataFrame:
+    """Customer columns of the cube for ``customer_key``."""
+    buyers = data.buyers().select(
+        F.col("customer_id").alias("customer_key"),
+        F.col("customer_fullname").alias("company_name_customer"),
+        "segment",
+        "nation_id",
+    )
+    places = data.places().withColumnsRenamed(
+        {"state": "state_province_customer", "country_region": "country_region_customer"}
+    )
+    city = F.concat("state_province_customer", F.lit(" "), "segment")
+    placed = df.join(buyers, "customer_key", "left").join(places, "nation_id", "left")
+    return placed.withColumn("city_customer", city).drop("nation_id", "segment")
+
+
+def with_warehouse_seller(df: DataFrame, data: Retail) -> DataFrame:
+    """Employee columns of the cube for ``employee_key``."""
+    sellers = data.staffs().select(
+        F.col("staff_id").alias("employee_key"),
+        F.col("staff_fullname").alias("full_name_employee"),
+        F.col("store_id").alias("nation_id"),
+    )
+    places = data.places().withColumnsRenamed(
+        {"state": "city_employee", "country_region": "country_region_employee"}
+    )
+    placed = df.join(sellers, "employee_key", "left").join(places, "nation_id", "left")
+    return placed.drop("nation_id")
+
+
 def warehouse_headers(data: Retail) -> DataFrame:
     """Orders with their calendar and customer columns."""
     headers = cube.with_calendar(data.warehouse_orders(), data.dates(), "order_date_key")
-    return cube.with_warehouse_customer(headers, data.warehouse_customers())
+    return with_warehouse_home(headers, data)
 
 
 def warehouse_by_product(data: Retail) -> DataFrame:
@@ -162,7 +201,7 @@ def _by_customer(data: Retail) -> DataFrame:
 def warehouse_by_customer(data: Retail) -> DataFrame:
     """Cube revenue, one row per customer."""
     summed = _by_customer(data).withColumnRenamed("customer_id", "customer_key")
-    return cube.with_warehouse_customer(summed, data.warehouse_customers())
+    return with_warehouse_home(summed, data)
 
 
 def _by_day(data: Retail, costed: DataFrame) -> DataFrame:
@@ -178,16 +217,16 @@ def warehouse_by_day(data: Retail) -> DataFrame:
 
 def warehouse_rows(data: Retail) -> DataFrame:
     """The whole cube, one row per sale."""
-    wide = warehouse_costed(data).join(warehouse_headers(data), "order_id", "left")
-    wide = cube.with_warehouse_employee(wide, data.warehouse_employees())
-    return cube.with_time_hierarchy(cube.with_margin(wide))
+    wide = with_warehouse_seller(data.warehouse_lines(), data)
+    wide = cube.with_warehouse_product(wide, data.warehouse_products())
+    wide = wide.join(warehouse_headers(data), "order_id", "left")
+    return cube.with_time_hierarchy(cube.with_margin(cube.with_warehouse_measures(wide)))
 
 
 def warehouse_places(data: Retail) -> DataFrame:
     """Fact rows with category, city and amounts: what the summary and its sales counts read."""
     headers = data.warehouse_orders().select("order_id", "customer_key")
-    headers = cube.with_warehouse_customer(headers, data.warehouse_customers())
-    cities = headers.select("order_id", "city_customer")
+    cities = with_warehouse_home(headers, data).select("order_id", "city_customer")
     return warehouse_costed(data).join(cities, "order_id", "left")
 
 
@@ -205,6 +244,13 @@ def shop_products(data: Retail) -> DataFrame:
     )
 
 
+def with_shop_home(df: DataFrame, data: Retail) -> DataFrame:
+    """Customer columns of the cube for ``customer_id``."""
+    located = data.with_home(df.join(data.buyers(), "customer_id", "left"))
+    names = ("customer_fullname", "customer_city", "customer_state")
+    return located.withColumnsRenamed({name: f"{name}_customer" for name in names})
+
+
 def shop_costed(data: Retail) -> DataFrame:
     wide = cube.with_shop_product(data.lines(), shop_products(data))
     return cube.with_shop_measures(wide)
@@ -216,7 +262,7 @@ def shop_by_product(data: Retail) -> DataFrame:
 
 
 def shop_by_customer(data: Retail) -> DataFrame:
-    return cube.with_shop_customer(_by_customer(data), data.customers())
+    return with_shop_home(_by_customer(data), data)
 
 
 def shop_by_day(data: Retail) -> DataFrame:
@@ -226,23 +272,22 @@ def shop_by_day(data: Retail) -> DataFrame:
 def shop_headers(data: Retail) -> DataFrame:
     day = data.orders().withColumn("order_day", F.col("order_date").cast("date"))
     headers = cube.with_calendar(day, data.dates(), "order_day").drop("order_day")
-    return cube.with_shop_customer(headers, data.customers())
+    return with_shop_home(headers, data)
 
 
 def shop_rows(data: Retail) -> DataFrame:
     """The whole cube, one row per sale."""
-    wide = shop_costed(data).join(shop_headers(data), "order_id", "left")
-    wide = cube.with_shop_staff(wide, data.staffs())
     stores = data.stores().select(
         F.col("store_id").alias("store_id_store"), F.col("store_name").alias("store_name_store")
     )
+    wide = cube.with_shop_staff(data.lines(), data.staffs())
     wide = enrich.attach(wide, stores, "store_id_staff", "store_id_store")
-    return cube.with_time_hierarchy(cube.with_margin(wide))
+    wide = cube.with_shop_product(wide, shop_products(data))
+    wide = wide.join(shop_headers(data), "order_id", "left")
+    return cube.with_time_hierarchy(cube.with_margin(cube.with_shop_measures(wide)))
 
 
 def shop_places(data: Retail) -> DataFrame:
-    headers = cube.with_shop_customer(
-        data.orders().select("order_id", "customer_id"), data.customers()
-    )
+    headers = with_shop_home(data.orders().select("order_id", "customer_id"), data)
     cities = headers.select("order_id", "customer_city_customer")
     return shop_costed(data).join(cities, "order_id", "left")

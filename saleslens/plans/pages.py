@@ -30,11 +30,9 @@ def sales_frame(
 def choices(tables: Tables) -> DataFrame:
     """What the page filters can be set to."""
     return options.filter_options(
-        {
-            "store": (tables["dim_stores"], "store_name"),
-            "brand": (tables["dim_brands"], "brand_name"),
-            "category": (tables["dim_categories"], "category_name"),
-        }
+        (tables["dim_stores"], {"store": "store_name"}),
+        (tables["dim_brands"], {"brand": "brand_name"}),
+        (tables["dim_categories"], {"category": "category_name"}),
     )
 
 

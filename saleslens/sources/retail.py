@@ -8,6 +8,9 @@ at the grain it needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache, wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +18,28 @@ from saleslens.functions.measures import with_line_count
 from saleslens.sources.parquet import open_table
 
 
+def table(build: Callable[[Retail], DataFrame]) -> Callable[[Retail], DataFrame]:
+    """A table frame that is planned once per ``Retail``; still lazy, it holds no data."""
+
+    @wraps(build)
+    def planned(self: Retail) -> DataFrame:
+        if build.__name__ not in self.frames:
+            self.frames[build.__name__] = build(self)
+        return self.frames[build.__name__]
+
+    return planned
+
+
 class Retail:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self.frames: dict[str, DataFrame] = {}
 
     def _table(self, name: str) -> DataFrame:
         return open_table(self.spark, f"{self.path}/{name}.parquet")
 
+    @table
     def lines(self) -> DataFrame:
         """Sales without what the order or the part know about them."""
         net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -41,6 +58,7 @@ class Retail:
         )
         return with_line_count(lines)
 
+    @table
     def orders(self) -> DataFrame:
         return self._table("orders").select(
             F.col("o_orderkey").alias("order_id"),
@@ -48,9 +66,11 @@ class Retail:
             F.col("o_orderdate").alias("order_date"),
         )
 
+    @table
     def prices(self) -> DataFrame:
         return self.products().select("product_id", "list_price")
 
+    @table
     def products(self) -> DataFrame:
         """Products with their brand and category names at hand, as the part table stores them.
 
@@ -67,21 +87,26 @@ class Retail:
             F.col("p_type").alias("category_name"),
         )
 
+    @table
     def snowflake_products(self) -> DataFrame:
         """Products that know only the keys of their brand and category."""
         return self.products().drop("brand_name", "category_name")
 
+    @table
     def brands(self) -> DataFrame:
         return self.products().select("brand_id", "brand_name").distinct()
 
+    @table
     def categories(self) -> DataFrame:
         return self.products().select("category_id", "category_name").distinct()
 
+    @table
     def stores(self) -> DataFrame:
         return self._table("nation").select(
             F.col("n_nationkey").alias("store_id"), F.col("n_name").alias("store_name")
         )
 
+    @table
     def staffs(self) -> DataFrame:
         return self._table("supplier").select(
             F.col("s_suppkey").alias("staff_id"),
@@ -89,39 +114,52 @@ class Retail:
             F.col("s_nationkey").alias("store_id"),
         )
 
-    def staff_stores(self) -> DataFrame:
-        """Store name of each seller."""
-        return (
-            self.staffs()
-            .join(self.stores(), "store_id", "left")
-            .select("staff_id", "store_name")
+    @table
+    def buyers(self) -> DataFrame:
+        """Customers with the key of their nation, before it is resolved."""
+        return self._table("customer").select(
+            F.col("c_custkey").alias("customer_id"),
+            F.col("c_name").alias("customer_fullname"),
+            F.col("c_mktsegment").alias("segment"),
+            F.col("c_nationkey").alias("nation_id"),
         )
 
-    def _places(self) -> DataFrame:
+    @table
+    def states(self) -> DataFrame:
+        return self._table("nation").select(
+            F.col("n_nationkey").alias("nation_id"), F.col("n_name").alias("state")
+        )
+
+    @table
+    def places(self) -> DataFrame:
+        """States with the region they are in."""
         region = self._table("region").select(
             F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("country_region")
         )
-        return (
-            self._table("nation")
-            .join(region, "n_regionkey", "left")
-            .select("n_nationkey", F.col("n_name").alias("state"), "country_region")
+        nation = self._table("nation").join(region, "n_regionkey", "left")
+        return nation.select(
+            F.col("n_nationkey").alias("nation_id"),
+            F.col("n_name").alias("state"),
+            "country_region",
         )
 
+    @table
     def customers(self) -> DataFrame:
-        nation = self._table("nation").select(
-            F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer_state")
+        return self.with_home(self.buyers()).select(
+            "customer_id", "customer_fullname", "customer_city", "customer_state"
         )
+
+    def with_home(self, df: DataFrame) -> DataFrame:
+        """State and city of the buyer columns in ``df``."""
+        city = F.concat("state", F.lit(" "), "segment")
         return (
-            self._table("customer")
-            .join(nation, "c_nationkey", "left")
-            .select(
-                F.col("c_custkey").alias("customer_id"),
-                F.col("c_name").alias("customer_fullname"),
-                F.concat("customer_state", F.lit(" "), "c_mktsegment").alias("customer_city"),
-                "customer_state",
-            )
+            df.join(self.states(), "nation_id", "left")
+            .withColumn("customer_city", city)
+            .withColumnRenamed("state", "customer_state")
+            .drop("nation_id", "segment")
         )
 
+    @table
     def dates(self) -> DataFrame:
         """Calendar of the days with orders."""
         day = F.col("date_key")
@@ -141,11 +179,13 @@ class Retail:
 
     # The same tables under the names of the general sales warehouse.
 
+    @table
     def warehouse_lines(self) -> DataFrame:
         return self.lines().withColumnsRenamed(
             {"product_id": "product_key", "staff_id": "employee_key"}
         )
 
+    @table
     def warehouse_orders(self) -> DataFrame:
         return self.orders().select(
             "order_id",
@@ -153,6 +193,7 @@ class Retail:
             F.col("order_date").cast("date").alias("order_date_key"),
         )
 
+    @table
     def warehouse_products(self) -> DataFrame:
         return self.products().select(
             F.col("product_id").alias("product_key"),
@@ -162,29 +203,8 @@ class Retail:
             "list_price",
         )
 
-    def warehouse_customers(self) -> DataFrame:
-        places = self._places().withColumnRenamed("n_nationkey", "c_nationkey")
-        return (
-            self._table("customer")
-            .join(places, "c_nationkey", "left")
-            .select(
-                F.col("c_custkey").alias("customer_id"),
-                F.col("c_name").alias("company_name"),
-                F.concat("state", F.lit(" "), "c_mktsegment").alias("city"),
-                "country_region",
-                F.col("state").alias("state_province"),
-            )
-        )
 
-    def warehouse_employees(self) -> DataFrame:
-        places = self._places().withColumnRenamed("n_nationkey", "s_nationkey")
-        return (
-            self._table("supplier")
-            .join(places, "s_nationkey", "left")
-            .select(
-                F.col("s_suppkey").alias("employee_key"),
-                F.col("s_name").alias("full_name"),
-                F.col("state").alias("city"),
-                "country_region",
-            )
-        )
+@lru_cache(maxsize=8)
+def retail(spark: SparkSession, path: str) -> Retail:
+    """The tables under ``path``, planned once per session."""
+    return Retail(spark, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.functions import display
@@ -39,6 +39,11 @@ def _amounts(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: row_amount(F.col(name)) for name in names})
 
 
+def _iso(name: str) -> Column:
+    """A date as ISO text, which every client shows alike."""
+    return F.col(name).cast("date").cast("string").alias(name)
+
+
 # Row-level columns
 
 
@@ -54,7 +59,7 @@ def net_sales_rows(data: Retail) -> DataFrame:
 def period_columns(data: Retail) -> DataFrame:
     dated = with_period_columns(data.orders())
     rows = data.lines().join(dated, "order_id", "left")
-    return rows.select("sale_id", "year", "quarter", "month", "date")
+    return rows.select("sale_id", "year", "quarter", "month", _iso("date"))
 
 
 @query
@@ -107,7 +112,7 @@ def star_enriched(data: Retail) -> DataFrame:
         "order_id",
         "customer_id",
         "product_id",
-        F.col("order_date").cast("date").alias("order_date"),
+        _iso("order_date"),
         "quantity",
         "net_sales",
         "product_name",
@@ -129,7 +134,7 @@ def snowflake_products(data: Retail) -> DataFrame:
 def cube_b(data: Retail) -> DataFrame:
     rows = frames.warehouse_rows(data).select(
         "sale_id",
-        "order_date_key",
+        _iso("order_date_key"),
         "customer_key",
         "employee_key",
         "product_key",
@@ -181,7 +186,7 @@ def sales_in_range(data: Retail) -> DataFrame:
         "sale_id",
         "order_id",
         "customer_id",
-        F.col("order_date").cast("date").alias("order_date"),
+        _iso("order_date"),
         "net_sales",
     )
     return _amounts(rows, "net_sales")
@@ -363,7 +368,8 @@ def discount_effect_right(data: Retail) -> DataFrame:
 
 @query
 def date_bounds(data: Retail) -> DataFrame:
-    return sales.date_bounds(frames.order_sales(data, priced=False))
+    bounds = sales.date_bounds(frames.order_sales(data, priced=False))
+    return bounds.select(_iso("min_date"), _iso("max_date"))
 
 
 # Customer page

@@ -198,7 +198,8 @@ def _performance(name: str) -> str:
 
 
 SHIPPING = """
-  SELECT store_name, round(CAST(sum(lag_days) AS DOUBLE) / nullif(count(lag_days), 0), 6) AS avg_days,
+  SELECT store_name,
+         round(CAST(sum(lag_days) AS DOUBLE) / nullif(count(lag_days), 0), 6) AS avg_days,
          round(CAST(count(*) FILTER (WHERE lag_days <= 0) AS DOUBLE) / count(*), 6) AS on_time_rate
   FROM sales WHERE store_name IS NOT NULL GROUP BY 1"""
 
@@ -315,7 +316,7 @@ ORACLE: dict[str, str] = {
     ),
     "period_columns": _sales(
         f"""SELECT sale_id, {PERIOD['year']} AS year, {PERIOD['quarter']} AS quarter,
-               {PERIOD['month']} AS month, order_date AS date FROM sales"""
+               {PERIOD['month']} AS month, CAST(order_date AS VARCHAR) AS date FROM sales"""
     ),
     "ship_lag_rows": _sales(
         """SELECT sale_id, CAST(lag_days AS INTEGER) AS order_to_ship_days,
@@ -327,7 +328,8 @@ ORACLE: dict[str, str] = {
         "SELECT sale_id, year_date, quarter_date, month_date, year_month, year_quarter FROM cube"
     ),
     "star_enriched": _sales(
-        f"""SELECT sale_id, order_id, customer_id, product_id, order_date, quantity,
+        f"""SELECT sale_id, order_id, customer_id, product_id,
+               CAST(order_date AS VARCHAR) AS order_date, quantity,
                {_dbl('net_sales')} AS net_sales, product_name, category_name, brand_name,
                store_name, customer_city, customer_state FROM sales"""
     ),
@@ -335,7 +337,7 @@ ORACLE: dict[str, str] = {
         SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category_name,
                p_brand AS brand_name FROM part""",
     "cube_b": _cube(
-        f"""SELECT sale_id, order_date AS order_date_key, customer_id AS customer_key,
+        f"""SELECT sale_id, CAST(order_date AS VARCHAR) AS order_date_key, customer_id AS customer_key,
                staff_id AS employee_key, product_id AS product_key, quantity, month_name_date,
                year_date, quarter_date, month_date, year_month, year_quarter,
                customer_fullname AS company_name_customer, customer_city AS city_customer,
@@ -353,7 +355,8 @@ ORACLE: dict[str, str] = {
                {_amounts('order_value_a')} FROM cube"""
     ),
     "sales_in_range": _sales(
-        f"""SELECT sale_id, order_id, customer_id, order_date, {_dbl('net_sales')} AS net_sales
+        f"""SELECT sale_id, order_id, customer_id, CAST(order_date AS VARCHAR) AS order_date,
+               {_dbl('net_sales')} AS net_sales
         FROM sales WHERE order_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'"""
     ),
     "sales_by_lists": _sales(
@@ -390,8 +393,8 @@ ORACLE: dict[str, str] = {
     "sales_kpi": _sales(
         f"""SELECT {_dbl('coalesce(sum(net_sales), 0)')} AS total_sales,
                count(DISTINCT order_id) AS orders, count(DISTINCT customer_id) AS customers,
-               round(coalesce({_dbl('sum(net_sales)')} / nullif(count(DISTINCT order_id), 0), 0), 6)
-                 AS aov
+               round(coalesce({_dbl('sum(net_sales)')}
+                 / nullif(count(DISTINCT order_id), 0), 0), 6) AS aov
         FROM sales"""
     ),
     "kpi_display": _sales(
@@ -440,7 +443,8 @@ ORACLE: dict[str, str] = {
         "<=",
     ),
     "date_bounds": _sales(
-        "SELECT min(order_date) AS min_date, max(order_date) AS max_date FROM sales"
+        "SELECT CAST(min(order_date) AS VARCHAR) AS min_date, "
+        "CAST(max(order_date) AS VARCHAR) AS max_date FROM sales"
     ),
     "repeat_kpi_rows": _sales(
         """SELECT count(*) AS total_customers,

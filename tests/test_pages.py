@@ -121,7 +121,8 @@ def test_sales_page(random_shop):
             top = "1.0" if closed == "left" else "0.20"
             start = "0" if closed == "left" else "-0.01"
             expected = sql(
-                f"SELECT sum(quantity) FROM f WHERE discount {low} {start} AND discount {high} {top}"
+                "SELECT sum(quantity) FROM f "
+                f"WHERE discount {low} {start} AND discount {high} {top}"
             )
             assert [(total,)] == expected
 
@@ -223,7 +224,10 @@ def test_employee_page(random_shop):
             shares = page[f"store_{name}_share"]
             same(
                 shares,
-                sql(f"SELECT store_name, {column}, {column} / sum({column}) OVER () FROM ({stores})"),
+                sql(
+                    f"SELECT store_name, {column}, {column} / sum({column}) OVER () "
+                    f"FROM ({stores})"
+                ),
             )
             assert math.isclose(sum(row[2] for row in values(shares)), 1, abs_tol=1e-5)
         assert math.isclose(sum(r[2] for r in values(page["staff_sales_share"])), 1, abs_tol=1e-5)

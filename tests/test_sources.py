@@ -51,7 +51,8 @@ def test_table_handles_are_kept_until_forgotten(spark, tmp_path):
 
 
 def test_csv_has_a_header_and_every_row(spark, tmp_path):
-    report = spark.createDataFrame([("a", Decimal("1.50")), ("b", None)], "k string, v decimal(4,2)")
+    rows = [("a", Decimal("1.50")), ("b", None)]
+    report = spark.createDataFrame(rows, "k string, v decimal(4,2)")
     path = write_csv(report, str(tmp_path), "sales_summary", files=1)
     assert path.startswith(f"{tmp_path}/sales_summary_2")
     back = spark.read.option("header", True).csv(path)

@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslens.llm import decontamination, language, packing, sharding, simhash
+from saleslens.llm import (
+    decontamination,
+    language,
+    link_trust,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+)
 from saleslens.llm.common import table
 
 
@@ -18,20 +28,46 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("class_fp")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judged(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_decontamination, op2_language_id, op4_simhash, op7_packing, op9_sharding)
+    for query in (
+        op1_decontamination,
+        op2_language_id,
+        op3_quality_rules,
+        op4_simhash,
+        op6_quality_classifier,
+        op7_packing,
+        op8_secret_scan,
+        op9_sharding,
+        op10_link_trust,
+    )
 }

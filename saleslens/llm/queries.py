@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from saleslens.llm import (
     decontamination,
     language,
     link_trust,
     packing,
+    pii,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -36,6 +38,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("class_fp")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,10 +70,11 @@ QUERIES: dict[str, Query] = {
         op2_language_id,
         op3_quality_rules,
         op4_simhash,
+        op5_pii_surrogates,
         op6_quality_classifier,
         op7_packing,
         op8_secret_scan,
         op9_sharding,
         op10_link_trust,
     )
-}
+} | {"pipeline": corpus_pipeline.run}

@@ -218,6 +218,11 @@ def one_of_each(docs: DataFrame, cell: int = CELL) -> DataFrame:
 
     Of rows that repeat that doc_id, or of a group without any doc_id, one row stays.
     """
+    found = stored(fingerprints(docs, F.col("doc_id")).withColumnRenamed("kept", "doc_id"))
+    if found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        others = _named(found, cell).filter("doc_id != component_id").select("doc_id")
+        return docs.join(others, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # a doc_id alone doesn't tell rows apart: each row carries its fingerprint
     rows = stored(fingerprints(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
     named = _named(rows.select(F.col("kept.doc_id").alias("doc_id"), "fp"), cell)
     chosen = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -264,9 +264,11 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError("no distinct surrogates were found; some kind has too few values of its format")
 
 
-def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """docs with `text` rewritten, and a struct `__pii` of counts: n_entities, n_emails, n_phones, n_ips,
-    n_cards, n_ssns, n_names.
+def with_surrogates(
+    docs: DataFrame, text: str = "text", key: str = KEY, counts: str | None = None
+) -> DataFrame:
+    """docs with `text` rewritten and, if `counts` names one, a struct column of counts: n_entities,
+    n_emails, n_phones, n_ips, n_cards, n_ssns, n_names.
 
     A null text stays null; a text without personal data stays as it is. Equal entities have equal
     surrogates in all rows, different ones different. Numbers of 13 to 19 digits count as cards only
@@ -317,17 +319,16 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> Data
     def count(*kinds: str) -> Column:
         return F.size(F.filter("parts", lambda p: p["kind"].isin(*kinds))).cast("bigint")
 
-    counts = F.struct(
+    numbers = F.struct(
         F.size(F.filter("parts", lambda p: p["kind"].isNotNull())).cast("bigint").alias("n_entities"),
         count("email").alias("n_emails"), count("phone").alias("n_phones"), count("ip").alias("n_ips"),
         count("card").alias("n_cards"), count("ssn").alias("n_ssns"),
         count("female", "male", "family").alias("n_names"),
     )
-    return rows.select(
-        *(new.alias(c) if c == text else F.col("row")[c].alias(c) for c in names), counts.alias("__pii")
-    )
+    out = [new.alias(c) if c == text else F.col("row")[c].alias(c) for c in names]
+    return rows.select(*out, *([numbers.alias(counts)] if counts else []))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_entities, n_emails, n_phones, n_ips, n_cards, n_ssns, n_names."""
-    return with_surrogates(docs.select("doc_id", "text")).select("doc_id", "text", "__pii.*")
+    return with_surrogates(docs.select("doc_id", "text"), counts="n").select("doc_id", "text", "n.*")

@@ -81,7 +81,7 @@ class Model:
     def train(self, rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> None:
         """rows: class, features, shares. Classes weigh alike, however many rows they have."""
         draw = np.random.default_rng(seed)
-        size = np.bincount([label for label, *_ in rows], minlength=2)
+        size = np.bincount(np.array([label for label, *_ in rows], dtype=np.int64), minlength=2)
         weight = len(rows) / (2.0 * np.maximum(size, 1))
         per_pass = -(-len(rows) // BATCH)
         passes = max(EPOCHS, -(-STEPS // max(per_pass, 1))) if rows else 0

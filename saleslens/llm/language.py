@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from saleslens.llm.bytewise import LETTERS, LOWER, blocks, words
+from saleslens.llm.common import cut
 
 BUCKETS = 1 << 16
 BLOCK_BYTES = 2 << 20
@@ -86,7 +87,7 @@ def fit(docs: DataFrame, chosen: Column, text: str = "text", language: str = "la
     rows = docs.filter(chosen & F.col(text).isNotNull() & F.col(language).isNotNull()).select(
         F.col(language).cast("string").alias("language"), F.lower(text).alias("body")
     )
-    counts = (
+    counts = cut(
         rows.mapInArrow(_counted, "language string, bucket long, n long")
         .groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     )

@@ -66,12 +66,9 @@ SHOP_STORE = (
 
 
 def with_calendar(fact: DataFrame, dates: DataFrame, key: str) -> DataFrame:
-    """Calendar columns of the day in ``key``.
-
-    A calendar has one row per day, a few thousand in all, whatever the sales: the one dimension
-    that is small by definition and may always be sent to every task.
-    """
-    return attach(fact, F.broadcast(suffixed(dates, "_date")), key, "date_key_date")
+    """Calendar columns of the day in ``key``. Spark sends the calendar to every task if it is as
+    small as calendars are; a larger one is joined like any other table."""
+    return attach(fact, suffixed(dates, "_date"), key, "date_key_date")
 
 
 def _part(dim: DataFrame, columns: tuple[str, ...], suffix: str) -> DataFrame:

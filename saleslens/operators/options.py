@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PREVIEW_ROWS = 5
 
 
 def filter_options(*sources: tuple[DataFrame, dict[str, str]]) -> DataFrame:
-    """Distinct known values of several columns as one long frame ``field``, ``value``.
+    """Distinct known values of several columns as one long frame ``field``, ``value``, ``rank``.
+
+    The rank sorts the values of a field: numbers by size, before all else, and texts by letters.
 
     Each source names its fields and their columns, and is read once for all of them.
     """
@@ -23,7 +25,9 @@ def filter_options(*sources: tuple[DataFrame, dict[str, str]]) -> DataFrame:
         ]
         listed = df.select(F.inline(F.array(*pairs)))
         parts.append(listed.filter(F.col("value").isNotNull()).distinct())
-    return reduce(DataFrame.unionByName, parts)
+    by_size = F.col("value").try_cast("double").asc_nulls_last()
+    place = F.row_number().over(Window.partitionBy("field").orderBy(by_size, "value"))
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", place)
 
 
 def table_preview(tables: dict[str, DataFrame], n: int = PREVIEW_ROWS) -> DataFrame:

@@ -269,7 +269,7 @@ def table_preview(data: Retail) -> DataFrame:
 
 @query
 def sales_kpi(data: Retail) -> DataFrame:
-    return sales.sales_kpi(frames.order_sales(data))
+    return sales.sales_kpi_of_orders(frames.order_sales(data))
 
 
 @query

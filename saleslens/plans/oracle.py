@@ -48,6 +48,10 @@ sales AS (
   LEFT JOIN places cp ON c_nationkey = cp.n_nationkey
 )"""
 
+RANKED = """SELECT field, value, CAST(row_number() OVER (
+  PARTITION BY field ORDER BY try_cast(value AS DOUBLE) NULLS LAST, value) AS INTEGER) AS rank
+FROM ({})"""
+
 CUBE = (
     SALES
     + """,
@@ -372,11 +376,11 @@ ORACLE: dict[str, str] = {
                {_dbl('revenue')} AS revenue, {_dbl('profit')} AS profit FROM cube {SLICE}"""
     ),
     "cube_slice_kpi": _kpi("order_value_b", SLICE),
-    "filter_options": """
+    "filter_options": RANKED.format("""
         SELECT DISTINCT 'store' AS field, n_name AS value FROM nation WHERE n_name IS NOT NULL
         UNION ALL SELECT DISTINCT 'brand', p_brand FROM part WHERE p_brand IS NOT NULL
-        UNION ALL SELECT DISTINCT 'category', p_type FROM part WHERE p_type IS NOT NULL""",
-    "cube_filter_options": _cube(
+        UNION ALL SELECT DISTINCT 'category', p_type FROM part WHERE p_type IS NOT NULL"""),
+    "cube_filter_options": _cube(RANKED.format(
         "\nUNION ALL ".join(
             f"SELECT DISTINCT '{field}' AS field, CAST({column} AS VARCHAR) AS value "
             f"FROM cube WHERE {column} IS NOT NULL"
@@ -387,7 +391,7 @@ ORACLE: dict[str, str] = {
                 ("city", "customer_city"),
                 ("category", "category_name"),
             )
-        )
+        ))
     ),
     "table_preview": PREVIEW,
     "sales_kpi": _sales(

@@ -7,6 +7,7 @@ should hold it with ``sources.sinks.shared`` while collecting.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from saleslens.functions.bins import LEFT_CLOSED, RIGHT_CLOSED
 from saleslens.functions.measures import with_line_count, with_net_sales
@@ -22,9 +23,12 @@ Page = dict[str, DataFrame]
 def sales_frame(
     tables: Tables, choice: SalesFilter = SalesFilter(), dims: tuple[str, ...] = DIMENSIONS
 ) -> DataFrame:
-    """Sales with net sales, period columns and dimension names, narrowed to ``choice``."""
+    """Sales with net sales, period columns and dimension names, narrowed to ``choice``.
+
+    A sale without an order date lies in no range, not even the default one of all days.
+    """
     fact = with_period_columns(with_net_sales(with_line_count(tables["fact_sales"])))
-    return choice.apply(enrich(fact, tables, dims))
+    return choice.apply(enrich(fact, tables, dims)).filter(F.col("order_date").isNotNull())
 
 
 def choices(tables: Tables) -> DataFrame:
@@ -36,14 +40,16 @@ def choices(tables: Tables) -> DataFrame:
     )
 
 
-def sales_page(frame: DataFrame, period: str = "month") -> Page:
+def sales_page(frame: DataFrame, period: str = "month", fact: DataFrame | None = None) -> Page:
+    """The tables of the page. ``fact`` is the unfiltered fact, whose first and last day limit the
+    choice of dates whatever is chosen; without it the frame stands in for it."""
     if period not in PERIODS:
         raise ValueError(f"period must be one of {', '.join(PERIODS)}")
     trend = sales.sales_trend(frame, period)
     by_id = ("product_id", "product_name")
     return {
         "kpi": sales.sales_kpi(frame),
-        "dates": sales.date_bounds(frame),
+        "dates": sales.date_bounds(frame if fact is None else fact),
         "trend": trend.orderBy(period),
         "growth": sales.period_growth(trend, period),
         "top_revenue": sales.top_products(frame, "net_sales"),

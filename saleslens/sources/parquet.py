@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.sources.schemas import SHOP_TABLES, WAREHOUSE_TABLES, Columns
 
-# Table handles already opened by a session. A handle is a lazy plan, not data: keeping it saves
-# the footer read and the file listing when many reports use the same tables.
-_opened: dict[tuple[SparkSession, str], DataFrame] = {}
-
 
 def open_table(spark: SparkSession, path: str) -> DataFrame:
-    key = (spark, path)
-    if key not in _opened:
-        _opened[key] = spark.read.parquet(path)
-    return _opened[key]
-
-
-def forget_tables() -> None:
-    """Drop the kept handles, e.g. after the files under a path were replaced."""
-    _opened.clear()
+    """The table as its files are now: nothing is kept, so later reads see appended files."""
+    return spark.read.parquet(path)
 
 
 def conform(df: DataFrame, columns: Columns, name: str) -> DataFrame:
@@ -30,7 +19,19 @@ def conform(df: DataFrame, columns: Columns, name: str) -> DataFrame:
     missing = [column for column in columns if column not in df.columns]
     if missing:
         raise ValueError(f"table {name} lacks columns: {', '.join(missing)}")
-    return df.select([F.col(column).cast(kind).alias(column) for column, kind in columns.items()])
+    return df.select([_held(df, column, kind, name) for column, kind in columns.items()])
+
+
+def _held(df: DataFrame, column: str, kind: str, name: str) -> Column:
+    """The column in the declared type. A value that the type can't hold is an error that names
+    the table and column, never a rounded or shortened value."""
+    stored, wanted = F.col(column), F.col(column).try_cast(kind)
+    source = df.schema[column].dataType
+    if source.simpleString() == kind or kind == "string":
+        return wanted.alias(column)
+    same = F.coalesce(wanted.try_cast(source) == stored, F.lit(False))
+    message = F.concat(F.lit(f"{name}.{column} can't be held as {kind}: "), stored.cast("string"))
+    return F.when(stored.isNull() | same, wanted).otherwise(F.raise_error(message)).alias(column)
 
 
 def load_tables(

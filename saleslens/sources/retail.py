@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache, wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.functions.measures import with_line_count
@@ -30,6 +30,13 @@ def table(build: Callable[[Retail], DataFrame]) -> Callable[[Retail], DataFrame]
     return planned
 
 
+def _whole(column: str) -> Column:
+    """A count of units, which these tables have whole; a fraction is an error, not cut off."""
+    stored = F.col(column)
+    message = F.concat(F.lit(f"{column} is not whole: "), stored.cast("string"))
+    return F.when(stored.isNull() | (F.rint(stored) == stored), stored.cast("int")).otherwise(F.raise_error(message))
+
+
 class Retail:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -48,7 +55,7 @@ class Retail:
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("staff_id"),
-            F.col("l_quantity").cast("int").alias("quantity"),
+            _whole("l_quantity").alias("quantity"),
             F.col("l_discount").alias("discount"),
             F.col("l_shipdate").alias("shipped_date"),
             F.col("l_extendedprice").alias("gross_amount"),
@@ -80,7 +87,7 @@ class Retail:
         return self._table("part").select(
             F.col("p_partkey").alias("product_id"),
             F.col("p_name").alias("product_name"),
-            F.substring_index("p_brand", "#", -1).cast("int").alias("brand_id"),
+            F.substring_index("p_brand", "#", -1).try_cast("int").alias("brand_id"),
             F.xxhash64("p_type").alias("category_id"),
             F.col("p_retailprice").alias("list_price"),
             F.col("p_brand").alias("brand_name"),
@@ -204,7 +211,6 @@ class Retail:
         )
 
 
-@lru_cache(maxsize=8)
 def retail(spark: SparkSession, path: str) -> Retail:
-    """The tables under ``path``, planned once per session."""
+    """The tables under ``path``, as their files are now."""
     return Retail(spark, path)

@@ -15,11 +15,11 @@ SHOP_TABLES: dict[str, Columns] = {
         "staff_id": "bigint",
         "order_date": "timestamp_ntz",
         "shipped_date": "timestamp_ntz",
-        "quantity": "int",
-        "list_price": "decimal(12,2)",
-        "discount": "decimal(4,2)",
-        "gross_amount": "decimal(14,2)",
-        "net_amount": "decimal(16,4)",
+        "quantity": "double",
+        "list_price": "double",
+        "discount": "double",
+        "gross_amount": "double",
+        "net_amount": "double",
     },
     "dim_date": {
         "date_key": "date",
@@ -55,7 +55,7 @@ SHOP_TABLES: dict[str, Columns] = {
         "brand_id": "int",
         "category_id": "int",
         "model_year": "int",
-        "list_price": "decimal(12,2)",
+        "list_price": "double",
     },
     "dim_brands": {
         "brand_id": "int",
@@ -85,11 +85,11 @@ WAREHOUSE_TABLES: dict[str, Columns] = {
         "customer_key": "bigint",
         "employee_key": "bigint",
         "product_key": "bigint",
-        "quantity": "int",
-        "gross_amount": "decimal(14,2)",
-        "net_amount": "decimal(16,4)",
-        "shipping_fee": "decimal(12,2)",
-        "taxes": "decimal(18,6)",
+        "quantity": "double",
+        "gross_amount": "double",
+        "net_amount": "double",
+        "shipping_fee": "double",
+        "taxes": "double",
     },
     "dim_date": SHOP_TABLES["dim_date"],
     "dim_customers": {
@@ -110,7 +110,7 @@ WAREHOUSE_TABLES: dict[str, Columns] = {
         "product_key": "bigint",
         "product_name": "string",
         "category": "string",
-        "standard_cost": "decimal(12,2)",
-        "list_price": "decimal(12,2)",
+        "standard_cost": "double",
+        "list_price": "double",
     },
 }

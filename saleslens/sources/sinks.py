@@ -17,7 +17,7 @@ def write_csv(report: DataFrame, folder: str, prefix: str, files: int | None = N
     only meant for a report known to be small.
     """
     path = f"{folder}/{prefix}_{datetime.now():%Y%m%d_%H%M%S}"
-    parts = report if files is None else report.coalesce(files)
+    parts = report if files is None else report.repartition(files)
     parts.write.option("header", True).csv(path)
     return path
 

@@ -13,7 +13,14 @@ from saleslens.sources.schemas import SHOP_TABLES, WAREHOUSE_TABLES
 
 def frame(spark: SparkSession, columns: dict[str, str], rows: list[dict]) -> DataFrame:
     ddl = ", ".join(f"{name} {kind}" for name, kind in columns.items())
-    return spark.createDataFrame([tuple(row.get(name) for name in columns) for row in rows], ddl)
+
+    def cell(row: dict, name: str, kind: str):
+        value = row.get(name)
+        return float(value) if kind == "double" and value is not None else value
+
+    return spark.createDataFrame(
+        [tuple(cell(row, name, kind) for name, kind in columns.items()) for row in rows], ddl
+    )
 
 
 def calendar(first: date, days: int) -> list[dict]:

@@ -22,7 +22,12 @@ from saleslens.operators.filters import SalesFilter, slice_cube
 from saleslens.plans import pages
 from shop import frame, shop, values, warehouse
 
-SALE = {"quantity": 2, "list_price": Decimal("10.00"), "discount": Decimal("0.10")}
+SALE = {
+    "quantity": 2,
+    "list_price": Decimal("10.00"),
+    "discount": Decimal("0.10"),
+    "order_date": datetime(2016, 1, 15),
+}
 
 
 def star(spark, facts, **dims):
@@ -210,11 +215,36 @@ def test_range_includes_both_days_whole(spark):
     stamps = ["2016-01-31T23:59:59", "2016-02-01T00:00:00", "2016-02-29T23:59:59", "2016-03-01"]
     facts = [
         {"sale_id": n, "order_date": datetime.fromisoformat(s)} for n, s in enumerate(stamps)
-    ] + [{"sale_id": 9}]
+    ] + [{"sale_id": 9, "order_date": None}]
     choice = SalesFilter(date_from=date(2016, 2, 1), date_to=date(2016, 2, 29))
     kept = pages.sales_frame(star(spark, facts), choice, dims=())
     assert values(kept.select("sale_id")) == [(1,), (2,)]
-    assert pages.sales_frame(star(spark, facts), dims=()).count() == 5
+    assert pages.sales_frame(star(spark, facts), dims=()).count() == 4
+
+
+def test_sales_without_a_date_leave_the_pages(spark):
+    facts = [
+        {"order_id": 1, "customer_id": 1, "product_id": 1, "store_id": 1},
+        {"order_id": 2, "customer_id": 2, "product_id": 2, "store_id": 1, "order_date": None},
+    ]
+    tables = star(spark, facts)
+    page = pages.sales_page(pages.sales_frame(tables))
+    assert values(page["kpi"]) == [(18.0, 1, 1, 18.0)]
+    assert values(page["top_quantity"]) == [("Road", 2)]
+
+
+def test_date_limits_do_not_follow_the_choice(spark):
+    stamps = [datetime(2016, 1, 1), datetime(2016, 3, 5, 12), datetime(2016, 9, 9)]
+    tables = star(spark, [{"sale_id": n, "order_date": s} for n, s in enumerate(stamps)])
+    choice = SalesFilter(date_from=date(2016, 3, 1), date_to=date(2016, 3, 31))
+    page = pages.sales_page(pages.sales_frame(tables, choice), fact=tables["fact_sales"])
+    assert values(page["dates"]) == [(date(2016, 1, 1), date(2016, 9, 9))]
+
+
+def test_numbers_rank_by_size(spark):
+    df = spark.createDataFrame([(10, "b"), (9, "a"), (2, None)], "n int, t string")
+    shown = values(options.filter_options((df, {"month": "n", "name": "t"})))
+    assert sorted(shown) == [("month", "10", 3), ("month", "2", 1), ("month", "9", 2), ("name", "a", 1), ("name", "b", 2)]
 
 
 def test_two_meanings_of_a_repeat_customer(spark):
@@ -351,10 +381,10 @@ def test_display_text(spark):
 def test_choices_and_preview(spark):
     tables = star(spark, [{"sale_id": n} for n in range(9, 0, -1)])
     assert sorted(values(pages.choices(tables))) == [
-        ("brand", "Ace"),
-        ("category", "Bikes"),
-        ("category", "Parts"),
-        ("store", "North"),
+        ("brand", "Ace", 1),
+        ("category", "Bikes", 1),
+        ("category", "Parts", 2),
+        ("store", "North", 1),
     ]
     shown = options.table_preview(
         {"fact_sales": tables["fact_sales"].select("sale_id", "store_id")}

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
+from saleslens.plans.catalog import CATALOG
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -61,7 +61,7 @@ def plans(spark):
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     made = {}
-    for name, build in contract.queries().items():
+    for name, build in CATALOG.items():
         execution = build(spark, SF_DIR)._jdf.queryExecution()
         made[name] = execution.executedPlan().toString()
     for key, value in before.items():
@@ -69,28 +69,28 @@ def plans(spark):
     return made
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_no_python_and_no_pairing_of_all_rows(plans, name):
     plan = plans[name]
     assert not re.search(r"Python|Pandas|Arrow", plan)
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_only_the_calendar_is_broadcast_regardless_of_size(plans, name):
     for line in plans[name].splitlines():
         if "BroadcastHashJoin" in line:
             assert "date_key_date" in line
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_windows_run_on_limited_rows_only(plans, name):
     if re.search(r"\bWindow\b", plans[name]):
         assert name == "staff_sales_share"
         assert "TakeOrderedAndProject(limit=10" in plans[name]
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_only_grouped_rows_meet_in_one_task(plans, name):
     lines = plans[name].splitlines()
     for at, line in enumerate(lines):
@@ -103,7 +103,7 @@ def test_top_lists_keep_only_their_head(plans, name):
     assert "TakeOrderedAndProject" in plans[name]
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - ROW_LEVEL))
+@pytest.mark.parametrize("name", sorted(set(CATALOG) - ROW_LEVEL))
 def test_reports_are_grouped(plans, name):
     assert "HashAggregate" in plans[name]
     # Sorting to group is only for the growth of the last two periods, a global aggregate.
@@ -117,7 +117,7 @@ def scan_columns(plan, table):
 
 def test_scans_read_only_what_a_report_uses(spark):
     def scanned(name, table):
-        execution = contract.queries()[name](spark, SF_DIR)._jdf.queryExecution()
+        execution = CATALOG[name](spark, SF_DIR)._jdf.queryExecution()
         return scan_columns(execution.executedPlan().toString(), table)
 
     assert scanned("trend_month", "lineitem") == [
@@ -160,7 +160,7 @@ def test_product_reports_shuffle_the_fact_once_and_combined(plans):
 
 
 def test_a_share_reads_its_groups_once(spark):
-    df = contract.queries()["store_sales_share"](spark, SF_DIR)
+    df = CATALOG["store_sales_share"](spark, SF_DIR)
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
+from saleslens.plans.catalog import CATALOG
+from saleslens.plans.oracle import ORACLE
 from compare import differences
-from saleslens.sources.parquet import forget_tables
 
 SOURCE = "/root/testdata/sf0.01"
 COPIED = ("region", "nation", "customer", "supplier", "part")
@@ -40,7 +40,6 @@ def skewed(spark, tmp_path_factory):
     yield str(folder)
     for key, value in before.items():
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    forget_tables()
 
 
 @pytest.fixture(scope="module")
@@ -55,11 +54,11 @@ def con(skewed):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_results_hold_under_skew(spark, skewed, con, name):
-    df = contract.queries()[name](spark, skewed)
+    df = CATALOG[name](spark, skewed)
     mine = df.toArrow()
-    theirs = con.sql(contract.oracle_sql()[name]).to_arrow_table()
+    theirs = con.sql(ORACLE[name]).to_arrow_table()
     assert differences(mine, theirs) == []
 
 
@@ -82,7 +81,7 @@ def executed_plan(df):
     ],
 )
 def test_joins_of_fact_rows_split_the_hot_key(spark, skewed, name):
-    assert "skew=true" in executed_plan(contract.queries()[name](spark, skewed))
+    assert "skew=true" in executed_plan(CATALOG[name](spark, skewed))
 
 
 def hottest(df, key):

@@ -5,8 +5,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from saleslens.functions.measures import with_net_sales
 from saleslens.plans import pages
-from saleslens.sources.parquet import conform, forget_tables, load_shop, load_warehouse, open_table
+from saleslens.plans.catalog import CATALOG
+from saleslens.sources.parquet import conform, load_shop, load_warehouse, open_table
 from saleslens.sources.schemas import SHOP_TABLES, WAREHOUSE_TABLES
 from saleslens.sources.sinks import shared, write_csv
 from shop import random_shop_rows, shop, values, warehouse
@@ -41,13 +43,38 @@ def test_a_missing_column_is_refused_and_types_are_cast(spark):
         conform(df.drop("brand_name"), SHOP_TABLES["dim_brands"], "dim_brands")
 
 
-def test_table_handles_are_kept_until_forgotten(spark, tmp_path):
+def test_values_that_a_type_cannot_hold_are_refused(spark):
+    columns = {"brand_id": "int", "price": "double"}
+    good = spark.createDataFrame([(2.0, Decimal("10.005")), (None, None)], "brand_id double, price decimal(10,3)")
+    assert values(conform(good, columns, "t")) == [(2, 10.005), (None, None)]
+    bad = spark.createDataFrame([(2.5, Decimal("10.005"))], "brand_id double, price decimal(10,3)")
+    with pytest.raises(Exception, match="t.brand_id can't be held as int: 2.5"):
+        conform(bad, columns, "t").collect()
+
+
+def test_fractions_of_units_prices_and_discounts_are_kept(spark):
+    assert {SHOP_TABLES["fact_sales"][c] for c in ("quantity", "list_price", "discount")} == {"double"}
+    kinds = "quantity double, list_price double, discount double"
+    row = spark.createDataFrame([(2.5, 10.005, 0.125)], kinds)
+    (net,) = values(with_net_sales(row).select("net_sales"))
+    assert net == (Decimal(21885938),)  # 21.8859375, half to even in millionths
+
+
+def test_appended_files_are_read(spark, tmp_path):
     path = f"{tmp_path}/t.parquet"
     spark.range(3).write.parquet(path)
-    first = open_table(spark, path)
-    assert open_table(spark, path) is first
-    forget_tables()
-    assert open_table(spark, path) is not first
+    assert open_table(spark, path).count() == 3
+    spark.range(7).write.mode("append").parquet(path)
+    assert open_table(spark, path).count() == 10
+
+
+def test_a_registered_query_reads_appended_files(spark, tmp_path):
+    for name in ("nation", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = CATALOG["filter_options"](spark, str(tmp_path)).count()
+    nations = spark.read.parquet(f"{tmp_path}/nation.parquet").limit(1)
+    nations.withColumn("n_name", F.lit("NEW")).write.mode("append").parquet(f"{tmp_path}/nation.parquet")
+    assert CATALOG["filter_options"](spark, str(tmp_path)).count() == before + 1
 
 
 def test_csv_has_a_header_and_every_row(spark, tmp_path):

@@ -140,9 +140,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     found = rows.select("doc_id", "label", "body").mapInArrow(
         _labelled, "doc_id string, label int, at array<int>, share array<float>"
     )
-    learned = sorted(found.collect(), key=lambda row: row.doc_id)
+    learned = found.toArrow().sort_by("doc_id").combine_chunks()
+    at, share = (learned.column(name).combine_chunks() for name in ("at", "share"))
     model = Model()
-    model.train([(row.label, np.array(row.at, np.int32), np.array(row.share, np.float32)) for row in learned])
+    model.train([
+        (label, np.asarray(at[k].values), np.asarray(share[k].values))
+        for k, label in enumerate(learned.column("label").to_pylist())
+    ])
     return model
 
 

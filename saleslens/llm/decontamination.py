@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from saleslens.llm.bytewise import ITEM_WORD, LOWER, blocks, hashes, words
 from saleslens.llm.common import stored
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 STRETCH_WORDS = 1 << 20
 #: Benchmark words that are sent to the executors at once, 8 bytes each (one item at least).
 BLOCK_WORDS = 1 << 20
@@ -237,6 +238,7 @@ def benchmark_blocks(
 def scan(
     docs: DataFrame, benchmark: DataFrame, kept: Column, window: int = 10, text: str = "text",
     item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS,
+    inside: bool = False,
 ) -> DataFrame:
     """One row per document: `kept` (any column of docs, as a struct) and `found`.
 
@@ -244,29 +246,35 @@ def scan(
     an occurrence of a benchmark window, found.items the items with such a window. A null text has
     no words, an empty benchmark hits nothing, items without an id or without words are passed
     over, equal items both count. A benchmark over `block_words` words is searched block by block,
-    each pass adding to what the pass before has found.
+    each pass adding to what the pass before has found. `inside` says that `kept` holds the text too,
+    as a field of that name, so that it travels once.
     """
     spark = docs.sparkSession
-    out = docs.select(kept.alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    body = [] if inside else [F.coalesce(F.col(text), F.lit("")).alias("body")]
+    out = docs.select(kept.alias("kept"), *body)
     every = benchmark_blocks(benchmark, item_id, item_text, window, block_words)
     suffixes = next(every)
     while suffixes is not None:
         following = next(every, None)
         shape = T.StructType([out.schema["kept"], FOUND])
-        if following is not None:
+        if following is not None and not inside:
             shape = shape.add(out.schema["body"])
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(suffixes), shape.names), shape)
+        run = _pass(spark.sparkContext.broadcast(suffixes), shape.names, text if inside else None)
+        out = out.mapInArrow(run, shape)
         if following is not None:
             out = stored(out)
         suffixes = following
     return out
 
 
-def _pass(sent, names: list[str]):
+def _pass(sent, names: list[str], field: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes = sent.value
         for batch in batches:
-            body = batch.column("body")
+            if field is None:
+                body = batch.column("body")
+            else:
+                body = pc.fill_null(batch.column("kept").field(field), "")
             n_words, spans, items = _hit_rows(body, suffixes)
             if "found" in batch.schema.names:
                 old = batch.column("found").to_pylist()
@@ -319,7 +327,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    out = scan(docs, benchmark, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), window)
+    out = scan(docs, benchmark, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), window, inside=True)
     return out.filter(F.size("found.spans") == 0).select("kept.*")
 
 

@@ -85,7 +85,10 @@ def test_only_the_calendar_is_broadcast_regardless_of_size(plans, name):
 
 @pytest.mark.parametrize("name", sorted(CATALOG))
 def test_windows_run_on_limited_rows_only(plans, name):
-    if re.search(r"\bWindow\b", plans[name]):
+    if name in ("filter_options", "cube_filter_options"):  # ranks the distinct values of each field
+        lines = [line for line in plans[name].splitlines() if re.search(r"\bWindow\b", line)]
+        assert len(lines) == 1 and "[field" in lines[0]
+    elif re.search(r"\bWindow\b", plans[name]):
         assert name == "staff_sales_share"
         assert "TakeOrderedAndProject(limit=10" in plans[name]
 

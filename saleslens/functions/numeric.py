@@ -1,7 +1,8 @@
 """Arithmetic with the null, zero and rounding rules every report shares.
 
 Amounts of single sales are multiplied as doubles and then snapped to whole millionths, which
-recovers the exact product of a price in cents and rates in percent. From there they are integers
+recovers the exact product of a price in cents and rates in percent for sales of up to 9e9; of
+larger ones a double keeps its 15 digits, and one of 9.2e12 or more is an error. From there they are integers
 in a decimal type: sums cannot depend on the order in which a cluster adds its rows, and a total
 is turned back into a double once, when it is published.
 """
@@ -28,8 +29,8 @@ def whole_micros(amount: Column) -> Column:
 
 
 def exact(micros: Column) -> Column:
-    """Millionths in the type they are summed in; their sums get ten digits more."""
-    return micros.cast("decimal(18,0)")
+    """Millionths in the type they are summed in, which holds any of them; sums get ten digits more."""
+    return micros.cast("decimal(19,0)")
 
 
 def published(total_micros: Column) -> Column:

@@ -54,15 +54,11 @@ def repeat_kpi(per_customer: DataFrame) -> DataFrame:
 def repeat_by_rows(per_customer: DataFrame, place: str) -> DataFrame:
     """Per place: customers, fact rows with an order, and how many customers have several.
 
-    ``per_customer`` is ``rows_per_customer`` with the customer's place joined on.
+    ``per_customer`` is ``rows_per_customer`` with the customer's place joined on: one row per
+    customer, or per customer and place.
     """
-    in_place = (
-        with_known(per_customer, place)
-        .groupBy(place, "customer_id")
-        .agg(F.sum("order_rows").alias("order_rows"))
-    )
     repeats = F.count_if(F.col("order_rows") > 1)
-    return in_place.groupBy(place).agg(
+    return with_known(per_customer, place).groupBy(place).agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum("order_rows").alias("orders"),
         six_places(ratio(repeats, F.count(F.lit(1)))).alias("repeat_rate"),
@@ -83,11 +79,21 @@ def repeat_by_orders(per_customer: DataFrame, place: str) -> DataFrame:
             six_places(
                 ratio(F.count_if(F.col("order_count") > 1), F.count(F.lit(1)))
             ).alias("repeat_rate"),
-            F.count_distinct("customer_id").alias("customers"),
+            F.count(F.lit(1)).alias("customers"),
         )
     )
 
 
+def by_repeat_rate(by_place: DataFrame, place: str) -> DataFrame:
+    """Highest repeat rate first, equal ones by place."""
+    return by_place.orderBy(F.desc("repeat_rate"), place)
+
+
+def count_by(per_customer: DataFrame, place: str) -> DataFrame:
+    """Customers per place, of a frame with one row per customer."""
+    return with_known(per_customer, place).groupBy(place).agg(F.count(F.lit(1)).alias("customers"))
+
+
 def customers_by(customers: DataFrame, place: str) -> DataFrame:
     """Distinct customers per place, of a customer dimension or of customers with sales."""
     return (
@@ -117,13 +123,14 @@ def top_by_repeat_rate(
 def largest_place(per_customer: DataFrame, *places: str) -> DataFrame:
     """Customers of the largest place of any kind (city, state), at least 1.
 
-    Each customer counts once for every kind of place it has, so the frame is read once.
+    Each customer counts once for every kind of place it has, so the frame, one row per customer,
+    is read once.
     """
     kinds = F.array(*[F.struct(F.lit(p).alias("kind"), F.col(p).alias("place")) for p in places])
     sizes = (
-        with_known(per_customer.select("customer_id", F.inline(kinds)), "place")
+        with_known(per_customer.select(F.inline(kinds)), "place")
         .groupBy("kind", "place")
-        .agg(F.count_distinct("customer_id").alias("customers"))
+        .agg(F.count(F.lit(1)).alias("customers"))
     )
     largest = F.coalesce(F.max("customers"), F.lit(1).cast("bigint"))
     return sizes.agg(F.greatest(F.lit(1).cast("bigint"), largest).alias("max_cust"))

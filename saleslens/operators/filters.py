@@ -38,6 +38,23 @@ def in_date_range(
     return sales
 
 
+def calendar_range(
+    year: int | None, quarter: int | None = None, month: int | None = None
+) -> tuple[date | None, date | None]:
+    """First and last day that the calendar slicers leave; without a year they leave no one range."""
+    if year is None:
+        return None, None
+    first, last = 1, 12
+    if quarter is not None:
+        first, last = 3 * quarter - 2, 3 * quarter
+    if month is not None:
+        first, last = max(first, month), min(last, month)
+    if first > last or not 1 <= first <= 12:
+        return date(year, 1, 1), date(year, 1, 1) - timedelta(days=1)
+    after = date(year + last // 12, last % 12 + 1, 1)
+    return date(year, first, 1), after - timedelta(days=1)
+
+
 def _midnight(day: date):
     return F.lit(day.isoformat()).cast("timestamp_ntz")
 

@@ -34,16 +34,21 @@ def sales_kpi(sales: DataFrame) -> DataFrame:
     )
 
 
-def sales_kpi_of_orders(orders: DataFrame) -> DataFrame:
+def sales_kpi_of_orders(orders: DataFrame, days: bool = False) -> DataFrame:
     """The same for a frame with one row per order, where orders need not be told apart: summed per
-    customer, then over all, without a copy of the rows for each distinct count."""
+    customer, then over all, without a copy of the rows for each distinct count. ``days`` adds the
+    first and last order date."""
+    dates = {"first_day": F.min, "last_day": F.max} if days else {}
     by_customer = orders.groupBy("customer_id").agg(
-        F.sum("net_sales").alias("net_sales"), F.count("order_id").alias("orders")
+        F.sum("net_sales").alias("net_sales"),
+        F.count("order_id").alias("orders"),
+        *(of("order_date").alias(name) for name, of in dates.items()),
     )
     counted = by_customer.agg(
         published(total("net_sales")).alias("total_sales"),
         total("orders").alias("orders"),
         F.count("customer_id").alias("customers"),
+        *(of(name).alias(name) for name, of in dates.items()),
     )
     return counted.withColumn("aov", six_places(ratio(F.col("total_sales"), F.col("orders"))))
 
@@ -126,12 +131,11 @@ def brand_category_rollup(sales: DataFrame) -> DataFrame:
 def discount_effect(sales: DataFrame, bins: Bins) -> DataFrame:
     """Quantity and net sales per discount range, empty ranges included.
 
-    Every bin contributes one row of zeros, so an empty bin needs no join to appear. Sales
+    ``sales`` holds the discounts, or is summed by their ``bin`` already. Every bin contributes one row of zeros, so an empty bin needs no join to appear. Sales
     outside the ranges belong to no bin.
     """
-    binned = with_known(
-        sales.select(bins.ordinal(F.col("discount")).alias("bin"), "quantity", "net_sales"), "bin"
-    )
+    place = F.col("bin") if "bin" in sales.columns else bins.ordinal(F.col("discount"))
+    binned = with_known(sales.select(place.alias("bin"), "quantity", "net_sales"), "bin")
     summed = binned.groupBy("bin").agg(
         total("quantity").alias("quantity"), total("net_sales").alias("net_sales")
     )

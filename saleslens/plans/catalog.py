@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from saleslens.functions import display
 from saleslens.functions.bins import LEFT_CLOSED, RIGHT_CLOSED
-from saleslens.functions.numeric import published, ratio, row_amount, total
+from saleslens.functions.numeric import ratio, row_amount
 from saleslens.functions.periods import with_period_columns
 from saleslens.operators import cube, customers, enrich, filters, options, sales, shipping, staff
 from saleslens.plans import frames
@@ -202,7 +202,7 @@ def sales_by_lists(data: Retail) -> DataFrame:
 
 @query
 def cube_slice(data: Retail) -> DataFrame:
-    rows = filters.slice_cube(frames.warehouse_rows(data), **SLICE).select(
+    rows = frames.warehouse_slice(data, **SLICE).select(
         "sale_id", *TIME_KEYS, "city_customer", "category_product", "revenue", "profit"
     )
     return _amounts(rows, "revenue", "profit")
@@ -210,7 +210,7 @@ def cube_slice(data: Retail) -> DataFrame:
 
 @query
 def cube_slice_kpi(data: Retail) -> DataFrame:
-    return cube.cube_kpi(filters.slice_cube(frames.warehouse_rows(data), **SLICE))
+    return cube.cube_kpi_of_slice(frames.warehouse_slice(data, **SLICE, home=False))
 
 
 @query
@@ -274,14 +274,7 @@ def sales_kpi(data: Retail) -> DataFrame:
 
 @query
 def kpi_display(data: Retail) -> DataFrame:
-    sold = frames.order_sales(data)
-    figures = sold.agg(
-        published(total("net_sales")).alias("total_sales"),
-        F.count_distinct("order_id").alias("orders"),
-        F.count_distinct("customer_id").alias("customers"),
-        F.min("order_date").alias("first_day"),
-        F.max("order_date").alias("last_day"),
-    )
+    figures = sales.sales_kpi_of_orders(frames.order_sales(data), days=True)
     return figures.select(
         display.currency(F.col("total_sales")).alias("total_sales"),
         display.whole(F.col("orders")).alias("orders"),
@@ -358,12 +351,12 @@ def brand_category_rollup(data: Retail) -> DataFrame:
 
 @query
 def discount_effect_left(data: Retail) -> DataFrame:
-    return sales.discount_effect(frames.priced_lines(data), LEFT_CLOSED)
+    return sales.discount_effect(frames.discount_sales(data, LEFT_CLOSED), LEFT_CLOSED)
 
 
 @query
 def discount_effect_right(data: Retail) -> DataFrame:
-    return sales.discount_effect(frames.priced_lines(data), RIGHT_CLOSED)
+    return sales.discount_effect(frames.discount_sales(data, RIGHT_CLOSED), RIGHT_CLOSED)
 
 
 @query
@@ -394,17 +387,19 @@ def repeat_by_city_rows(data: Retail) -> DataFrame:
 
 @query
 def repeat_by_state_orders(data: Retail) -> DataFrame:
-    return customers.repeat_by_orders(frames.customer_orders(data), "customer_state")
+    by_state = customers.repeat_by_orders(frames.customer_orders(data), "customer_state")
+    return customers.by_repeat_rate(by_state, "customer_state")
 
 
 @query
 def repeat_by_city_orders(data: Retail) -> DataFrame:
-    return customers.repeat_by_orders(frames.customer_orders(data), "customer_city")
+    by_city = customers.repeat_by_orders(frames.customer_orders(data), "customer_city")
+    return customers.by_repeat_rate(by_city, "customer_city")
 
 
 @query
 def customers_by_state(data: Retail) -> DataFrame:
-    return customers.customers_by(frames.customer_rows(data), "customer_state")
+    return customers.count_by(frames.customer_rows(data), "customer_state")
 
 
 @query

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saleslens.functions.bins import Bins
 from saleslens.functions.measures import (
     to_grain,
     with_discounted_units,
@@ -24,8 +25,9 @@ from saleslens.functions.measures import (
     with_priced_units,
     with_revenue,
 )
+from saleslens.functions.numeric import with_known
 from saleslens.functions.periods import with_period_columns, with_ship_lag
-from saleslens.operators import cube, customers, enrich, shipping
+from saleslens.operators import cube, customers, enrich, filters, shipping
 from saleslens.sources.retail import Retail
 
 
@@ -76,6 +78,16 @@ def product_sales(data: Retail) -> DataFrame:
     return with_priced_units(by_product)
 
 
+def discount_sales(data: Retail, bins: Bins) -> DataFrame:
+    """One row per product and discount range: quantity and net sales."""
+    lines = with_discounted_units(data.lines())
+    binned = lines.withColumn("bin", bins.ordinal(F.col("discount"))).select(
+        "product_id", "bin", "quantity", "discounted_units"
+    )
+    by_product = to_grain(with_known(binned, "bin"), "product_id", "bin")
+    return with_priced_units(by_product.join(data.prices(), "product_id", "left"))
+
+
 def staff_sales(data: Retail) -> DataFrame:
     """One row per seller."""
     lines = priced_lines(data).select("staff_id", "net_sales")
@@ -223,6 +235,37 @@ def warehouse_rows(data: Retail) -> DataFrame:
     return cube.with_time_hierarchy(cube.with_margin(cube.with_warehouse_measures(wide)))
 
 
+def warehouse_slice(
+    data: Retail,
+    year: int | None = None,
+    quarter: int | None = None,
+    month: int | None = None,
+    city: str | None = None,
+    category: str | None = None,
+    home: bool = True,
+) -> DataFrame:
+    """The rows of the cube that a slice keeps, with calendar, product and, if ``home`` or a city is
+    asked for, customer columns.
+
+    The calendar slicers also narrow the orders' own dates, which is what their scan can prune by.
+    """
+    days = filters.calendar_range(year, quarter, month)
+    headers = filters.in_date_range(data.orders(), *days)
+    headers = headers.select(
+        "order_id",
+        F.col("customer_id").alias("customer_key"),
+        F.col("order_date").cast("date").alias("order_date_key"),
+    )
+    headers = cube.with_calendar(headers, data.dates(), "order_date_key")
+    if home or city is not None:
+        headers = with_warehouse_home(headers, data)
+    how = "left" if days == (None, None) else "inner"
+    wide = cube.with_warehouse_product(data.warehouse_lines(), data.warehouse_products())
+    wide = cube.with_warehouse_measures(wide).join(headers, "order_id", how)
+    wide = cube.with_time_hierarchy(cube.with_margin(wide))
+    return filters.slice_cube(wide, year, quarter, month, city, category)
+
+
 def warehouse_places(data: Retail) -> DataFrame:
     """Fact rows with category, city and amounts: what the summary and its sales counts read."""
     headers = data.warehouse_orders().select("order_id", "customer_key")

@@ -21,14 +21,14 @@ sales AS (
          CAST(l_shipdate AS DATE) AS shipped_date,
          date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS lag_days,
          CAST(l_quantity AS INTEGER) AS quantity,
-         CAST(p_retailprice AS DECIMAL(12,2)) AS list_price,
-         CAST(l_discount AS DECIMAL(4,2)) AS discount,
-         CAST(l_quantity AS DECIMAL(6,0)) * CAST(p_retailprice AS DECIMAL(12,2))
-           * (1 - CAST(l_discount AS DECIMAL(4,2))) AS net_sales,
-         CAST(l_extendedprice AS DECIMAL(14,2)) AS gross_amount,
-         CAST(l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
+         CAST(p_retailprice AS DECIMAL(14,4)) AS list_price,
+         CAST(l_discount AS DECIMAL(6,4)) AS discount,
+         CAST(l_quantity AS DECIMAL(12,2)) * CAST(p_retailprice AS DECIMAL(14,4))
+           * (1 - CAST(l_discount AS DECIMAL(6,4))) AS net_sales,
+         CAST(l_extendedprice AS DECIMAL(16,4)) AS gross_amount,
+         CAST(l_extendedprice AS DECIMAL(16,4)) * (1 - CAST(l_discount AS DECIMAL(6,4)))
            AS net_amount,
-         CAST(l_tax AS DECIMAL(4,2)) AS tax_rate,
+         CAST(l_tax AS DECIMAL(6,4)) AS tax_rate,
          p_name AS product_name,
          p_brand AS brand_name,
          p_type AS category_name,
@@ -463,8 +463,12 @@ ORACLE: dict[str, str] = {
         f"""SELECT customer_city, customers, orders, repeat_rate
         FROM ({_by_rows('customer_city')}) t"""
     ),
-    "repeat_by_state_orders": _sales(_by_orders("customer_state")),
-    "repeat_by_city_orders": _sales(_by_orders("customer_city")),
+    "repeat_by_state_orders": _sales(
+        _by_orders("customer_state") + " ORDER BY repeat_rate DESC, customer_state"
+    ),
+    "repeat_by_city_orders": _sales(
+        _by_orders("customer_city") + " ORDER BY repeat_rate DESC, customer_city"
+    ),
     "customers_by_state": _sales(
         """SELECT customer_state, count(DISTINCT customer_id) AS customers
         FROM sales WHERE customer_state IS NOT NULL GROUP BY 1"""

@@ -19,6 +19,11 @@ class SalesFilter:
     brands: tuple[str, ...] = ()
     categories: tuple[str, ...] = ()
 
+    def dims(self) -> tuple[str, ...]:
+        """The dimensions that hold the chosen names."""
+        product = ("product",) if self.brands or self.categories else ()
+        return product + (("store",) if self.stores else ())
+
     def apply(self, sales: DataFrame) -> DataFrame:
         sales = in_date_range(sales, self.date_from, self.date_to)
         sales = in_list(sales, "store_name", self.stores)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from saleslens.functions import display
 from saleslens.functions.bins import LEFT_CLOSED, RIGHT_CLOSED
+from saleslens.functions.measures import with_net_sales
 from saleslens.functions.numeric import ratio, row_amount
 from saleslens.functions.periods import with_period_columns
 from saleslens.operators import cube, customers, enrich, filters, options, sales, shipping, staff
-from saleslens.plans import frames
+from saleslens.plans import frames, pages
 from saleslens.sources.retail import Retail, retail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,9 +106,8 @@ def time_hierarchy(data: Retail) -> DataFrame:
 # Joins
 
 
-@query
-def star_enriched(data: Retail) -> DataFrame:
-    rows = frames.enriched_lines(data).select(
+def _star(enriched: DataFrame) -> DataFrame:
+    rows = enriched.select(
         "sale_id",
         "order_id",
         "customer_id",
@@ -125,14 +125,25 @@ def star_enriched(data: Retail) -> DataFrame:
     return _amounts(rows, "net_sales")
 
 
+@query
+def star_enriched(data: Retail) -> DataFrame:
+    return _star(frames.enriched_lines(data))
+
+
+@query
+def star_of_tables(data: Retail) -> DataFrame:
+    """The same by the joins of a loaded star, brand and category from tables of their own."""
+    tables = data.shop()
+    return _star(enrich.enrich(with_net_sales(tables["fact_sales"]), tables))
+
+
 @query
 def snowflake_products(data: Retail) -> DataFrame:
     return enrich.product_dimension(data.snowflake_products(), data.categories(), data.brands())
 
 
-@query
-def cube_b(data: Retail) -> DataFrame:
-    rows = frames.warehouse_rows(data).select(
+def _warehouse_rows(cube_: DataFrame) -> DataFrame:
+    rows = cube_.select(
         "sale_id",
         _iso("order_date_key"),
         "customer_key",
@@ -155,8 +166,18 @@ def cube_b(data: Retail) -> DataFrame:
 
 
 @query
-def cube_a(data: Retail) -> DataFrame:
-    rows = frames.shop_rows(data).select(
+def cube_b(data: Retail) -> DataFrame:
+    return _warehouse_rows(frames.warehouse_rows(data))
+
+
+@query
+def cube_b_of_tables(data: Retail) -> DataFrame:
+    tables = data.warehouse()
+    return _warehouse_rows(cube.warehouse_cube(tables["fact_sales"], tables))
+
+
+def _shop_rows(cube_: DataFrame) -> DataFrame:
+    rows = cube_.select(
         "sale_id",
         "customer_id",
         "staff_id",
@@ -177,6 +198,17 @@ def cube_a(data: Retail) -> DataFrame:
     return _amounts(rows, *AMOUNTS)
 
 
+@query
+def cube_a(data: Retail) -> DataFrame:
+    return _shop_rows(frames.shop_rows(data))
+
+
+@query
+def cube_a_of_tables(data: Retail) -> DataFrame:
+    tables = data.shop()
+    return _shop_rows(cube.shop_cube(tables["fact_sales"], tables))
+
+
 # Filters
 
 
@@ -286,6 +318,27 @@ def kpi_display(data: Retail) -> DataFrame:
     )
 
 
+@query
+def page_kpi(data: Retail) -> DataFrame:
+    """By the frame of a page over a loaded star, as are the next two."""
+    return sales.sales_kpi(pages.sales_frame(data.shop(), dims=()))
+
+
+@query
+def page_brand_category(data: Retail) -> DataFrame:
+    tables = data.shop()
+    named = pages.product_sales(pages.sales_frame(tables, dims=()), tables)
+    return sales.brand_category_sales(named)
+
+
+@query
+def page_repeat_by_state(data: Retail) -> DataFrame:
+    tables = data.shop()
+    counted = customers.rows_per_customer(pages.sales_frame(tables, dims=()))
+    located = enrich.with_customer_geo(counted, tables["dim_customers"])
+    return customers.repeat_by_rows(located, "customer_state")
+
+
 @query
 def trend_month(data: Retail) -> DataFrame:
     return sales.sales_trend(frames.period_sales(data), "month").orderBy("month")

@@ -162,15 +162,15 @@ def warehouse_costed(data: Retail) -> DataFrame:
     return cube.with_warehouse_measures(wide)
 
 
-def with_warehouse_home(df: DataFrame, data: Retail) -> DataFrame:
-    """Customer columns of the cube for ``customer_key``."""
+def with_warehouse_home(df: DataFrame, data: Retail, region: bool = False) -> DataFrame:
+    """Customer columns of the cube for ``customer_key``, with the region only if it is read."""
     buyers = data.buyers().select(
         F.col("customer_id").alias("customer_key"),
         F.col("customer_fullname").alias("company_name_customer"),
         "segment",
         "nation_id",
     )
-    places = data.places().withColumnsRenamed(
+    places = (data.places() if region else data.states()).withColumnsRenamed(
         {"state": "state_province_customer", "country_region": "country_region_customer"}
     )
     city = F.concat("state_province_customer", F.lit(" "), "segment")
@@ -185,9 +185,7 @@ def with_warehouse_seller(df: DataFrame, data: Retail) -> DataFrame:
         F.col("staff_fullname").alias("full_name_employee"),
         F.col("store_id").alias("nation_id"),
     )
-    places = data.places().withColumnsRenamed(
-        {"state": "city_employee", "country_region": "country_region_employee"}
-    )
+    places = data.states().withColumnRenamed("state", "city_employee")
     placed = df.join(sellers, "employee_key", "left").join(places, "nation_id", "left")
     return placed.drop("nation_id")
 
@@ -195,7 +193,7 @@ def with_warehouse_seller(df: DataFrame, data: Retail) -> DataFrame:
 def warehouse_headers(data: Retail) -> DataFrame:
     """Orders with their calendar and customer columns."""
     headers = cube.with_calendar(data.warehouse_orders(), data.dates(), "order_date_key")
-    return with_warehouse_home(headers, data)
+    return with_warehouse_home(headers, data, region=True)
 
 
 def warehouse_by_product(data: Retail) -> DataFrame:

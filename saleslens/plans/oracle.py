@@ -558,3 +558,14 @@ ORACLE: dict[str, str] = {
     "cube_a_month_financial": MONTH_FINANCIAL,
     "cube_a_summary": _summary("category_name_category", "customer_city_customer"),
 }
+
+# The same results by the public operators over a loaded star. The pages drop undated sales.
+DATED = "FROM sales WHERE order_date IS NOT NULL"
+ORACLE |= {
+    "star_of_tables": ORACLE["star_enriched"],
+    "cube_a_of_tables": ORACLE["cube_a"],
+    "cube_b_of_tables": ORACLE["cube_b"],
+    "page_kpi": ORACLE["sales_kpi"].replace("FROM sales", DATED),
+    "page_brand_category": ORACLE["brand_category_sales"].replace("FROM sales WHERE", DATED + " AND"),
+    "page_repeat_by_state": ORACLE["repeat_by_state_rows"].replace("FROM sales\n            WHERE", DATED + " AND"),
+}

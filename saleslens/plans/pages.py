@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleslens.functions.bins import LEFT_CLOSED, RIGHT_CLOSED
-from saleslens.functions.measures import with_line_count, with_net_sales
+from saleslens.functions.measures import to_grain, with_line_count, with_net_sales
 from saleslens.functions.periods import PERIODS, with_period_columns, with_ship_lag
 from saleslens.operators import cube, customers, options, sales, shipping, staff
-from saleslens.operators.enrich import DIMENSIONS, enrich, with_customer_geo, with_staff_names
+from saleslens.operators.enrich import (
+    DIMENSIONS,
+    enrich,
+    product_dimension,
+    with_customer_geo,
+    with_products,
+    with_staff_names,
+)
 from saleslens.operators.filters import SalesFilter
 
 Tables = dict[str, DataFrame]
@@ -25,10 +32,39 @@ def sales_frame(
 ) -> DataFrame:
     """Sales with net sales, period columns and dimension names, narrowed to ``choice``.
 
-    A sale without an order date lies in no range, not even the default one of all days.
+    Joined are ``dims`` and the dimensions that ``choice`` filters by. A sale without an order date lies in no range, not even the default one of all days.
     """
     fact = with_period_columns(with_net_sales(with_line_count(tables["fact_sales"])))
-    return choice.apply(enrich(fact, tables, dims)).filter(F.col("order_date").isNotNull())
+    wide = enrich(fact, tables, (*dims, *choice.dims()))
+    return choice.apply(wide).filter(F.col("order_date").isNotNull())
+
+
+def product_sales(frame: DataFrame, tables: Tables) -> DataFrame:
+    """``frame`` with product names: summed by product before they are joined, unless it has them."""
+    if "product_name" in frame.columns:
+        return frame
+    summed = to_grain(frame.select("product_id", "quantity", "net_sales"), "product_id")
+    names = product_dimension(tables["dim_products"], tables["dim_categories"], tables["dim_brands"])
+    return with_products(summed, names)
+
+
+def sales_report(
+    tables: Tables, choice: SalesFilter = SalesFilter(), period: str = "month"
+) -> Page:
+    """The sales page straight from the star: figures without names join no dimension but those
+    that ``choice`` filters by, and the others join it to sales summed by product."""
+    frame = sales_frame(tables, choice, ())
+    return sales_page(frame, period, tables["fact_sales"], product_sales(frame, tables))
+
+
+def customer_report(tables: Tables, choice: SalesFilter = SalesFilter()) -> Page:
+    """The customer page straight from the star."""
+    return customer_page(sales_frame(tables, choice, ()), tables["dim_customers"])
+
+
+def employee_report(tables: Tables, choice: SalesFilter = SalesFilter()) -> Page:
+    """The employee page straight from the star."""
+    return employee_page(sales_frame(tables, choice, ("store",)), tables["dim_staffs"])
 
 
 def choices(tables: Tables) -> DataFrame:
@@ -40,48 +76,59 @@ def choices(tables: Tables) -> DataFrame:
     )
 
 
-def sales_page(frame: DataFrame, period: str = "month", fact: DataFrame | None = None) -> Page:
+def sales_page(
+    frame: DataFrame,
+    period: str = "month",
+    fact: DataFrame | None = None,
+    products: DataFrame | None = None,
+) -> Page:
     """The tables of the page. ``fact`` is the unfiltered fact, whose first and last day limit the
-    choice of dates whatever is chosen; without it the frame stands in for it."""
+    choice of dates whatever is chosen; ``products`` is the frame with product names, at any grain.
+    Without them the frame stands in for both."""
     if period not in PERIODS:
         raise ValueError(f"period must be one of {', '.join(PERIODS)}")
     trend = sales.sales_trend(frame, period)
     by_id = ("product_id", "product_name")
+    named = frame if products is None else products
     return {
         "kpi": sales.sales_kpi(frame),
         "dates": sales.date_bounds(frame if fact is None else fact),
         "trend": trend.orderBy(period),
         "growth": sales.period_growth(trend, period),
-        "top_revenue": sales.top_products(frame, "net_sales"),
-        "top_quantity": sales.top_products(frame, "quantity"),
-        "top_revenue_by_id": sales.top_products(frame, "net_sales", by_id),
-        "top_quantity_by_id": sales.top_products(frame, "quantity", by_id),
-        "brand_category": sales.brand_category_sales(frame),
-        "brand_category_rollup": sales.brand_category_rollup(frame),
+        "top_revenue": sales.top_products(named, "net_sales"),
+        "top_quantity": sales.top_products(named, "quantity"),
+        "top_revenue_by_id": sales.top_products(named, "net_sales", by_id),
+        "top_quantity_by_id": sales.top_products(named, "quantity", by_id),
+        "brand_category": sales.brand_category_sales(named),
+        "brand_category_rollup": sales.brand_category_rollup(named),
         "discount_left": sales.discount_effect(frame, LEFT_CLOSED),
         "discount_right": sales.discount_effect(frame, RIGHT_CLOSED),
     }
 
 
 def customer_page(frame: DataFrame, dim_customers: DataFrame) -> Page:
+    """The tables of the page. Where customers live is joined to one row per customer, so the frame
+    needs no dimension."""
     state, city = "customer_state", "customer_city"
-    by_state = customers.repeat_by_rows(customers.rows_per_customer(frame, state), state)
-    by_city = customers.repeat_by_rows(customers.rows_per_customer(frame, city), city)
+    counted = customers.rows_per_customer(frame)
+    located = with_customer_geo(counted, dim_customers)
+    by_state = customers.repeat_by_rows(located, state)
+    by_city = customers.repeat_by_rows(located, city)
     ordered = with_customer_geo(customers.orders_per_customer(frame), dim_customers)
     state_orders = customers.repeat_by_orders(ordered, state)
     city_orders = customers.repeat_by_orders(ordered, city)
     threshold = customers.with_default_threshold(customers.largest_place(ordered, city, state))
     enough = threshold.select("min_c")
     return {
-        "kpi": customers.repeat_kpi(customers.rows_per_customer(frame)),
-        "customers_by_state": customers.customers_by(frame, state),
+        "kpi": customers.repeat_kpi(counted),
+        "customers_by_state": customers.count_by(located, state),
         "customers_by_state_dim": customers.customers_by(dim_customers, state),
         "repeat_by_state": by_state,
         "repeat_by_city": by_city,
         "top_states": customers.top_by_customers(by_state, state),
         "top_repeat_states": customers.top_by_repeat_rate(by_state, state),
-        "repeat_by_state_orders": state_orders,
-        "repeat_by_city_orders": city_orders,
+        "repeat_by_state_orders": customers.by_repeat_rate(state_orders, state),
+        "repeat_by_city_orders": customers.by_repeat_rate(city_orders, city),
         "threshold": threshold,
         "top_repeat_states_orders": customers.top_by_repeat_rate(state_orders, state, enough),
         "top_repeat_cities_orders": customers.top_by_repeat_rate(city_orders, city, enough),

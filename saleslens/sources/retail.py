@@ -184,6 +184,48 @@ class Retail:
             )
         )
 
+    def shop(self) -> dict[str, DataFrame]:
+        """The bike-shop star as tables of their own, as ``load_shop`` gives them."""
+        sellers = self.staffs().select("staff_id", "store_id")
+        fact = self.lines().join(self.prices(), "product_id", "left")
+        fact = fact.join(sellers, "staff_id", "left").join(self.orders(), "order_id", "left")
+        return {
+            "fact_sales": fact.drop("line_count"),
+            "dim_date": self.dates(),
+            "dim_customers": self.customers(),
+            "dim_staffs": self.staffs(),
+            "dim_products": self.snowflake_products(),
+            "dim_brands": self.brands(),
+            "dim_categories": self.categories(),
+            "dim_stores": self.stores(),
+        }
+
+    def warehouse(self) -> dict[str, DataFrame]:
+        """The general sales star as tables of their own, as ``load_warehouse`` gives them."""
+        home = self.places()
+        city = F.concat("state", F.lit(" "), "segment")
+        customers = self.buyers().join(home, "nation_id", "left").select(
+            "customer_id",
+            F.col("customer_fullname").alias("company_name"),
+            city.alias("city"),
+            "country_region",
+            F.col("state").alias("state_province"),
+        )
+        sellers = self.staffs().withColumnRenamed("store_id", "nation_id")
+        employees = sellers.join(home, "nation_id", "left").select(
+            F.col("staff_id").alias("employee_key"),
+            F.col("staff_fullname").alias("full_name"),
+            F.col("state").alias("city"),
+            "country_region",
+        )
+        return {
+            "fact_sales": self.warehouse_lines().join(self.warehouse_orders(), "order_id", "left"),
+            "dim_date": self.dates(),
+            "dim_customers": customers,
+            "dim_employees": employees,
+            "dim_products": self.warehouse_products(),
+        }
+
     # The same tables under the names of the general sales warehouse.
 
     @table

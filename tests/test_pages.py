@@ -347,3 +347,25 @@ def test_bins_and_the_unbinned_add_up(random_shop):
     outside = frame.filter(RIGHT_CLOSED.ordinal(F.col("discount")).isNull())
     rest = outside.agg(F.sum("quantity")).collect()[0][0]
     assert binned + rest == frame.agg(F.sum("quantity")).collect()[0][0]
+
+
+def test_reports_straight_from_the_star_equal_the_pages(random_shop):
+    tables = random_shop.tables
+    choice = SalesFilter(
+        stores=tuple(x for (x,) in random_shop.sql("SELECT store_name FROM dim_stores LIMIT 2")),
+        brands=tuple(x for (x,) in random_shop.sql("SELECT brand_name FROM dim_brands LIMIT 3")),
+    )
+    for chosen in (SalesFilter(), choice):
+        frame = pages.sales_frame(tables, chosen)
+        whole = pages.sales_page(frame, "month", tables["fact_sales"])
+        lean = pages.sales_report(tables, chosen)
+        for name in ("kpi", "top_revenue", "top_quantity_by_id", "brand_category_rollup"):
+            same(lean[name], values(whole[name]))
+    people = pages.customer_report(tables, choice)
+    state = "customer_state"
+    by_state = customers.repeat_by_rows(
+        customers.rows_per_customer(pages.sales_frame(tables, choice), state), state
+    )
+    same(people["repeat_by_state"], values(by_state))
+    staff = pages.employee_page(pages.sales_frame(tables, choice), tables["dim_staffs"])
+    same(pages.employee_report(tables, choice)["kpi"], values(staff["kpi"]))

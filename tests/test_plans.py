@@ -7,7 +7,10 @@ import re
 
 import pytest
 
+from saleslens.operators.filters import SalesFilter
+from saleslens.plans import pages
 from saleslens.plans.catalog import CATALOG
+from shop import random_shop_rows, shop
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -33,6 +36,26 @@ ROW_LEVEL = {
     "sales_in_range",
     "sales_by_lists",
     "cube_slice",
+    "star_of_tables",
+    "cube_a_of_tables",
+    "cube_b_of_tables",
+}
+
+# Queries that count distinct keys in a narrow scan of their own, apart from the sums.
+TWO_SCANS = {
+    "cube_a_kpi",
+    "cube_kpi",
+    "store_performance",
+    "store_performance_orders",
+    "top_staff_orders",
+    "top_staff_sales",
+}
+# Queries that read a result twice; the second reading reuses the exchange of the first.
+REUSED = {
+    "store_orders_share",
+    "store_sales_share",
+    "top_cities_repeat",
+    "top_states_repeat_orders",
 }
 
 TOP_LISTS = [
@@ -168,3 +191,52 @@ def test_a_share_reads_its_groups_once(spark):
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
     assert final.count("lineitem.parquet") <= 1
+
+
+@pytest.mark.parametrize("name", sorted(set(CATALOG) - REUSED))
+def test_the_fact_is_scanned_once_unless_listed(plans, name):
+    most = 2 if name in TWO_SCANS else 1
+    found = plans[name].count("lineitem.parquet")
+    # cube_filter_options lists what was sold: days, customers and products, each in a narrow scan
+    assert found <= (3 if name == "cube_filter_options" else most)
+
+
+@pytest.mark.parametrize("name, joins", [("cube_slice", 5), ("cube_slice_kpi", 3)])
+def test_slices_join_what_they_read_and_prune_orders(plans, name, joins):
+    plan = plans[name]
+    assert len(re.findall(r"SortMergeJoin|HashJoin", plan)) == joins
+    scans = [line for line in plan.splitlines() if "orders.parquet" in line]
+    assert any(
+        "GreaterThanOrEqual(o_orderdate,1998-01-01" in scan
+        and "LessThan(o_orderdate,1998-04-01" in scan
+        for scan in scans
+    )
+
+
+@pytest.mark.parametrize("name", ["discount_effect_left", "discount_effect_right"])
+def test_discounts_reach_the_price_summed(plans, name):
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plans[name])
+    keys = [re.sub(r"#\d+L?|, \d+$", "", key) for key in exchanges]
+    assert "product_id, bin" in keys and keys.count("product_id") == 2
+
+
+@pytest.mark.parametrize("name", ["sales_kpi", "kpi_display"])
+def test_order_kpis_copy_no_rows(plans, name):
+    assert "Expand" not in plans[name]
+
+
+def joined(df):
+    return len(re.findall(r"SortMergeJoin|HashJoin", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_page_tables_join_only_what_they_read(spark):
+    tables = shop(spark, random_shop_rows(1))
+    page = pages.sales_report(tables)
+    for name in ("kpi", "trend", "growth", "discount_left", "dates"):
+        assert joined(page[name]) == 0, name
+    for name in ("top_revenue", "top_quantity_by_id", "brand_category"):
+        assert joined(page[name]) == 3, name  # product, brand and category
+    chosen = pages.sales_report(tables, SalesFilter(stores=("a",)))
+    assert joined(chosen["kpi"]) == 1
+    people = pages.customer_report(tables)
+    assert joined(people["kpi"]) == 0 and joined(people["repeat_by_state"]) == 1

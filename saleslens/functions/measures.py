@@ -53,7 +53,7 @@ def with_discounted_units(sales: DataFrame) -> DataFrame:
 def with_priced_units(by_product: DataFrame) -> DataFrame:
     """Net sales of summed ``discounted_units`` that share one list price; exact in decimals for
     prices of up to six places."""
-    unit_price = number("list_price").cast("decimal(18,6)")
+    unit_price = number("list_price").cast("decimal(20,6)")
     return by_product.withColumn(
         "net_sales", (F.col("discounted_units") * unit_price).cast("decimal(38,0)")
     )

@@ -7,6 +7,7 @@ from math import inf
 import pytest
 from pyspark.sql import functions as F
 
+from saleslens.functions import measures
 from saleslens.functions import display
 from saleslens.functions.bins import LEFT_CLOSED, RIGHT_CLOSED
 from saleslens.functions.measures import with_line_count, with_net_sales
@@ -398,3 +399,18 @@ def test_unknown_choices_are_refused(spark):
         enrich(with_net_sales(with_line_count(tables["fact_sales"])), tables, ("planet",))
     with pytest.raises(ValueError, match="period"):
         pages.sales_page(pages.sales_frame(tables), "week")
+
+
+def test_fractions_and_large_sales_agree_on_both_paths(spark):
+    rows = spark.createDataFrame(
+        [(1, 2.5, 0.125, 10.005), (1, 3.0, 0.0, 10.005), (2, 1.0, 0.0, 1e12)],
+        "product_id long, quantity double, discount double, list_price double",
+    )
+    prices = rows.select("product_id", "list_price").distinct()
+    by_row = measures.to_grain(measures.with_net_sales(rows), "product_id")
+    units = measures.with_discounted_units(rows).select("product_id", "discounted_units")
+    summed = measures.to_grain(units, "product_id").join(prices, "product_id")
+    for df in (by_row, measures.with_priced_units(summed)):
+        net = {row.product_id: int(row.net_sales) for row in df.collect()}
+        assert abs(net[1] - 51_900_938) <= 1
+        assert net[2] == 10**18

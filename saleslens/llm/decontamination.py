@@ -102,6 +102,7 @@ class Shard:
 
     def __init__(self, found: np.ndarray, text: np.ndarray, suffixes: Suffixes):
         self.known, number = np.unique(found, return_inverse=True)
+        self.text = text
         ordinal = np.cumsum(np.r_[0, np.diff(text) != 0]) if len(text) else text
         self.place = np.arange(len(found)) + ordinal
         length = len(found) + (int(ordinal[-1]) + 1 if len(text) else 0)
@@ -132,27 +133,30 @@ class Shard:
             if hit.any():
                 yield these[hit], int(width), low[hit], high[hit]
 
-    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words hit, by word; and pairs of a word that begins a window and an item with that window."""
+    def hits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words hit, by word; and pairs of a text and an item with a window in it, once a window.
+
+        The occurrences of a window are counted by text before they meet its items, so that a
+        frequent window of many items gives no more pairs than texts and items have in common.
+        """
         s, edge = self.suffixes, np.zeros(len(self.seq) + 1, dtype=np.int64)
-        begins, owners = [], []
+        owners = [np.zeros((2, 0), np.int64)]
         for these, width, low, high in self.ranges():
-            _, one = np.unique(low, return_index=True)
+            windows, one = np.unique(low, return_index=True)
             count = (high - low)[one]
             first = np.cumsum(count) - count
-            at = self.order[np.arange(int(count.sum())) + np.repeat(low[one] - first, count)]
+            at = self.order[np.arange(int(count.sum())) + np.repeat(windows - first, count)]
             edge += np.bincount(at, minlength=len(edge))
             edge -= np.bincount(at + width, minlength=len(edge))
+            inside = np.stack([np.repeat(np.arange(len(windows)), count), self.text[self.word[at]]])
+            window, text = np.unique(inside, axis=1)
             item = np.unique(np.stack([low, s.item[these]]), axis=1)
-            group = np.searchsorted(low[one], item[0])
-            begins.append((group, item[1], first, count, at))
-        covered = np.cumsum(edge)[self.place] > 0
-        for group, item, first, count, at in begins:
-            size = count[group]
-            spread = np.arange(int(size.sum())) + np.repeat(first[group] - (np.cumsum(size) - size), size)
-            owners.append(np.stack([self.word[at[spread]], np.repeat(item, size)]))
-        pairs = np.concatenate(owners, axis=1) if owners else np.zeros((2, 0), np.int64)
-        return covered, pairs[0], pairs[1]
+            group = np.searchsorted(windows, item[0])
+            bounds = np.searchsorted(window, np.arange(len(windows) + 1))
+            size = np.diff(bounds)[group]
+            spread = np.arange(int(size.sum())) + np.repeat(bounds[group] - (np.cumsum(size) - size), size)
+            owners.append(np.stack([text[spread], np.repeat(item[1], size)]))
+        return np.cumsum(edge)[self.place] > 0, np.concatenate(owners, axis=1)
 
     def longest(self) -> Iterator[tuple[int, int, int]]:
         """(suffix, word, length) of the longest match of each suffix whose window occurs."""
@@ -194,9 +198,9 @@ def _hit_rows(texts: pa.Array, suffixes: Suffixes) -> tuple[list, list, list]:
         covered, pairs = np.zeros(len(found), bool), [np.zeros((2, 0), np.int64)]
         if suffixes.names:
             for at, shard in _stretches(found, text, suffixes):
-                hit, word, item = shard.hits()
+                hit, owned = shard.hits()
                 covered[at : at + len(hit)] |= hit
-                pairs.append(np.unique(np.stack([text[word + at], item]), axis=1))
+                pairs.append(np.unique(owned, axis=1))
         first = np.searchsorted(text, np.arange(end - row + 1))
         edge = covered.copy()
         edge[1:] = covered[1:] & (~covered[:-1] | (text[1:] != text[:-1]))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -92,6 +93,18 @@ def test_decontamination_against_brute_force(spark, block, monkeypatch):
     assert kept.columns == docs.columns
 
 
+def test_frequent_windows_of_many_items_give_few_pairs():
+    text = pa.array(["the " * 5_000, "the end", None, "The"], pa.large_string()).fill_null("")
+    items = [(str(k), np.concatenate([f for _, _, f, _ in decontamination._read(pa.array(["the"], pa.large_string()))])) for k in range(50)]
+    suffixes = decontamination.Suffixes(items, 10)
+    _, _, found, rows = next(decontamination._read(text))
+    hit, pairs = decontamination.Shard(found, rows, suffixes).hits()
+    assert pairs.shape == (2, 150) and hit.sum() == 5_002
+    n_words, spans, names = decontamination._hit_rows(text, suffixes)
+    assert n_words == [5_000, 2, 0, 1] and spans == [[0, 5_000], [0, 1], [], [0, 1]]
+    assert [len(x) for x in names] == [50, 50, 0, 50]
+
+
 def test_longest_matches(spark):
     item = prose(1, 40)
     docs = documents(spark, [prose(2, 30) + " " + " ".join(item.split()[3:25]) + " zz", "", None])
@@ -283,6 +296,19 @@ def test_surrogates_are_distinct_and_new(spark):
     assert any(r.attempt for r in rows)
 
 
+def test_surrogates_of_crowded_formats(spark):
+    numbers = [("phone", f"+1|{k:04d}") for k in range(9_900)] + [("phone", "+1|12345"), ("phone", "+2|1234")]
+    letters = [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    found = spark.createDataFrame(numbers + letters, "kind string, value string")
+    rows = pii.surrogates(found.repartition(2)).collect()
+    assert len(rows) == len({(r.kind, r.made) for r in rows}) == len(numbers) + len(letters)
+    assert all(len(r.made) == len(r.value) and r.made[:3] == r.value[:3] for r in rows if r.kind == "phone")
+    mails = {r.made for r in rows if r.kind == "email"}
+    assert not mails & {value for _, value in letters}
+    few = {r.value: r.made for r in rows if r.value in ("+1|12345", "+2|1234")}
+    assert all(few[value] != value for value in few)
+
+
 def test_later_attempts_reach_the_text(spark):
     key = "k"
     first = {}

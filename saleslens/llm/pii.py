@@ -22,6 +22,10 @@ from saleslens.llm.common import let, stored
 KEY = "surrogate-key"
 ROUNDS = 6
 MAX_ATTEMPTS = 64
+#: At this attempt, a format of numbers that has too few unused ones left is permuted as a whole.
+CROWDED = 16
+NUMBERS = ("ip", "card", "ssn", "phone")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 #: Patterns of the kinds, in the order in which they are tried at a place.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -61,7 +65,7 @@ def _chars(value: Column) -> Column:
 
 def _like(value: Column, seed: Column) -> Column:
     """Letters for letters, digits for digits, everything else as it is."""
-    letters, digits = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("0123456789")
+    letters, digits = F.lit(LETTERS), F.lit("0123456789")
 
     def other(c: Column, k: Column) -> Column:
         return (
@@ -132,8 +136,16 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     fixed = _seed(kind, F.lit(""), attempt, key)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     name_of_domain = F.regexp_replace(domain, r"\.[a-z]+$", "")
+    # a short address has few others of its shape: from the 8th attempt on it grows
+    longer = F.array_join(
+        F.transform(
+            F.slice(F.sequence(F.lit(0), F.floor(attempt / 8).cast("int")), 2, MAX_ATTEMPTS),
+            lambda k: F.substring(F.lit(LETTERS), _stream(seed, -k, 26) + 1, F.lit(1)),
+        ),
+        "",
+    )
     email = F.concat(
-        _like(local, seed), F.lit("@"),
+        _like(local, seed), longer, F.lit("@"),
         _like(name_of_domain, _seed("domain", name_of_domain, F.lit(0), key)),
         F.lit("."), F.substring_index(domain, ".", -1),
     )
@@ -243,12 +255,17 @@ def mentions(body: Column) -> Column:
 def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     """kind, value, attempt, made for the distinct entities of `found`, checked for collisions.
 
-    Of entities that would share a surrogate the first by value keeps it.
+    Of entities that would share a surrogate the first by value keeps it. Where the numbers of a
+    format (kind, country code and length) still collide at the attempt `CROWDED`, nearly all numbers
+    of that format occur: they then get one permutation together, which keeps them distinct, but a
+    surrogate may be a number that occurs.
     """
     distinct = found.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
     made = surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)
+    form = F.concat_ws(":", "kind", F.char_length("value").cast("string"), F.regexp_extract("value", r"^(\+\d+\|)?", 0))
     rows = stored(distinct.withColumn("made", made))
-    for _ in range(MAX_ATTEMPTS):
+    settled = rows.limit(0)
+    for attempt in range(1, MAX_ATTEMPTS + 1):
         taken = rows.select("kind", F.col("value").alias("made")).withColumn("real", F.lit(True))
         place = F.row_number().over(W.partitionBy("kind", "made").orderBy("attempt", "value"))
         checked = stored(
@@ -256,8 +273,14 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
             .select("kind", "value", "attempt", "made", (F.coalesce("real", F.lit(False)) | (F.col("place") > 1)).alias("bad"))
         )
         if checked.filter("bad").isEmpty():
-            return rows
-        again = checked.filter("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+            return rows.unionByName(settled)
+        if attempt == CROWDED:
+            formed = checked.withColumn("form", form)
+            full = formed.filter(F.col("bad") & F.col("kind").isin(*NUMBERS)).select("form").distinct()
+            together = formed.join(full, "form", "left_semi").select("kind", "value")
+            settled = stored(together.withColumn("attempt", F.lit(CROWDED)).withColumn("made", made))
+            checked = formed.join(full, "form", "left_anti").drop("form")
+        again = checked.filter("bad").select("kind", "value", F.lit(attempt).alias("attempt"))
         rows = stored(
             checked.filter("not bad").drop("bad").unionByName(again.withColumn("made", made))
         )

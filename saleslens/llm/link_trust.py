@@ -25,6 +25,8 @@ DAMPING = 0.85
 ROUNDS = 10
 #: A host is blocked if its distrust exceeds its trust this many times.
 MARGIN = 1.0
+#: Edges of a host that lie together; a host with more is spread over several parts.
+TOGETHER = 1 << 16
 #: Weight of the edges between a host and its domain, in links.
 DOMAIN_WEIGHT = 1.0
 
@@ -83,22 +85,28 @@ def domain_edges(hosts: DataFrame) -> DataFrame:
     )
 
 
-def propagated(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, together: int = TOGETHER) -> DataFrame:
     """host, trust, distrust after ROUNDS rounds. edges: u, v, w; seeds: host, trusted, blocked >= 0.
 
-    Both kinds of rank travel in one table; distrust takes the edges backwards. Ranks are rounded,
-    so that the order of addition does not show.
+    Both kinds of rank travel in one table; distrust takes the edges backwards. Edges stay where
+    their host's rank comes to; a host with more than `together` of them is spread over parts, and
+    its rank is sent to each. Ranks are rounded, so that the order of addition does not show.
     """
     forward = edges.groupBy("u", "v").agg(F.sum("w").alias("w"))
     both = forward.select(F.lit("trust").alias("kind"), "u", "v", "w").union(
         forward.select(F.lit("distrust").alias("kind"), F.col("v").alias("u"), F.col("u").alias("v"), "w")
     )
-    out_weight = both.groupBy("kind", "u").agg(F.sum("w").alias("all"))
+    parts = F.ceil(F.count("*") / F.lit(together)).cast("int")
+    degrees = cut(both.groupBy("kind", "u").agg(F.sum("w").alias("all"), parts.alias("parts")))
     flows = cut(
-        both.join(out_weight, ["kind", "u"])
-        .select("kind", "u", "v", (F.col("w") / F.col("all")).alias("part"))
-        .repartition("kind", "u")
+        both.join(degrees, ["kind", "u"])
+        .select(
+            "kind", "u", "v", (F.col("w") / F.col("all")).alias("flow"),
+            F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"),
+        )
+        .repartition("kind", "u", "part")
     )
+    hubs = cut(degrees.filter("parts > 1").select("kind", F.col("u").alias("host"), "parts"))
     split = seeds.select("host", F.inline(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("trusted").cast("double").alias("n")),
         F.struct(F.lit("distrust").alias("kind"), F.col("blocked").cast("double").alias("n")),
@@ -106,9 +114,13 @@ def propagated(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     totals = split.groupBy("kind").agg(F.sum("n").alias("all"))
     start = cut(split.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("rank")))
     ranks = start
+    last = F.coalesce("parts", F.lit(1)) - 1
     for k in range(ROUNDS):
-        moved = flows.join(ranks.withColumnRenamed("host", "u"), ["kind", "u"]).select(
-            "kind", F.col("v").alias("host"), (DAMPING * F.col("part") * F.col("rank")).alias("rank")
+        sent = ranks.join(hubs, ["kind", "host"], "left").select(
+            "kind", F.col("host").alias("u"), "rank", F.explode(F.sequence(F.lit(0), last)).alias("part")
+        )
+        moved = flows.join(sent, ["kind", "u", "part"]).select(
+            "kind", F.col("v").alias("host"), (DAMPING * F.col("flow") * F.col("rank")).alias("rank")
         )
         kept = start.select("kind", "host", ((1 - DAMPING) * F.col("rank")).alias("rank"))
         ranks = moved.union(kept).groupBy("kind", "host").agg(F.round(F.sum("rank"), 14).alias("rank"))

@@ -480,6 +480,29 @@ def test_urls(spark):
     assert link_trust.judged(pages.limit(0)).count() == 0
 
 
+def test_a_hub_in_parts_ranks_as_in_one(spark):
+    pairs = [("hub", f"h{k}", 1.0 + k % 3) for k in range(40)] + [(f"h{k}", f"h{k * 7 % 40}", 1.0) for k in range(40)]
+    edges = spark.createDataFrame(pairs + [("h3", "hub", 2.0)], "u string, v string, w double").filter("u != v")
+    seeds = spark.createDataFrame([("hub", 3, 0), ("h3", 1, 2), ("alone", 0, 1)], "host string, trusted long, blocked long")
+    one, several = (
+        {r.host: (r.trust, r.distrust) for r in link_trust.propagated(edges, seeds, together).collect()} for together in (1000, 7)
+    )
+    assert one.keys() == several.keys() and len(one) == 42
+    assert all(np.allclose(one[host], several[host], atol=1e-12) for host in one)
+    # the same by plain iteration
+    out = {}
+    for u, v, w in edges.collect():
+        out.setdefault(u, []).append((v, w))
+    rank = start = {"hub": 0.75, "h3": 0.25}
+    for _ in range(link_trust.ROUNDS):
+        following = {host: (1 - link_trust.DAMPING) * n for host, n in start.items()}
+        for u, n in rank.items():
+            for v, w in out.get(u, []):
+                following[v] = following.get(v, 0) + link_trust.DAMPING * n * w / sum(x for _, x in out[u])
+        rank = following
+    assert all(abs(one[host][0] - rank.get(host, 0)) < 1e-9 for host in one)
+
+
 # pipeline and helpers
 
 

@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     )
     part = min(sample / max(known.count(), 1), 1.0)
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(part * (1 << 40)) + 1)
     # the sample is bounded by its parameter, whatever the size of the tables
     rows = docs.select("doc_id", F.col(text).alias("body")).dropna().join(F.broadcast(chosen), "doc_id")
     found = rows.select("doc_id", "label", "body").mapInArrow(

@@ -1,6 +1,7 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format.
 
-Built-in functions only. One pattern finds all mentions of a text. Each mention has one or two
+Built-in functions only. One pattern finds all mentions of a text; the cards in it are the text's own,
+chosen by their check digit. Each mention has one or two
 entities in canonical form (an address in lower case, the digits of a number, each name), so that
 an entity gets the same surrogate wherever and however it is written. Numbers go through a keyed
 permutation of numbers of the same length; addresses and names through a keyed hash.
@@ -26,27 +27,47 @@ MAX_ATTEMPTS = 64
 CROWDED = 16
 NUMBERS = ("ip", "card", "ssn", "phone")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+CYRILLIC_LETTERS = "абвгдежзиклмнопрстуфхцчшэюя"
 
 #: Patterns of the kinds, in the order in which they are tried at a place.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|госпожа"
-MALE = r"Mr|Mister|Herrn?|Monsieur|Señor|Sr|господин"
+FEMALE = r"Mrs|Ms|Miss|Madam|Lady|Frau|Professorin|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Dra|Profa|[Гг]оспожа|г-жа"
+MALE = r"Mr|Mister|Sir|Lord|Herrn?|Monsieur|Señor|Sr|[Гг]осподин|г-н"
+EITHER = r"Dr|Doctor|Doktor|Docteur|Prof|Professor|Professeur|Mx|Rev|[Дд]октор|[Пп]рофессор"
+LABEL = r"[Nn]ame|NAME|[Pp]atient|[Cc]ontact|[Vv]orname|[Nn]achname|[Nn]om|[Nn]ombre|[Ии]мя|[Фф]амилия"
+TITLE = rf"(?:(?:(?:{FEMALE}|{MALE}|{EITHER})\.?|(?:{LABEL}):) )"
+#: Letters, digits and signs of an address before the @: Latin, Greek and Cyrillic.
+LOCAL = r"A-Za-z0-9\u00C0-\u052F\u1E00-\u1EFF._%+-"
+CARD_START = r"(?:[3-6]\d{3}|2(?:22[1-9]|2[3-9]\d|[3-6]\d{2}|7[01]\d|720))"
+CARD_SIZES = range(13, 20)
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": rf"(?<![{LOCAL}])[{LOCAL}]++@(?:[A-Za-z0-9-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)",
-    "card": r"(?<![\w.+-])[3-6]\d{3}(?:[ -]?\d){9,15}(?![\w-])",
+    "card": rf"(?<![\w.+-]){CARD_START}(?:[ -]?\d){{{CARD_SIZES[0] - 4},{CARD_SIZES[-1] - 4}}}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"
-    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
-    "name": rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+)?",
+    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)",
+    "name": rf"(?<!\p{{L}}){TITLE}++\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+)?",
 }
-MENTION = "|".join(f"(?:{pattern})" for pattern in PATTERNS.values())
+
+
+def _mention(card: str) -> str:
+    """The pattern of all mentions, with `card` for the cards."""
+    return "|".join(f"(?:{card if kind == 'card' else pattern})" for kind, pattern in PATTERNS.items())
+
+
+#: Matches nowhere.
+NEVER = "(?!)"
 #: What every mention has, cheap to look for.
-HINT = rf"[@\d]|(?:{FEMALE}|{MALE})\.? \p{{Lu}}"
+HINT = rf"[@\d]|{TITLE}\p{{Lu}}"
 #: Syllables of made-up names by script, and their endings by gender.
 LATIN = "ba be bo da de do fa fe ga ge ka ke la le li lo ma me mi mo na ne no ra re ri ro sa se so ta te to va ve vi".split()
 CYRILLIC = "ба бе бо ва ве да де до га го ка ко ла ле ли ло ма ме ми мо на не но ра ре ри ро са се со та те то".split()
-ENDINGS = {"latin": {"female": "lia", "male": "ron", "family": "sen"}, "cyrillic": {"female": "лина", "male": "рон", "family": "нов"}}
+ENDINGS = {
+    "latin": {"female": "lia", "male": "ron", "given": "min", "family": "sen"},
+    "cyrillic": {"female": "лина", "male": "рон", "given": "мин", "family": "нов"},
+}
+NAMES = ("female", "male", "given", "family")
 
 
 def _stream(seed: Column, k: Column, n: Column | int) -> Column:
@@ -65,12 +86,14 @@ def _chars(value: Column) -> Column:
 
 def _like(value: Column, seed: Column) -> Column:
     """Letters for letters, digits for digits, everything else as it is."""
-    letters, digits = F.lit(LETTERS), F.lit("0123456789")
+    letters, digits, cyrillic = F.lit(LETTERS), F.lit("0123456789"), F.lit(CYRILLIC_LETTERS)
 
     def other(c: Column, k: Column) -> Column:
         return (
             F.when(c.rlike("[a-z]"), F.substring(letters, _stream(seed, k, 26) + 1, F.lit(1)))
             .when(c.rlike("[0-9]"), F.substring(digits, _stream(seed, k, 10) + 1, F.lit(1)))
+            .when(c.rlike(r"\p{IsCyrillic}"), F.substring(cyrillic, _stream(seed, k, len(CYRILLIC_LETTERS)) + 1, F.lit(1)))
+            .when(c.rlike(r"\p{L}"), F.substring(letters, _stream(seed, k, 26) + 1, F.lit(1)))
             .otherwise(c)
         )
 
@@ -155,8 +178,10 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     ip = let(halves, lambda h: F.concat_ws(
         ".", *(x.cast("int").cast("string") for x in (F.floor(h["l"] / 256), h["l"] % 256, F.floor(h["r"] / 256), h["r"] % 256))
     ))
+    # the range from 2221 to 2720 is told by four digits, the others by one
+    own = F.when(value.startswith("2"), 4).otherwise(1)
     payload = F.concat(
-        F.substring(value, 1, 1), _digits(F.substring(value, F.lit(2), F.char_length(value) - 2), fixed)
+        F.substring(value, F.lit(1), own), _digits(F.substring(value, own + 1, F.char_length(value) - own - 1), fixed)
     )
     card = let(payload, lambda p: F.concat(p, _check_digit(p)))
     prefix = F.regexp_extract(value, r"^(\+\d+\|)?", 0)
@@ -166,7 +191,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card)
         .when(kind == "ssn", _digits(value, fixed)).when(kind == "phone", phone)
     )
-    for ending in ("female", "male", "family"):
+    for ending in NAMES:
         for s in ("cyrillic", "latin"):
             out = out.when((kind == ending) & (script == s), _name(s, ending, value, seed, attempt))
     return out.otherwise(value)
@@ -193,8 +218,10 @@ def entities(mention: Column) -> Column:
         country = F.when(mention.startswith("+") & (country == ""), F.substring(mention, 1, 2)).otherwise(country)
         rest = F.substring(digits, F.greatest(F.char_length(country), F.lit(1)), F.char_length(digits))
         phone = F.when(country == "", digits).otherwise(F.concat(country, F.lit("|"), rest))
-        names = F.split(F.lower(F.regexp_replace(mention, r"^\S+ ", "")), "[ -]")
-        gender = F.when(mention.rlike(rf"^(?:{FEMALE})\b"), "female").otherwise("male")
+        names = F.split(F.lower(F.regexp_replace(mention, f"^{TITLE}++", "")), "[ -]")
+        title = F.regexp_extract(mention, f"^{TITLE}++", 0)
+        gender = F.when(title.rlike(rf"(?:^| )(?:{FEMALE})\.? "), "female")
+        gender = gender.when(title.rlike(rf"(?:^| )(?:{MALE})\.? "), "male").otherwise("given")
         family = one("family", F.element_at(names, -1))
         return (
             F.when(kind == "email", F.array(one(kind, F.lower(mention))))
@@ -231,8 +258,8 @@ def replaced(mention: Column, found: Column, made: Column) -> Column:
     """The mention with surrogates `made` for its entities `found`, in its own format."""
     kind = F.get(found, F.lit(0))["kind"]
     first, last = F.get(made, F.lit(0)), F.element_at(made, -1)
-    title = F.regexp_extract(mention, r"^\S+ ", 0)
-    words = F.regexp_replace(mention, r"^\S+ ", "")
+    title = F.regexp_extract(mention, f"^{TITLE}++", 0)
+    words = F.regexp_replace(mention, f"^{TITLE}++", "")
     given = F.regexp_extract(words, r"^[^ -]+", 0)
     between = F.regexp_extract(words, r"[ -]", 0)
     own = F.regexp_extract(words, r"[^ -]+$", 0)
@@ -246,10 +273,32 @@ def replaced(mention: Column, found: Column, made: Column) -> Column:
     )
 
 
-def mentions(body: Column) -> Column:
-    """All mentions of a text in order."""
+def pattern(body: Column) -> Column:
+    """The pattern of the mentions of a text: of numbers like a card's it has those whose check digit is right.
+
+    A number that only looks like a card's thus hides nothing: what lies in it is found by the other
+    patterns. A card may start at any group of digits and end at any, the longest first.
+    """
+
+    def runs(size: int) -> Column:
+        start = rf"(?<![\w.+-])(?=({CARD_START}(?:[ -]?\d){{{size - 4}}}(?![\w-])))"
+        return F.regexp_extract_all(body, F.lit(start), F.lit(1))
+
+    every = F.array_distinct(F.concat(*map(runs, reversed(CARD_SIZES))))
+    cards = F.filter(every, lambda run: F.call_function("luhn_check", F.regexp_replace(run, r"\D", "")))
+    before, after = _mention("\0").split("\0")
+
+    def own(cards: Column) -> Column:
+        of = F.concat(F.lit(rf"{before}(?<![\w.+-])(?:"), F.array_join(cards, "|"), F.lit(rf")(?![\w-]){after}"))
+        return F.when(F.size(cards) > 0, of).otherwise(_mention(NEVER))
+
+    return F.when(body.rlike(PATTERNS["card"]), let(cards, own)).otherwise(_mention(NEVER))
+
+
+def mentions(body: Column, mention: Column) -> Column:
+    """All mentions of a text in order, by its `pattern`."""
     none = F.array().cast("array<string>")
-    return F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(MENTION), F.lit(0))).otherwise(none)
+    return F.when(body.rlike(HINT), F.regexp_extract_all(body, mention, F.lit(0))).otherwise(none)
 
 
 def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -300,7 +349,11 @@ def with_surrogates(
     body = F.col(text)
     found = stored(
         docs.filter(body.rlike(HINT))
-        .select(F.xxhash64(body).alias("key"), F.explode(F.array_distinct(mentions(body))).alias("mention"))
+        .select(body.alias("body"), pattern(body).alias("pattern"))
+        .select(
+            F.xxhash64("body").alias("key"),
+            F.explode(F.array_distinct(mentions(F.col("body"), F.col("pattern")))).alias("mention"),
+        )
         .select("key", F.inline(entities(F.col("mention"))))
     )
     later = surrogates(found, key).filter("attempt > 0")
@@ -316,7 +369,8 @@ def with_surrogates(
         )
         rows = rows.withColumn("key", F.xxhash64(F.col(f"row.{text}"))).join(fixes, "key", "left").drop("key")
     old = F.col("row")[text]
-    rows = rows.withColumn("found", mentions(F.coalesce(old, F.lit(""))))
+    rows = rows.withColumn("pattern", pattern(F.coalesce(old, F.lit(""))))
+    rows = rows.withColumn("found", mentions(F.coalesce(old, F.lit("")), F.col("pattern")))
 
     def rewritten(mention: Column) -> Column:
         def made(e: Column) -> Column:
@@ -332,7 +386,7 @@ def with_surrogates(
         )
 
     rows = rows.withColumn("parts", F.transform("found", rewritten))
-    gaps = F.split(old, MENTION, -1)
+    gaps = F.split(old, F.col("pattern"), -1)
     joined = F.concat(
         F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("parts")), "parts", lambda g, p: F.concat(g, p["text"])), ""),
         F.element_at(gaps, -1),
@@ -346,7 +400,7 @@ def with_surrogates(
         F.size(F.filter("parts", lambda p: p["kind"].isNotNull())).cast("bigint").alias("n_entities"),
         count("email").alias("n_emails"), count("phone").alias("n_phones"), count("ip").alias("n_ips"),
         count("card").alias("n_cards"), count("ssn").alias("n_ssns"),
-        count("female", "male", "family").alias("n_names"),
+        count(*NAMES).alias("n_names"),
     )
     out = [new.alias(c) if c == text else F.col("row")[c].alias(c) for c in names]
     return rows.select(*out, *([numbers.alias(counts)] if counts else []))

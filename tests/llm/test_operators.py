@@ -320,6 +320,33 @@ def test_surrogates(spark):
     assert rows[4].text.split()[1] == ip
 
 
+def test_numbers_that_look_like_cards_hide_nothing(spark):
+    cases = {
+        "room 4500 555-123-4567 or": ("555-123-4567", "n_phones"),
+        "file 3021 123-45-6789 or": ("123-45-6789", "n_ssns"),
+        "at 4500 2021-01-01 10.20.30.40 or": ("10.20.30.40", "n_ips"),
+        "card 4111 1111 1111 1111 12 or": ("4111 1111 1111 1111", "n_cards"),
+        "room 4500 4111-1111-1111-1111 or": ("4111-1111-1111-1111", "n_cards"),
+        "card 2223 0031 2200 3222 or": ("0031 2200 3222", "n_cards"),
+        "call 555 123 4567 or": ("555 123 4567", "n_phones"),
+        "mail jörg.иван@mail.com or": ("jörg.иван", "n_emails"),
+        "met Dr. Mary Smith or": ("Mary Smith", "n_names"),
+        "met Prof. Dr. Müller or": ("Müller", "n_names"),
+        "Name: John Smith or": ("John Smith", "n_names"),
+    }
+    kinds = ["n_emails", "n_phones", "n_ips", "n_cards", "n_ssns", "n_names"]
+    clean = "order 4123465659789240 and 2123465659789240, 2021-01-01 1234, 4500 1234 5678 9013"
+    rows = {r.doc_id: r for r in pii.redacted(documents(spark, [*cases, clean, " and ".join(cases)])).collect()}
+    for k, (text, (old, kind)) in enumerate(cases.items()):
+        assert {c: rows[k][c] for c in kinds} == {c: int(c == kind) for c in kinds}, text
+        start = text.index(old)
+        assert old not in rows[k].text and rows[k].text.startswith(text[:start]) and rows[k].text.endswith(" or")
+        assert "ö" not in rows[k].text and "ü" not in rows[k].text
+    assert rows[len(cases)].text == clean and rows[len(cases)].n_entities == 0
+    assert rows[len(cases) + 1].n_entities == len(cases)
+    assert rows[len(cases) + 1].text == " and ".join(rows[k].text for k in range(len(cases)))
+
+
 def test_surrogates_are_distinct_and_new(spark):
     found = spark.createDataFrame(
         [("ip", f"10.0.{a}.{b}") for a in range(8) for b in range(256)] + [("female", f"n{k}") for k in range(3000)],

@@ -1,12 +1,13 @@
 """DuckDB twins of the operators that SQL can express, written from the contracts alone.
 
-Language inference, the classifier, fingerprints, packing, surrogates and jump hashing have none;
+Language inference, the classifier, fingerprints, packing, surrogates, jump hashing and spelling
+variants have none;
 tests/llm holds them against brute force, round trips and held-out accuracy.
 """
 
 from __future__ import annotations
 
-from saleslens.llm import link_trust, quality_rules, secret_scan
+from saleslens.llm import link_trust, mixing, quality_rules, secret_scan
 from saleslens.llm.common import NOT_BLANK, UPPER
 
 _ITEM_WORDS = (
@@ -260,9 +261,70 @@ SELECT page_id, host, path, rule,
 FROM ruled LEFT JOIN ranks USING (host)
 """
 
+OP12 = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{NOT_BLANK}+'))::BIGINT AS size,
+    CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS hash
+  FROM documents
+),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+weighed AS (
+  SELECT *, {mixing.MOST}::DOUBLE * source_size AS cap,
+    list_extract({list(mixing.WEIGHTS)}, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::DOUBLE AS weight
+  FROM sources
+),
+-- the level if the sources of least cap for their weight stop at it, for any number of them
+levels AS (
+  SELECT ({mixing.SHARE} * sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (
+      ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+),
+targets AS (SELECT source, source_size, least(weight * (SELECT max(level) FROM levels), cap) AS target FROM weighed),
+rests AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM targets
+),
+placed AS (
+  SELECT d.doc_id, d.size, source_size, target, copies, target - copies * source_size::DOUBLE AS rest,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY hash RANGE UNBOUNDED PRECEDING) AS upto,
+    sum(d.size) OVER (PARTITION BY d.source, hash) AS here
+  FROM d JOIN rests ON d.source IS NOT DISTINCT FROM rests.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * (copies + CASE WHEN upto <= rest OR (upto - here <= rest AND here < 2 * (rest - (upto - here)))
+    THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed
+"""
+
+OP13 = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id::BIGINT AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
 ORACLE: dict[str, str] = {
     "op1_decontamination": OP1,
     "op3_quality_rules": OP3,
     "op8_secret_scan": OP8,
     "op10_link_trust": OP10,
+    "op12_mixing": OP12,
+    "op13_hard_negatives": OP13,
 }

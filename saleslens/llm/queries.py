@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from saleslens.llm import (
     decontamination,
+    hard_negatives,
     language,
     link_trust,
+    mixing,
     packing,
     pii,
     quality_classifier,
@@ -18,6 +20,7 @@ from saleslens.llm import (
     secret_scan,
     sharding,
     simhash,
+    variants,
 )
 from saleslens.llm.common import table
 
@@ -62,6 +65,18 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.judged(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     query.__name__: query
@@ -76,5 +91,8 @@ QUERIES: dict[str, Query] = {
         op8_secret_scan,
         op9_sharding,
         op10_link_trust,
+        op11_spelling_variants,
+        op12_mixing,
+        op13_hard_negatives,
     )
 } | {"pipeline": corpus_pipeline.run}

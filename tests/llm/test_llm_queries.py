@@ -20,7 +20,7 @@ def con():
 def test_all_are_registered():
     names = set(contract.queries())
     assert set(QUERIES) <= names
-    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 11))
+    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 14))
     assert "pipeline" in names
     assert set(ORACLE) <= set(contract.oracle_sql())
 

@@ -7,9 +7,10 @@ of its own, a unit costs its list price, and the order value is the net amount.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saleslens.functions.bitmaps import by_word, keys_in
 from saleslens.functions.measures import with_cube_amounts, with_margin
 from saleslens.functions.numeric import (
     half_even_cents,
@@ -153,46 +154,32 @@ def shop_cube(fact: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 def cube_kpi(cube: DataFrame) -> DataFrame:
     """Totals, distinct sales, mean order value per row and mean of the row margins.
 
-    Every figure of an empty slice is 0. The distinct sales are a scalar subquery: counted beside
-    the sums, every sale would carry the running sums through the shuffle with it, while apart
-    the sums leave each task as one row and only the sale numbers are shuffled.
+    Every figure of an empty slice is 0. One pass: sales are bits of words, and what is shuffled is
+    a row per word with its sums.
     """
-    sales = cube.agg(F.count_distinct("sale_id")).scalar()
-    return cube.agg(
-        published(total("revenue")).alias("total_revenue"),
-        published(total("profit")).alias("total_profit"),
-        six_places(
-            ratio(published(F.sum("order_value")), F.count("order_value"))
-        ).alias("avg_order_value"),
-        six_places(F.coalesce(F.avg("profit_margin"), F.lit(0.0))).alias("profit_margin"),
-        total("quantity").cast("bigint").alias("total_quantity"),
-    ).select(
-        "total_revenue",
-        "total_profit",
-        F.coalesce(sales, F.lit(0)).alias("total_orders"),
-        "avg_order_value",
-        "profit_margin",
-        "total_quantity",
-    )
+    return kpi_of_sums(by_word(cube, "sale_id", **sums()), keys_in())
 
 
-def cube_kpi_of_slice(cube: DataFrame) -> DataFrame:
-    """The same figures in one pass, for a slice that is costly to make and much smaller than the
-    fact: one row per sale is shuffled, with its sums."""
-    by_sale = cube.groupBy("sale_id").agg(
-        F.sum("revenue").alias("revenue"),
-        F.sum("profit").alias("profit"),
-        F.sum("order_value").alias("order_value"),
-        F.count("order_value").alias("values"),
-        F.sum("profit_margin").alias("margin"),
-        F.count("profit_margin").alias("margins"),
-        F.sum("quantity").alias("quantity"),
-    )
-    return by_sale.agg(
+def sums() -> dict[str, Column]:
+    """What the KPI adds up over rows of the cube; cells of these can be added up again."""
+    return {
+        "revenue": F.sum("revenue"),
+        "profit": F.sum("profit"),
+        "order_value": F.sum("order_value"),
+        "order_values": F.count("order_value"),
+        "margin": F.sum("profit_margin"),
+        "margins": F.count("profit_margin"),
+        "quantity": F.sum("quantity"),
+    }
+
+
+def kpi_of_sums(cells: DataFrame, orders: Column) -> DataFrame:
+    """The KPI over rows of ``sums``; ``orders`` counts the distinct sales of the cells."""
+    return cells.agg(
         published(total("revenue")).alias("total_revenue"),
         published(total("profit")).alias("total_profit"),
-        F.count("sale_id").alias("total_orders"),
-        six_places(ratio(published(F.sum("order_value")), F.sum("values"))).alias("avg_order_value"),
+        orders.alias("total_orders"),
+        six_places(ratio(published(F.sum("order_value")), F.sum("order_values"))).alias("avg_order_value"),
         six_places(ratio(F.sum("margin"), F.sum("margins"))).alias("profit_margin"),
         total("quantity").cast("bigint").alias("total_quantity"),
     )
@@ -225,13 +212,15 @@ def month_financial(cube: DataFrame) -> DataFrame:
 
 def cube_summary(cube: DataFrame, category: str, city: str) -> DataFrame:
     """Revenue, profit, quantity and distinct sales per category and city, to two decimals."""
-    return (
-        with_known(cube, category, city)
-        .groupBy(category, city)
-        .agg(
-            half_even_cents(published(total("revenue"))).alias("revenue"),
-            half_even_cents(published(total("profit"))).alias("profit"),
-            total("quantity").cast("bigint").alias("quantity"),
-            F.count_distinct("sale_id").alias("sales"),
-        )
+    parts = {name: F.sum(name) for name in ("revenue", "profit", "quantity")}
+    words = by_word(with_known(cube, category, city), "sale_id", category, city, **parts)
+    return summary_of_sums(words, category, city, keys_in())
+
+
+def summary_of_sums(cells: DataFrame, category: str, city: str, sales: Column) -> DataFrame:
+    return cells.groupBy(category, city).agg(
+        half_even_cents(published(total("revenue"))).alias("revenue"),
+        half_even_cents(published(total("profit"))).alias("profit"),
+        total("quantity").cast("bigint").alias("quantity"),
+        sales.alias("sales"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saleslens.functions import bitmaps
 from saleslens.functions.bins import Bins
 from saleslens.functions.numeric import (
     published,
@@ -20,18 +21,15 @@ TOP_PRODUCTS = 10
 
 
 def sales_kpi(sales: DataFrame) -> DataFrame:
-    """Total sales, distinct orders and customers, and sales per order."""
-    counted = sales.agg(
-        published(total("net_sales")).alias("total_sales"),
-        F.count_distinct("order_id").alias("orders"),
-        F.count_distinct("customer_id").alias("customers"),
-    )
-    return counted.select(
-        "total_sales",
-        "orders",
-        "customers",
-        six_places(ratio(F.col("total_sales"), F.col("orders"))).alias("aov"),
+    """Total sales, distinct orders and customers, and sales per order, at any grain, in one pass
+    that shuffles bitmaps of the keys instead of the rows."""
+    found = bitmaps.counts(sales, "net_sales", "order_id", "customer_id")
+    counted = found.select(
+        published(F.coalesce("net_sales", F.lit(0))).alias("total_sales"),
+        F.col("order_id").alias("orders"),
+        F.col("customer_id").alias("customers"),
     )
+    return counted.withColumn("aov", six_places(ratio(F.col("total_sales"), F.col("orders"))))
 
 
 def sales_kpi_of_orders(orders: DataFrame, days: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from saleslens.functions.bitmaps import by_word, keys_in
 from saleslens.functions.numeric import (
     published,
     published_total,
@@ -18,26 +19,11 @@ from saleslens.functions.numeric import (
 TOP_STAFF = 10
 
 
-def performance(sales: DataFrame, name: str, order_lines: DataFrame | None = None) -> DataFrame:
-    """Net sales and distinct orders per store or staff name.
-
-    ``order_lines`` is the same sales with only the name and the order. Given it, orders are
-    counted there and ``sales`` may be a coarser grain that no longer knows them; the two short
-    results are added up by name.
-    """
-    if order_lines is None:
-        return (
-            with_known(sales, name)
-            .groupBy(name)
-            .agg(published_total("net_sales"), F.count_distinct("order_id").alias("orders"))
-        )
-    summed = with_known(sales, name).groupBy(name).agg(F.sum("net_sales").alias("net_sales"))
-    counted = orders_by(order_lines, name)
-    return (
-        summed.unionByName(counted, allowMissingColumns=True)
-        .groupBy(name)
-        .agg(published_total("net_sales"), total("orders").alias("orders"))
-    )
+def performance(sales: DataFrame, name: str) -> DataFrame:
+    """Net sales and distinct orders per store or staff name, in one pass: orders are bits of
+    words, and the sales of a word's orders are summed beside them."""
+    words = by_word(with_known(sales, name), "order_id", name, net_sales=F.sum("net_sales"))
+    return words.groupBy(name).agg(published_total("net_sales"), keys_in().alias("orders"))
 
 
 def net_sales_by(sales: DataFrame, name: str) -> DataFrame:
@@ -45,8 +31,7 @@ def net_sales_by(sales: DataFrame, name: str) -> DataFrame:
 
 
 def orders_by(sales: DataFrame, name: str) -> DataFrame:
-    orders = F.count_distinct("order_id").alias("orders")
-    return with_known(sales, name).groupBy(name).agg(orders)
+    return by_word(with_known(sales, name), "order_id", name).groupBy(name).agg(keys_in().alias("orders"))
 
 
 def ranked(by_name: DataFrame, name: str, measure: str, n: int | None = None) -> DataFrame:

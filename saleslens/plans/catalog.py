@@ -242,7 +242,7 @@ def cube_slice(data: Retail) -> DataFrame:
 
 @query
 def cube_slice_kpi(data: Retail) -> DataFrame:
-    return cube.cube_kpi_of_slice(frames.warehouse_slice(data, **SLICE, home=False))
+    return cube.cube_kpi(frames.warehouse_slice(data, **SLICE, home=False))
 
 
 @query
@@ -509,9 +509,7 @@ def repeat_display(data: Retail) -> DataFrame:
 
 
 def _stores(data: Retail) -> DataFrame:
-    return staff.performance(
-        frames.store_sales(data), "store_name", frames.store_order_lines(data)
-    )
+    return staff.performance(frames.store_lines(data), "store_name")
 
 
 @query
@@ -547,9 +545,7 @@ def best_staff(data: Retail) -> DataFrame:
 
 
 def _staff_performance(data: Retail) -> DataFrame:
-    return staff.performance(
-        frames.named_staff_sales(data), "staff_fullname", frames.staff_order_lines(data)
-    )
+    return staff.performance(frames.named_staff_lines(data), "staff_fullname")
 
 
 @query

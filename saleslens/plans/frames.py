@@ -98,9 +98,15 @@ def named_staff_sales(data: Retail) -> DataFrame:
     return enrich.with_staff_names(staff_sales(data), data.staffs())
 
 
-def staff_order_lines(data: Retail) -> DataFrame:
-    """Orders of the fact rows with the seller's name, to count the orders of a seller."""
-    return enrich.with_staff_names(data.lines().select("staff_id", "order_id"), data.staffs())
+def named_staff_lines(data: Retail) -> DataFrame:
+    """Fact rows with net sales and the seller's name, to sum and to count orders in one scan."""
+    lines = priced_lines(data).select("staff_id", "order_id", "net_sales")
+    return enrich.with_staff_names(lines, data.staffs())
+
+
+def store_lines(data: Retail) -> DataFrame:
+    """Fact rows with net sales and the store's name."""
+    return with_staff_store(priced_lines(data).select("staff_id", "order_id", "net_sales"), data)
 
 
 def store_order_lines(data: Retail) -> DataFrame:

@@ -41,15 +41,19 @@ ROW_LEVEL = {
     "cube_b_of_tables",
 }
 
-# Queries that count distinct keys in a narrow scan of their own, apart from the sums.
-TWO_SCANS = {
+# Queries that count distinct keys beside sums.
+COUNTED = [
     "cube_a_kpi",
+    "cube_a_summary",
     "cube_kpi",
+    "cube_slice_kpi",
+    "cube_summary",
+    "page_kpi",
     "store_performance",
     "store_performance_orders",
     "top_staff_orders",
     "top_staff_sales",
-}
+]
 # Queries that read a result twice; the second reading reuses the exchange of the first.
 REUSED = {
     "store_orders_share",
@@ -195,10 +199,25 @@ def test_a_share_reads_its_groups_once(spark):
 
 @pytest.mark.parametrize("name", sorted(set(CATALOG) - REUSED))
 def test_the_fact_is_scanned_once_unless_listed(plans, name):
-    most = 2 if name in TWO_SCANS else 1
     found = plans[name].count("lineitem.parquet")
     # cube_filter_options lists what was sold: days, customers and products, each in a narrow scan
-    assert found <= (3 if name == "cube_filter_options" else most)
+    assert found <= (3 if name == "cube_filter_options" else 1)
+
+
+def exchange_keys(plan):
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    return [re.sub(r"#\d+L?|, \d+$", "", key) for key in exchanges]
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_distinct_keys_are_counted_by_bitmaps(plans, name):
+    """One scan, no copies of rows, and no shuffle by the key but that of a join."""
+    assert plans[name].count("lineitem.parquet") == 1
+    assert "Expand" not in plans[name]
+    keys = exchange_keys(plans[name])
+    assert not any("sale_id" in key for key in keys)
+    assert keys.count("order_id") in (0, 2)  # the two sides of the join with the orders
+    assert sum("key_word" in key for key in keys) == 1
 
 
 @pytest.mark.parametrize("name, joins", [("cube_slice", 5), ("cube_slice_kpi", 3)])

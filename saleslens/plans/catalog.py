@@ -339,6 +339,32 @@ def page_repeat_by_state(data: Retail) -> DataFrame:
     return customers.repeat_by_rows(located, "customer_state")
 
 
+@query
+def kept_trend_month(data: Retail) -> DataFrame:
+    """From the order copy of a page, as are the next three."""
+    return sales.sales_trend(frames.kept_orders(data), "month").orderBy("month")
+
+
+@query
+def kept_repeat_kpi(data: Retail) -> DataFrame:
+    return customers.repeat_kpi(customers.rows_per_customer(frames.kept_orders(data)))
+
+
+@query
+def kept_repeat_by_state(data: Retail) -> DataFrame:
+    counted = customers.rows_per_customer(frames.kept_orders(data))
+    located = enrich.with_customer_geo(counted, data.shop()["dim_customers"])
+    return customers.repeat_by_rows(located, "customer_state")
+
+
+@query
+def kept_repeat_by_city_orders(data: Retail) -> DataFrame:
+    counted = customers.orders_per_customer(frames.kept_orders(data))
+    located = enrich.with_customer_geo(counted, data.shop()["dim_customers"])
+    by_city = customers.repeat_by_orders(located, "customer_city")
+    return customers.by_repeat_rate(by_city, "customer_city")
+
+
 @query
 def trend_month(data: Retail) -> DataFrame:
     return sales.sales_trend(frames.period_sales(data), "month").orderBy("month")
@@ -608,6 +634,27 @@ def cube_summary(data: Retail) -> DataFrame:
     return cube.cube_summary(frames.warehouse_places(data), "category_product", "city_customer")
 
 
+@query
+def lattice_slice_kpi(data: Retail) -> DataFrame:
+    """From stored cuboids, as are the next three."""
+    return frames.warehouse_lattice(data).slice(**SLICE).kpi()
+
+
+@query
+def lattice_top_products(data: Retail) -> DataFrame:
+    return frames.warehouse_lattice(data).slice().top_products()
+
+
+@query
+def lattice_month_financial(data: Retail) -> DataFrame:
+    return frames.warehouse_lattice(data).slice().months()
+
+
+@query
+def lattice_summary(data: Retail) -> DataFrame:
+    return frames.warehouse_lattice(data).slice().summary()
+
+
 # Cube over the bike shop
 
 

@@ -28,6 +28,8 @@ from saleslens.functions.measures import (
 from saleslens.functions.numeric import with_known
 from saleslens.functions.periods import with_period_columns, with_ship_lag
 from saleslens.operators import cube, customers, enrich, filters, shipping
+from saleslens.plans import lattice, pages
+from saleslens.sources import store
 from saleslens.sources.retail import Retail
 
 
@@ -68,6 +70,11 @@ def period_sales(data: Retail) -> DataFrame:
     return with_period_columns(order_sales(data))
 
 
+def kept_orders(data: Retail) -> DataFrame:
+    """The page's sales at order grain, as a copy in buckets of the order."""
+    return pages.kept_orders(pages.sales_frame(data.shop(), dims=()))
+
+
 def product_sales(data: Retail) -> DataFrame:
     """One row per product, with its names and net sales."""
     units = with_discounted_units(data.lines()).select(
@@ -277,6 +284,11 @@ def warehouse_places(data: Retail) -> DataFrame:
     return warehouse_costed(data).join(cities, "order_id", "left")
 
 
+def warehouse_lattice(data: Retail) -> lattice.Lattice:
+    """The cube's cuboids, written to the shared folder."""
+    return lattice.build(warehouse_slice(data), lattice.WAREHOUSE, store.new_path(data.spark))
+
+
 # Cube over the bike shop.
 
 

@@ -565,7 +565,15 @@ ORACLE |= {
     "star_of_tables": ORACLE["star_enriched"],
     "cube_a_of_tables": ORACLE["cube_a"],
     "cube_b_of_tables": ORACLE["cube_b"],
+    "lattice_slice_kpi": ORACLE["cube_slice_kpi"],
+    "lattice_top_products": ORACLE["cube_top_products"],
+    "lattice_month_financial": ORACLE["cube_month_financial"],
+    "lattice_summary": ORACLE["cube_summary"],
     "page_kpi": ORACLE["sales_kpi"].replace("FROM sales", DATED),
+    "kept_trend_month": ORACLE["trend_month"],
+    "kept_repeat_kpi": ORACLE["repeat_kpi_rows"].replace("FROM sales\n              WHERE", DATED + " AND"),
+    "kept_repeat_by_state": ORACLE["repeat_by_state_rows"].replace("FROM sales\n            WHERE", DATED + " AND"),
+    "kept_repeat_by_city_orders": ORACLE["repeat_by_city_orders"].replace("FROM sales\n            WHERE", DATED + " AND"),
     "page_brand_category": ORACLE["brand_category_sales"].replace("FROM sales WHERE", DATED + " AND"),
     "page_repeat_by_state": ORACLE["repeat_by_state_rows"].replace("FROM sales\n            WHERE", DATED + " AND"),
 }

@@ -22,6 +22,7 @@ from saleslens.operators.enrich import (
     with_staff_names,
 )
 from saleslens.operators.filters import SalesFilter
+from saleslens.sources.store import bucketed
 
 Tables = dict[str, DataFrame]
 Page = dict[str, DataFrame]
@@ -39,6 +40,16 @@ def sales_frame(
     return choice.apply(wide).filter(F.col("order_date").isNotNull())
 
 
+def kept_orders(frame: DataFrame, buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """A stored copy of ``frame`` at order grain, in sorted buckets of the order, with periods.
+
+    Trend, repeat customers and whatever else counts orders read it without a shuffle by order, in
+    this and in later jobs. An order with several customers or dates has a row for each.
+    """
+    summed = to_grain(frame, "order_id", "customer_id", "order_date")
+    return with_period_columns(bucketed(summed, "order_id", buckets, path))
+
+
 def product_sales(frame: DataFrame, tables: Tables) -> DataFrame:
     """``frame`` with product names: summed by product before they are joined, unless it has them."""
     if "product_name" in frame.columns:

@@ -228,7 +228,7 @@ def benchmark_blocks(
     """The benchmark item by item, in blocks of bounded size; always one block at least."""
     rows, size, sent = [], 0, False
     chosen = benchmark.select(F.col(item_id).cast("string"), F.coalesce(text, F.lit("")))
-    for name, body in chosen.dropna().toLocalIterator():
+    for name, body in chosen.toLocalIterator():
         for _, _, found, _ in _read(pa.array([body], pa.large_string())):
             rows.append((name, found))
             size += len(found)
@@ -248,8 +248,8 @@ def scan(
 
     found.n_words counts its words, found.spans holds [from, to, from, to, ...] of the words inside
     an occurrence of a benchmark window, found.items the items with such a window. A null text has
-    no words, an empty benchmark hits nothing, items without an id or without words are passed
-    over, equal items both count. A benchmark over `block_words` words is searched block by block,
+    no words, an empty benchmark hits nothing, items without words are passed over, equal items both
+    count. The windows of an item without an id count as any, its name is null. A benchmark over `block_words` words is searched block by block,
     each pass adding to what the pass before has found. `inside` says that `kept` holds the text too,
     as a field of that name, so that it travels once.
     """
@@ -318,7 +318,7 @@ def n_hit(found: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     out = scan(docs, benchmark, F.struct("doc_id"), window)
-    items = F.array_sort(F.array_distinct(F.col("found.items")))
+    items = F.array_sort(F.array_distinct(F.array_compact(F.col("found.items"))))
     return out.select(
         F.col("kept.doc_id").alias("doc_id"),
         F.col("found.n_words").alias("n_words"),

@@ -26,8 +26,8 @@ ROUNDS = 8
 PENALTY = 3.0
 #: Count added to each trigram of each language.
 SMOOTHING = 0.05
-#: Languages of a model, 256 kB each; more are refused, since a model goes to every task whole.
-MAX_LANGUAGES = 1000
+#: Languages of a model, 256 kB each, as a model goes to every task whole: those with most trigrams.
+MAX_LANGUAGES = 128
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +82,8 @@ def fit(docs: DataFrame, chosen: Column, text: str = "text", language: str = "la
     """A model of the rows where `chosen` holds and neither text nor language is null.
 
     Counts cover all such rows; what reaches the driver is at most one count per bucket and
-    language. Languages whose texts hold no letters are not learned.
+    language. Languages whose texts hold no letters are not learned, nor are, of more than
+    MAX_LANGUAGES values of `language`, those with the fewest trigrams (ties: last by name).
     """
     rows = docs.filter(chosen & F.col(text).isNotNull() & F.col(language).isNotNull()).select(
         F.col(language).cast("string").alias("language"), F.lower(text).alias("body")
@@ -91,13 +92,15 @@ def fit(docs: DataFrame, chosen: Column, text: str = "text", language: str = "la
         rows.mapInArrow(_counted, "language string, bucket long, n long")
         .groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     )
-    named = counts.select("language").distinct().limit(MAX_LANGUAGES + 1).collect()
-    if len(named) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages; raise language.MAX_LANGUAGES if they are real")
-    found = counts.toPandas()
-    names = sorted(found.language.unique())
+    largest = counts.groupBy("language").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "language")
+    names = sorted(row.language for row in largest.limit(MAX_LANGUAGES).collect())
     table = np.zeros((BUCKETS, len(names)))
-    table[found.bucket, np.searchsorted(names, found.language)] = found.n
+    if names:
+        place = (F.array_position(F.array(*map(F.lit, names)), F.col("language")) - 1).cast("int")
+        chosen = counts.filter(F.col("language").isin(names))
+        found = chosen.select(place.alias("place"), F.col("bucket").cast("int").alias("bucket"), "n").toArrow()
+        bucket, place, n = (found.column(name).to_numpy() for name in ("bucket", "place", "n"))
+        table[bucket, place] = n
     return Model(names, table)
 
 
@@ -160,37 +163,52 @@ MIXTURE = T.StructField(
     .add("language", T.StringType())
     .add("score", T.DoubleType())
     .add("languages", T.ArrayType(T.StringType()))
-    .add("shares", T.ArrayType(T.DoubleType())),
+    .add("shares", T.ArrayType(T.DoubleType()))
+    .add("likeness", T.DoubleType()),
 )
 
 
+def likeness(log_p: np.ndarray, share: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each text the mean log-likelihood of a trigram under its mixture, above that of a trigram
+    drawn from all alike: below 0 it is like none of the chosen languages. size: trigrams of a word."""
+    n = len(share)
+    if not log_p.size:
+        return np.zeros(n)
+    top = log_p.max(axis=1)
+    p = (np.exp(np.maximum(log_p - top[:, None], -60.0)) * share[owner]).sum(axis=1)
+    total = np.bincount(owner, weights=np.log(np.maximum(p, 1e-30)) + top, minlength=n)
+    return total / np.maximum(np.bincount(owner, weights=size, minlength=n), 1) + np.log(BUCKETS)
+
+
 def _inferred(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        size_of_block = max(1 << 16, BLOCK_BYTES * 16 // max(16, len(model.languages)))
         for batch in batches:
             out = []
             body = batch.column("body")
-            for row, end, data, offsets in blocks(body, BLOCK_BYTES):
+            for row, end, data, offsets in blocks(body, size_of_block):
                 bucket, begin, text = trigrams(data, offsets)
                 log_p = np.zeros((len(begin), len(model.languages)), np.float32)
                 if len(begin):
                     log_p = np.add.reduceat(model.log_p[bucket], begin, axis=0)
                 share, size = shares(log_p, text, end - row)
+                like = likeness(log_p, share, text, np.diff(np.r_[begin, len(bucket)]))
                 for k in range(end - row):
                     if share.shape[1] == 0 or not size[k] or not any(map(str.isalpha, body[row + k].as_py())):
-                        out.append(("und", 0.0, [], []))
+                        out.append(("und", 0.0, [], [], 0.0))
                         continue
                     order = np.argsort(-share[k], kind="stable")
                     order = order[share[k][order] > 0]
                     out.append((
                         model.languages[order[0]], float(min(share[k][order[0]], 1.0)),
-                        [model.languages[j] for j in order], share[k][order].tolist(),
+                        [model.languages[j] for j in order], share[k][order].tolist(), float(like[k]),
                     ))
-            columns = list(zip(*out)) or [[]] * 4
-            kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()]
             mixture = pa.StructArray.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                ["language", "score", "languages", "shares"],
+                ["language", "score", "languages", "shares", "likeness"],
             )
             yield pa.RecordBatch.from_arrays([batch.column("kept"), mixture], ["kept", "mixture"])
 
@@ -201,8 +219,8 @@ def infer(docs: DataFrame, model: Model, kept: Column, text: str = "text") -> Da
     """One row per document: `kept` (any column of docs) and `mixture`.
 
     mixture.languages and .shares list the chosen set by falling share, .language and .score the
-    first. A text that is null or has no letter gets `und`, 0 and empty lists; so does every text
-    if nothing was learned. Equal shares rank by the name of the language.
+    first, .likeness is what `likeness` gives for the whole set. A text that is null or has no letter
+    gets `und`, 0 and empty lists; so does every text if nothing was learned. Equal shares rank by the name of the language.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(kept.alias("kept"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
@@ -229,8 +247,9 @@ def identified(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_language(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """Documents in which one learned language has at least `least_score`, with all their columns."""
+def with_language(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """Documents whose mixture of learned languages has a likeness above `least`, with all their
+    columns. It does not matter how many languages share a text; one without letters goes."""
     out = infer(docs, model, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    return out.filter((F.col("mixture.language") != "und") & (F.col("mixture.score") >= least_score)).select("kept.*")
+    return out.filter((F.col("mixture.language") != "und") & (F.col("mixture.likeness") > least)).select("kept.*")
 

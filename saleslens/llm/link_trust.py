@@ -22,7 +22,10 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 DAMPING = 0.85
-ROUNDS = 10
+#: After so many rounds less than 1 % of a rank is still to move.
+ROUNDS = 30
+#: Digits that a rank is rounded to, however small it is.
+DIGITS = 12
 #: A host is blocked if its distrust exceeds its trust this many times.
 MARGIN = 1.0
 #: Edges of a host that lie together; a host with more is spread over several parts.
@@ -57,10 +60,11 @@ def by_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """u, v, w: links from pages of host u to host v, w in number. Relative links stay on the host."""
-    href = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+://[^"'\s>]+)"""
+    href = r"""(?i)\bhref\s*=\s*["']?((?:[^"'\s>]+:)?//[^"'\s>]+)"""
     targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(href), F.lit(1))
     each = pages.select(host_of(F.col("url")).alias("u"), F.explode(targets).alias("link"))
-    each = each.select("u", host_of(F.col("link")).alias("v")).filter("u != '' and v != '' and u != v")
+    full = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link"))
+    each = each.select("u", host_of(full).alias("v")).filter("u != '' and v != '' and u != v")
     return each.groupBy("u", "v").agg(F.count("*").cast("double").alias("w"))
 
 
@@ -85,12 +89,19 @@ def domain_edges(hosts: DataFrame) -> DataFrame:
     )
 
 
+def significant(x: Column) -> Column:
+    """x > 0 with DIGITS digits."""
+    scale = F.pow(F.lit(10.0), DIGITS - 1 - F.floor(F.log10(x)))
+    return F.round(x * scale) / scale
+
+
 def propagated(edges: DataFrame, seeds: DataFrame, together: int = TOGETHER) -> DataFrame:
     """host, trust, distrust after ROUNDS rounds. edges: u, v, w; seeds: host, trusted, blocked >= 0.
 
     Both kinds of rank travel in one table; distrust takes the edges backwards. Edges stay where
     their host's rank comes to; a host with more than `together` of them is spread over parts, and
-    its rank is sent to each. Ranks are rounded, so that the order of addition does not show.
+    its rank is sent to each. Ranks are rounded to DIGITS digits, so that the order of addition does
+    not show and a rank however small stays above 0.
     """
     forward = edges.groupBy("u", "v").agg(F.sum("w").alias("w"))
     both = forward.select(F.lit("trust").alias("kind"), "u", "v", "w").union(
@@ -123,7 +134,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, together: int = TOGETHER) ->
             "kind", F.col("v").alias("host"), (DAMPING * F.col("flow") * F.col("rank")).alias("rank")
         )
         kept = start.select("kind", "host", ((1 - DAMPING) * F.col("rank")).alias("rank"))
-        ranks = moved.union(kept).groupBy("kind", "host").agg(F.round(F.sum("rank"), 14).alias("rank"))
+        ranks = moved.union(kept).groupBy("kind", "host").agg(significant(F.sum("rank")).alias("rank"))
         if k % 5 == 4:
             ranks = cut(ranks)
     return ranks.groupBy("host").agg(
@@ -138,26 +149,38 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     A url that is null or has no `://` has an empty host and path and is allowed, as is every page
     without a rule on a host that neither rank reaches. Repeated rows come out as they came in.
     """
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = stored(_ruled(pages, F.col("page_id"), rules))
+    return _judged(rows, _ranks(rows, pages)).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def _ruled(pages: DataFrame, kept: Column, rules) -> DataFrame:
+    """kept, host, path, rule and the rule's verdict."""
+    rows = pages.select(kept, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    rows = stored(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled")))
+    return rows.withColumns({"rule": rule, "ruled": verdict})
+
+
+def _ranks(rows: DataFrame, pages: DataFrame) -> DataFrame:
     seeds = cut(rows.filter("host != ''").groupBy("host").agg(
         F.count_if(F.col("ruled") == "allow").alias("trusted"),
         F.count_if(F.col("ruled") == "block").alias("blocked"),
     ))
-    ranks = propagated(link_edges(pages).union(domain_edges(seeds.select("host"))), seeds)
+    return propagated(link_edges(pages).union(domain_edges(seeds.select("host"))), seeds)
+
+
+def _judged(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     joined = rows.join(ranks, "host", "left")
     distrusted = F.coalesce(F.col("distrust") > MARGIN * F.col("trust"), F.lit(False))
-    return joined.select(
-        "page_id", "host", "path", "rule",
-        F.coalesce("ruled", F.when(distrusted, "block").otherwise("allow")).alias("verdict"),
-        F.coalesce("trust", F.lit(0.0)).alias("trust"),
-        F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
-    )
+    return joined.withColumns({
+        "verdict": F.coalesce("ruled", F.when(distrusted, "block").otherwise("allow")),
+        "trust": F.coalesce("trust", F.lit(0.0)),
+        "distrust": F.coalesce("distrust", F.lit(0.0)),
+    })
 
 
 def allowed(pages: DataFrame, rules=RULES) -> DataFrame:
-    """The pages that are allowed, with all their columns; a page_id is judged as one."""
-    blocked = judged(pages, rules).filter("verdict = 'block'").select("page_id").distinct()
-    return pages.join(blocked, "page_id", "left_anti")
+    """The pages that are allowed, with all their columns; each row is judged for itself, whatever
+    its page_id."""
+    ranks = stored(_ranks(stored(_ruled(pages, F.lit(0).alias("kept"), rules)), pages))
+    whole = F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("page")
+    return _judged(_ruled(pages, whole, rules), ranks).filter("verdict = 'allow'").select("page.*")

@@ -16,7 +16,7 @@ _ITEM_WORDS = (
 )
 OP1 = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark),
 b2 AS (SELECT item, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
 windows AS (
   SELECT DISTINCT item, k, array_to_string(w[i + 1 : i + k], ' ') AS s
@@ -34,7 +34,7 @@ words AS (
 ),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
@@ -44,14 +44,14 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 _VALUES = {
     "symbols_per_word": "n_symbols / n_words",
-    "dup_lines_per_word": "n_dup_lines / n_words",
+    "dup_lines_per_line": "n_dup_lines / nullif(n_lines, 0)",
     "repeat_share": "n_repeat_words / n_words",
     "chars_per_word": "word_chars / n_words",
 }
 
 
 def _fences(level: str, keys: str) -> str:
-    """Quartiles and fences of each ratio for rows with the same keys."""
+    """Fences of each ratio from its quantiles, for rows with the same keys."""
     listed = f"{keys}, " if keys else ""
     g = quality_rules.GROWTH
 
@@ -59,7 +59,11 @@ def _fences(level: str, keys: str) -> str:
         first = f"min(bucket) FILTER (upto >= {q} * every)"
         return f"CASE WHEN {first} > {quality_rules.ZERO} THEN pow({g}, {first} + 0.5) ELSE 0.0 END"
 
-    spread = " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.RATIOS.items())
+    def among(names) -> str:
+        return "ratio IN (" + ", ".join(f"'{x}'" for x in names) + ")"
+
+    occurrences = " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.OCCURRENCES.items())
+    together = " AND ".join(f"a.{x} IS NOT DISTINCT FROM b.{x}" for x in keys.split(", ")) if keys else "true"
     part = f"PARTITION BY {listed}ratio"
     return f"""
 {level}_counts AS (SELECT {listed}ratio, bucket, sum(n) AS n FROM sketch GROUP BY {listed}ratio, bucket),
@@ -67,16 +71,20 @@ def _fences(level: str, keys: str) -> str:
   SELECT {listed}ratio, bucket, sum(n) OVER ({part} ORDER BY bucket) AS upto, sum(n) OVER ({part}) AS every
   FROM {level}_counts
 ),
-{level}_quartiles AS (
-  SELECT {listed}ratio, max(every) AS n, {quantile(0.25)} AS q1, {quantile(0.75)} AS q3
+{level}_quantiles AS (
+  SELECT {listed}ratio, max(every) AS n, {quantile(0.25)} AS q1, {quantile(0.5)} AS q2, {quantile(0.75)} AS q3,
+    {quantile(quality_rules.TAIL)} AS tail
   FROM {level}_ranked GROUP BY {listed}ratio
 ),
+{level}_reached AS (
+  SELECT a.*, {quality_rules.REACH} * greatest(a.q3 - a.q1, a.q3 * {g - 1},
+    CASE a.ratio {occurrences} ELSE 0.0 END / b.q2) AS reach
+  FROM {level}_quantiles a JOIN {level}_quantiles b ON b.ratio = '{quality_rules.LENGTH}' AND {together}
+),
 {level} AS (
-  SELECT {listed}ratio, n,
-    CASE WHEN ratio IN ({", ".join(f"'{x}'" for x in quality_rules.TWO_SIDED)})
-      THEN q1 - {quality_rules.REACH} * greatest(q3 - q1, CASE ratio {spread} END) ELSE 0.0 END AS low,
-    q3 + {quality_rules.REACH} * greatest(q3 - q1, CASE ratio {spread} END) AS high
-  FROM {level}_quartiles
+  SELECT {listed}ratio, n, CASE WHEN {among(quality_rules.TWO_SIDED)} THEN q1 - reach ELSE 0.0 END AS low,
+    CASE WHEN {among(quality_rules.SPREAD)} THEN q3 + reach ELSE {quality_rules.BEYOND} * tail END AS high
+  FROM {level}_reached
 )"""
 
 
@@ -87,7 +95,7 @@ WITH texts AS MATERIALIZED (
   FROM documents
 ),
 lines AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM texts)
   WHERE regexp_matches(line, '{NOT_BLANK}') GROUP BY doc_id
 ),
@@ -104,28 +112,29 @@ base AS MATERIALIZED (
   SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
     CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
-    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(n_lines, 0) AS n_lines
   FROM texts LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
 ),
 each AS MATERIALIZED (
-  {" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS ratio, {v} AS v FROM base WHERE n_words > 0" for k, v in _VALUES.items())}
+  {" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS ratio, {v} AS v, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS bad FROM base WHERE n_words > 0" for k, v in (_VALUES | {quality_rules.LENGTH: "n_words"}).items())}
 ),
 sketch AS MATERIALIZED (
   SELECT lang, source, ratio,
     CASE WHEN v > 0 THEN CAST(floor(ln(v) / ln({quality_rules.GROWTH}) + 1e-9) AS INTEGER) ELSE {quality_rules.ZERO} END AS bucket,
     count(*) AS n
-  FROM each GROUP BY ALL
+  FROM each WHERE NOT bad AND (v > 0 OR ratio IN ({", ".join(f"'{x}'" for x in quality_rules.SPREAD)})) GROUP BY ALL
 ),
 {_fences("own", "lang, source")}, {_fences("tongue", "lang")}, {_fences("every_one", "")},
 outside AS (
   SELECT DISTINCT e.doc_id FROM each e
-  JOIN own o ON o.ratio = e.ratio AND o.lang IS NOT DISTINCT FROM e.lang AND o.source IS NOT DISTINCT FROM e.source
-  JOIN tongue t ON t.ratio = e.ratio AND t.lang IS NOT DISTINCT FROM e.lang
   JOIN every_one a ON a.ratio = e.ratio
-  WHERE NOT (CASE WHEN o.n >= {quality_rules.ENOUGH} THEN e.v BETWEEN o.low AND o.high
+  LEFT JOIN own o ON o.ratio = e.ratio AND o.lang IS NOT DISTINCT FROM e.lang AND o.source IS NOT DISTINCT FROM e.source
+  LEFT JOIN tongue t ON t.ratio = e.ratio AND t.lang IS NOT DISTINCT FROM e.lang
+  WHERE e.ratio <> '{quality_rules.LENGTH}' AND NOT (CASE WHEN o.n >= {quality_rules.ENOUGH} THEN e.v BETWEEN o.low AND o.high
     WHEN t.n >= {quality_rules.ENOUGH} THEN e.v BETWEEN t.low AND t.high ELSE e.v BETWEEN a.low AND a.high END)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
 FROM base
@@ -157,20 +166,26 @@ _LIVE = len(secret_scan.BASE)
 OP8 = f"""
 WITH texts AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS body FROM documents),
 found AS MATERIALIZED ({" UNION ALL ".join(_spans(k, *rule[1:]) for k, rule in enumerate((*secret_scan.BASE, secret_scan.LIVE)))}),
+-- a text counts once, with its first source and its first document
+places AS (
+  SELECT value, body, min(source) AS owner, min(doc_id) AS repository
+  FROM found JOIN texts USING (doc_id) GROUP BY value, body
+),
 owners AS (
-  SELECT value, count(DISTINCT source) + max(CAST(source IS NULL AS INTEGER)) AS owners
-  FROM found JOIN texts USING (doc_id) GROUP BY value
+  SELECT value, count(DISTINCT owner) + max(CAST(owner IS NULL AS INTEGER)) >= 3
+    OR count(DISTINCT repository) >= 10 AS copied
+  FROM places GROUP BY value
 ),
 marked AS MATERIALIZED (
-  SELECT doc_id, kind, start, stop, owners,
-    owners = 1 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]')
+  SELECT doc_id, kind, start, stop, copied,
+    NOT copied AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]')
       AND len(list_distinct(string_split(value, ''))) >= {secret_scan.VARIETY}
       AND (kind < {_LIVE} OR regexp_matches(value, '[A-Z]')) AS live
   FROM found JOIN owners USING (value)
 ),
 counts AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
-    count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (owners >= {secret_scan.COPIED}) AS n_copied,
+    count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (copied) AS n_copied,
     count(*) FILTER (live) AS n_live
   FROM marked GROUP BY doc_id
 ),
@@ -206,11 +221,12 @@ def _host(url: str) -> str:
 
 _ROUNDS = ",\n".join(
     f"""r{k} AS MATERIALIZED (
-  SELECT kind, host, round(sum(rank), 14) AS rank FROM (
+  SELECT kind, host, round(s * pow(10.0, {link_trust.DIGITS - 1} - floor(log10(s)))) / pow(10.0, {link_trust.DIGITS - 1} - floor(log10(s))) AS rank
+  FROM (SELECT kind, host, sum(rank) AS s FROM (
     SELECT f.kind, f.v AS host, {link_trust.DAMPING} * f.part * r.rank AS rank
     FROM flows f JOIN r{k - 1} r ON r.kind = f.kind AND r.host = f.u
     UNION ALL SELECT kind, host, (1 - {link_trust.DAMPING}) * rank FROM r0
-  ) GROUP BY kind, host
+  ) GROUP BY kind, host)
 )"""
     for k in range(1, link_trust.ROUNDS + 1)
 )
@@ -225,8 +241,8 @@ seeds AS MATERIALIZED (
   FROM ruled WHERE host <> '' GROUP BY host
 ),
 links AS (
-  SELECT host AS u, {_host("link")} AS v FROM (
-    SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+://[^"''\s>]+)', 1)) AS link
+  SELECT host AS u, {_host("CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END")} AS v FROM (
+    SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\bhref\s*=\s*["'']?((?:[^"''\s>]+:)?//[^"''\s>]+)', 1)) AS link
     FROM ruled
   )
 ),

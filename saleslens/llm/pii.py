@@ -14,12 +14,17 @@ from the key alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saleslens.llm.common import let, stored
 
+#: Names the key in the session's configuration. Whoever knows the key can turn numbers back: without
+#: one the key below is taken, which is public, and a warning says so.
+KEY_NAME = "spark.saleslens.surrogateKey"
 KEY = "surrogate-key"
 ROUNDS = 6
 MAX_ATTEMPTS = 64
@@ -36,6 +41,8 @@ MALE = r"Mr|Mister|Sir|Lord|Herrn?|Monsieur|Señor|Sr|[Гг]осподин|г-н
 EITHER = r"Dr|Doctor|Doktor|Docteur|Prof|Professor|Professeur|Mx|Rev|[Дд]октор|[Пп]рофессор"
 LABEL = r"[Nn]ame|NAME|[Pp]atient|[Cc]ontact|[Vv]orname|[Nn]achname|[Nn]om|[Nn]ombre|[Ии]мя|[Фф]амилия"
 TITLE = rf"(?:(?:(?:{FEMALE}|{MALE}|{EITHER})\.?|(?:{LABEL}):) )"
+#: First letters of all these.
+TITLE_STARTS = "".join(sorted(set("MLFPSDHRNCV" + "cnpv" + "гдпГДПИиФф")))
 #: Letters, digits and signs of an address before the @: Latin, Greek and Cyrillic.
 LOCAL = r"A-Za-z0-9\u00C0-\u052F\u1E00-\u1EFF._%+-"
 CARD_START = r"(?:[3-6]\d{3}|2(?:22[1-9]|2[3-9]\d|[3-6]\d{2}|7[01]\d|720))"
@@ -47,13 +54,15 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)",
-    "name": rf"(?<!\p{{L}}){TITLE}++\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+)?",
+    "name": rf"(?=[{TITLE_STARTS}])(?<!\p{{L}}){TITLE}++\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+)?",
 }
 
 
 def _mention(card: str) -> str:
-    """The pattern of all mentions, with `card` for the cards."""
-    return "|".join(f"(?:{card if kind == 'card' else pattern})" for kind, pattern in PATTERNS.items())
+    """The pattern of all mentions, with `card` for the cards. No mention follows a letter from A to
+    Z, which is asked first, so that the inside of a word costs one look."""
+    kinds = "|".join(f"(?:{card if kind == 'card' else pattern})" for kind, pattern in PATTERNS.items())
+    return f"(?<![A-Za-z])(?:{kinds})"
 
 
 #: Matches nowhere.
@@ -301,25 +310,44 @@ def mentions(body: Column, mention: Column) -> Column:
     return F.when(body.rlike(HINT), F.regexp_extract_all(body, mention, F.lit(0))).otherwise(none)
 
 
+def key_of(spark: SparkSession) -> str:
+    found = spark.conf.get(KEY_NAME, None)
+    if found is None:
+        warnings.warn(f"{KEY_NAME} is not set: surrogates are made with a public key", stacklevel=2)
+    return found or KEY
+
+
+def sealed(df: DataFrame, key: str) -> DataFrame:
+    """`df` stored with its column `value` encrypted, and read with it in clear: no entity is left on
+    the disk. Equal values have equal ciphers."""
+    secret = F.substring(F.sha2(F.lit(f"seal:{key}").cast("binary"), 256), 1, 32).cast("binary")
+    mode = F.lit("ECB")
+    kept = stored(df.withColumn("value", F.aes_encrypt(F.col("value").cast("binary"), secret, mode)))
+    return kept.withColumn("value", F.aes_decrypt("value", secret, mode).cast("string"))
+
+
 def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     """kind, value, attempt, made for the distinct entities of `found`, checked for collisions.
 
     Of entities that would share a surrogate the first by value keeps it. Where the numbers of a
     format (kind, country code and length) still collide at the attempt `CROWDED`, nearly all numbers
     of that format occur: they then get one permutation together, which keeps them distinct, but a
-    surrogate may be a number that occurs.
+    surrogate may be a number that occurs. Entities that still collide after MAX_ATTEMPTS keep their
+    last surrogates, which may be shared: names and addresses grow with the attempts, so that no kind
+    comes to this but one without room.
     """
     distinct = found.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
     made = surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)
     form = F.concat_ws(":", "kind", F.char_length("value").cast("string"), F.regexp_extract("value", r"^(\+\d+\|)?", 0))
-    rows = stored(distinct.withColumn("made", made))
+    rows = sealed(distinct.withColumn("made", made), key)
     settled = rows.limit(0)
     for attempt in range(1, MAX_ATTEMPTS + 1):
         taken = rows.select("kind", F.col("value").alias("made")).withColumn("real", F.lit(True))
         place = F.row_number().over(W.partitionBy("kind", "made").orderBy("attempt", "value"))
-        checked = stored(
+        checked = sealed(
             rows.withColumn("place", place).join(taken, ["kind", "made"], "left")
-            .select("kind", "value", "attempt", "made", (F.coalesce("real", F.lit(False)) | (F.col("place") > 1)).alias("bad"))
+            .select("kind", "value", "attempt", "made", (F.coalesce("real", F.lit(False)) | (F.col("place") > 1)).alias("bad")),
+            key,
         )
         if checked.filter("bad").isEmpty():
             return rows.unionByName(settled)
@@ -327,34 +355,34 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
             formed = checked.withColumn("form", form)
             full = formed.filter(F.col("bad") & F.col("kind").isin(*NUMBERS)).select("form").distinct()
             together = formed.join(full, "form", "left_semi").select("kind", "value")
-            settled = stored(together.withColumn("attempt", F.lit(CROWDED)).withColumn("made", made))
+            settled = sealed(together.withColumn("attempt", F.lit(CROWDED)).withColumn("made", made), key)
             checked = formed.join(full, "form", "left_anti").drop("form")
         again = checked.filter("bad").select("kind", "value", F.lit(attempt).alias("attempt"))
-        rows = stored(
-            checked.filter("not bad").drop("bad").unionByName(again.withColumn("made", made))
-        )
-    raise ValueError("no distinct surrogates were found; some kind has too few values of its format")
+        rows = sealed(checked.filter("not bad").drop("bad").unionByName(again.withColumn("made", made)), key)
+    return rows.unionByName(settled)
 
 
 def with_surrogates(
-    docs: DataFrame, text: str = "text", key: str = KEY, counts: str | None = None
+    docs: DataFrame, text: str = "text", key: str | None = None, counts: str | None = None
 ) -> DataFrame:
     """docs with `text` rewritten and, if `counts` names one, a struct column of counts: n_entities,
     n_emails, n_phones, n_ips, n_cards, n_ssns, n_names.
 
     A null text stays null; a text without personal data stays as it is. Equal entities have equal
     surrogates in all rows, different ones different. Numbers of 13 to 19 digits count as cards only
-    with a valid check digit.
+    with a valid check digit. Without a `key` the session's is taken.
     """
     body = F.col(text)
-    found = stored(
+    key = key or key_of(docs.sparkSession)
+    found = sealed(
         docs.filter(body.rlike(HINT))
         .select(body.alias("body"), pattern(body).alias("pattern"))
         .select(
             F.xxhash64("body").alias("key"),
             F.explode(F.array_distinct(mentions(F.col("body"), F.col("pattern")))).alias("mention"),
         )
-        .select("key", F.inline(entities(F.col("mention"))))
+        .select("key", F.inline(entities(F.col("mention")))),
+        key,
     )
     later = surrogates(found, key).filter("attempt > 0")
     names = docs.columns

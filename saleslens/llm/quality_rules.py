@@ -4,8 +4,9 @@ Built-in functions only. Measures of every text are taken in one pass. Their dis
 kept as quantile sketches: logarithmic buckets with a count each, per language, source and measure.
 A sketch has a bounded number of buckets, its quantiles a relative error of 2.5 %, and sketches
 merge by adding counts, so a source with a third of all rows is combined before the shuffle and
-small sources fall back on the merged sketch of their language, then of all. Thresholds are
-Tukey fences of the sketched quartiles, joined to the measures of the documents.
+small sources fall back on the merged sketch of their language, then of all, each ratio for itself.
+Thresholds are quantiles of the sketches and what they say of the spread, joined to the measures of
+the documents: no ratio has a fixed cutoff.
 """
 
 from __future__ import annotations
@@ -21,18 +22,22 @@ from saleslens.llm.common import BLANK, NOT_BLANK, let, stored
 WINDOW = 5
 #: Growth of a bucket: quantiles are at most half of it off.
 GROWTH = 1.05
-#: A fence lies this many quartile distances from its quartile.
+#: What most documents have alike, or none of them: the fence lies REACH quartile distances from the
+#: quartile. A distance is at least a bucket's width, and for symbols OCCURRENCES in a document of
+#: the median length, so that quartiles that tie do not reject all the rest.
+SPREAD = ("symbols_per_word", "chars_per_word")
+TWO_SIDED = ("chars_per_word",)
 REACH = 6.0
+OCCURRENCES = {"symbols_per_word": 3.0}
+#: What some documents have and most have not: the fence lies BEYOND times the quantile TAIL of those
+#: that have it.
+SOME = ("dup_lines_per_line", "repeat_share")
+TAIL = 0.95
+BEYOND = 2.0
+RATIOS = (*SPREAD, *SOME)
+LENGTH = "words"
 #: Documents that a sketch needs to speak for a source or a language.
-ENOUGH = 100
-#: Ratios, and the least distance of their quartiles: what is rarer than that is no outlier.
-RATIOS = {
-    "symbols_per_word": 0.05,
-    "dup_lines_per_word": 0.01,
-    "repeat_share": 0.03,
-    "chars_per_word": 0.5,
-}
-TWO_SIDED = ("chars_per_word",)
+ENOUGH = 50
 
 
 def _windows(words: Column) -> Column:
@@ -67,7 +72,8 @@ def _covered(windows: Column) -> Column:
 
 
 def measured(docs: DataFrame, kept: list[Column], text: str = "text") -> DataFrame:
-    """kept, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. A null text has none of all."""
+    """kept, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines. A null text has none
+    of all."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         *kept,
@@ -83,6 +89,7 @@ def measured(docs: DataFrame, kept: list[Column], text: str = "text") -> DataFra
         "n_symbols",
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
         let(let(F.col("__words"), _windows), _covered).alias("n_repeat_words"),
+        F.size("__lines").cast("bigint").alias("n_lines"),
     )
 
 
@@ -95,7 +102,7 @@ def ratios() -> dict[str, Column]:
     words = F.when(F.col("n_words") > 0, F.col("n_words").cast("double"))
     return {
         "symbols_per_word": F.col("n_symbols") / words,
-        "dup_lines_per_word": F.col("n_dup_lines") / words,
+        "dup_lines_per_line": F.col("n_dup_lines") / F.when(F.col("n_lines") > 0, F.col("n_lines").cast("double")),
         "repeat_share": F.col("n_repeat_words") / words,
         "chars_per_word": F.col("word_chars") / words,
     }
@@ -106,16 +113,19 @@ ZERO = -2000
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """lang, source, ratio, bucket, n of rows with lang, source and the measures."""
-    named = F.array(*(F.struct(F.lit(k).alias("ratio"), v.alias("value")) for k, v in ratios().items()))
-    each = rows.filter("n_words > 0").select("lang", "source", F.inline(named))
+    """lang, source, ratio, bucket, n of the rows that pass the base, with lang, source and the
+    measures; one of the ratios is the length in words. SOME have no zeros."""
+    values = ratios() | {LENGTH: F.col("n_words").cast("double")}
+    named = F.array(*(F.struct(F.lit(k).alias("ratio"), v.alias("value")) for k, v in values.items()))
+    each = rows.filter(~base_failed()).select("lang", "source", F.inline(named))
+    each = each.filter((F.col("value") > 0) | F.col("ratio").isin(*SPREAD))
     value = F.when(F.col("value") > 0, F.col("value"))
     bucket = F.coalesce(F.floor(F.log(value) / math.log(GROWTH) + 1e-9), F.lit(ZERO)).cast("int")
     return each.groupBy("lang", "source", "ratio", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: n, and <ratio>_low and <ratio>_high, from sketches merged over everything else."""
+    """Per key <ratio>_low, <ratio>_high and <ratio>_n, from sketches merged over everything else."""
     merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
     whole = W.partitionBy(*keys, "ratio")
     upto = whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
@@ -127,25 +137,32 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
         first = F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bucket")))
         return F.when(first > ZERO, F.pow(F.lit(GROWTH), first + 0.5)).otherwise(0.0)
 
-    spread = F.element_at(F.create_map(*(F.lit(x) for pair in RATIOS.items() for x in pair)), F.col("ratio"))
-    quartiles = ranked.groupBy(*keys, "ratio").agg(
-        F.max("all").alias("n"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3")
-    ).withColumn("reach", REACH * F.greatest(F.col("q3") - F.col("q1"), spread))
-    out = []
+    found = ranked.groupBy(*keys, "ratio").agg(
+        F.max("all").alias("n"), quantile(0.25).alias("q1"), quantile(0.5).alias("q2"),
+        quantile(0.75).alias("q3"), quantile(TAIL).alias("tail"),
+    )
+    wide = found.groupBy(*keys).agg(*(
+        F.max(F.when(F.col("ratio") == name, F.col(c))).alias(f"{name}_{c}")
+        for name in (*RATIOS, LENGTH) for c in ("n", "q1", "q2", "q3", "tail")
+    ))
+    limits = []
     for name in RATIOS:
-        mine = F.col("ratio") == name
-        low = F.col("q1") - F.col("reach") if name in TWO_SIDED else F.lit(0.0)
-        out += [
-            F.max(F.when(mine, low)).alias(f"{name}_low"),
-            F.max(F.when(mine, F.col("q3") + F.col("reach"))).alias(f"{name}_high"),
+        q1, q3, tail = (F.col(f"{name}_{c}") for c in ("q1", "q3", "tail"))
+        reach = REACH * F.greatest(
+            q3 - q1, q3 * (GROWTH - 1), F.lit(OCCURRENCES.get(name, 0.0)) / F.col(f"{LENGTH}_q2")
+        )
+        limits += [
+            (q1 - reach if name in TWO_SIDED else F.lit(0.0)).alias(f"{name}_low"),
+            (q3 + reach if name in SPREAD else BEYOND * tail).alias(f"{name}_high"),
+            F.col(f"{name}_n"),
         ]
-    return quartiles.groupBy(*keys).agg(F.max("n").alias("n"), *out)
+    return wide.select(*keys, *limits)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """Fences for every lang and source: of the source itself if it has enough documents, else of
-    its language, else of all. Nulls are a language or source of their own."""
-    names = [f"{name}_{side}" for name in RATIOS for side in ("low", "high")]
+    """Fences for every lang and source, ratio by ratio: of the source itself if it has enough
+    documents (of SOME, with a value above zero), else of its language, else of all. Nulls are a
+    language or source of their own."""
 
     def renamed(level: DataFrame, tag: str) -> DataFrame:
         return level.select([F.col(c).alias(f"{tag}_{c}") for c in level.columns])
@@ -158,23 +175,18 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return joined.select(
         "s_lang", "s_source",
         *(
-            F.when(F.col("s_n") >= ENOUGH, F.col(f"s_{c}"))
-            .when(F.col("l_n") >= ENOUGH, F.col(f"l_{c}"))
-            .otherwise(F.col(f"a_{c}"))
-            .alias(c)
-            for c in names
+            F.when(F.col(f"s_{name}_n") >= ENOUGH, F.col(f"s_{name}_{side}"))
+            .when(F.col(f"l_{name}_n") >= ENOUGH, F.col(f"l_{name}_{side}"))
+            .otherwise(F.col(f"a_{name}_{side}"))
+            .alias(f"{name}_{side}")
+            for name in RATIOS
+            for side in ("low", "high")
         ),
     )
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
-
-    A document is kept unless it fails the base or a ratio lies outside the fences of its language
-    and source. A null or empty text fails the base. Repeated rows are judged each for itself.
-    """
-    rows = stored(measured(docs, [F.col("doc_id"), F.col("lang"), F.col("source")]))
-    limits = thresholds(sketches(rows))
+def _kept(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """rows with `kept`. A ratio that no document has a value of has no fences."""
     joined = rows.join(
         limits,
         F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")),
@@ -182,15 +194,28 @@ def judged(docs: DataFrame) -> DataFrame:
     )
     within = F.lit(True)
     for name, value in ratios().items():
-        within = within & F.coalesce(value.between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(True))
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"),
-        (~base_failed() & within).alias("kept"),
+        inside = value.between(F.col(f"{name}_low"), F.col(f"{name}_high"))
+        within = within & F.coalesce(inside, F.lit(True))
+    return joined.select(*(F.col(c) for c in rows.columns), (~base_failed() & within).alias("kept"))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, kept.
+
+    A document is kept unless it fails the base or a ratio lies outside the fences of its language
+    and source. A null or empty text fails the base. Repeated rows are judged each for itself.
+    """
+    rows = stored(measured(docs, [F.col("doc_id"), F.col("lang"), F.col("source")]))
+    return _kept(rows, thresholds(sketches(rows))).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
+        base_failed().alias("base_failed"), "kept",
     )
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    verdicts = judged(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_semi")
+    """The documents that are kept, with all their columns; each row is judged for itself, whatever
+    its doc_id."""
+    place = [F.col("lang"), F.col("source")]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    limits = stored(thresholds(sketches(stored(measured(docs, place)))))
+    return _kept(measured(docs, [whole, *place]), limits).filter("kept").select("row.*")

@@ -2,8 +2,9 @@
 
 Built-in functions only. Base patterns find candidates; a looser pattern finds long mixed tokens.
 Every candidate is hashed, and the hashes are counted over the corpus by distinct owners and
-repositories. What many owners share is a copied example; what one owner alone has, and looks
-random, is taken for live: such tokens are reported as further spans.
+repositories, where a text that occurs several times counts once. What many owners or very many
+repositories share is a copied example; all else that looks random is taken for live: such tokens
+are reported as further spans.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ BASE = (
 #: The further kind: long tokens of all three classes, owned by one.
 LIVE = ("live", r"[A-Za-z0-9+/_-]{32,}", 0, 32)
 KINDS = (*(kind for kind, *_ in BASE), LIVE[0])
-#: From so many owners on a secret counts as a copied example.
+#: From so many owners, or so many repositories, on a secret counts as a copied example.
 COPIED = 3
+MANY = 10
 #: Different characters of a token that looks random.
 VARIETY = 10
 BLOCK = 512
@@ -96,12 +98,12 @@ def matches(body: Column, kind: int, pattern: str, group: int, least: int) -> Co
 
 
 def candidates(docs: DataFrame, repository: Column, owner: Column, text: str = "text") -> DataFrame:
-    """row, doc_id, repository, owner, found: array of start, kind, end, key, random."""
+    """row, doc_id, repository, owner, content (a hash of the text), found: array of start, kind, end, key, random."""
     body = F.coalesce(F.col(text), F.lit(""))
     every = [matches(body, k, *rule[1:]) for k, rule in enumerate((*BASE, LIVE))]
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id"),
-        repository.cast("string").alias("repository"), owner.cast("string").alias("owner"),
+        repository.alias("repository"), owner.alias("owner"), F.md5(body.cast("binary")).alias("content"),
         F.concat(*every).alias("found"),
     )
 
@@ -119,10 +121,18 @@ def candidates(docs: DataFrame, repository: Column, owner: Column, text: str = "
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """key, owners, repositories: in how many distinct ones the candidate occurs; null counts as one."""
-    each = found.select("owner", "repository", F.explode("found.key").alias("key"))
-    by_owner = each.distinct().groupBy("key", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("key").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    """key, owners, repositories: in how many distinct ones the candidate occurs.
+
+    All rows with the same text are one place, which belongs to the least of their owners and to the
+    least of their repositories: a copy of a document neither hides nor multiplies its secrets. A
+    null owner counts as one, a null repository not at all. Minima and distinct rows are combined
+    before the shuffle.
+    """
+    each = found.select("owner", "repository", "content", F.explode("found.key").alias("key"))
+    places = each.groupBy("key", "content").agg(F.min("owner").alias("owner"), F.min("repository").alias("repository"))
+    owners = places.select("key", "owner").distinct().groupBy("key").agg(F.count("*").alias("owners"))
+    repositories = places.select("key", "repository").distinct().groupBy("key").agg(F.count("repository").alias("repositories"))
+    return owners.join(repositories, "key")
 
 
 def _written(spans: Column) -> Column:
@@ -140,18 +150,19 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_live.
 
     A null text has no secrets. Each document is a repository and its source the owner. n_copied
-    counts spans of candidates that `COPIED` owners or more share, n_live those that look random
-    and have one owner. Base spans are reported in either case.
+    counts spans of candidates in texts of `COPIED` owners or `MANY` repositories at least, n_live
+    all others that look random. Base spans are reported in either case.
     """
     found = stored(candidates(docs, F.col("doc_id"), F.col("source")))
     place = F.struct("m.start", "m.kind", "m.end")
-    live = F.col("m.random") & (F.col("owners") == 1)
+    copied = (F.col("owners") >= COPIED) | (F.col("repositories") >= MANY)
+    live = F.col("m.random") & ~copied
     extra = (
         found.select("row", F.explode("found").alias("m"))
         .withColumn("key", F.col("m.key"))
         .join(ownership(found), "key")
         .groupBy("row").agg(
-            F.count_if(F.col("owners") >= COPIED).alias("n_copied"),
+            F.count_if(copied).alias("n_copied"),
             F.count_if(live).alias("n_live"),
             F.collect_list(F.when(live & (F.col("m.kind") == len(BASE)), place)).alias("live"),
         )

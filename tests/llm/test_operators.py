@@ -66,7 +66,7 @@ def hits(text, items, window=10):
             for j in range(len(words) - size + 1):
                 if words[j : j + size] == item[i : i + size]:
                     hit |= set(range(j, j + size))
-                    found.add(str(name))
+                    found |= {str(name)} - {"None"}
     return len(words), len(hit), ",".join(sorted(found))
 
 
@@ -77,14 +77,15 @@ def test_decontamination_against_brute_force(spark, block, monkeypatch):
     long = prose(1, 60)
     items = [(3, long), (20, "Only Two"), (100, prose(2, 12)), (7, ""), (8, None), (None, "q r s"), (9, "only two")]
     cut_out = " ".join(long.split()[5:30])
-    texts = [*ODD, f"{prose(3, 80)} {cut_out} {prose(4, 300)} ONLY, two!", cut_out[:40], long, long, prose(5, 500) + " " + prose(2, 12)]
+    texts = [*ODD, "p q r s t", f"{prose(3, 80)} {cut_out} {prose(4, 300)} ONLY, two!", cut_out[:40], long, long, prose(5, 500) + " " + prose(2, 12)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, texts)
-    want = {k: hits(text, [item for item in items if item[0] is not None]) for k, text in enumerate(texts)}
+    want = {k: hits(text, items) for k, text in enumerate(texts)}
+    assert any(n and not names for _, n, names in want.values())  # only of the item without an id
     scan = decontamination.scan(docs, benchmark, F.struct("doc_id"), block_words=block).collect()
     for row in scan:
         got = sum(row.found.spans[1::2]) - sum(row.found.spans[::2])
-        assert (row.found.n_words, got, ",".join(sorted(set(row.found.items)))) == want[row.kept.doc_id]
+        assert (row.found.n_words, got, ",".join(sorted({*row.found.items} - {None}))) == want[row.kept.doc_id]
     out = {r.doc_id: r for r in decontamination.contamination(docs, benchmark).collect()}
     for k, (n, hit, names) in want.items():
         assert (out[k].n_words, out[k].n_hit, out[k].contaminated) == (n, hit, hit > 0)
@@ -155,6 +156,26 @@ def test_mixture_and_odd_texts(spark):
     assert kept.columns == [*docs.columns, "mixture"] and kept.filter("doc_id in (4, 5, 6, 7)").count() == 0
 
 
+def test_texts_of_several_languages_stay(spark):
+    alphabets = ("abcdef", "ghijkl", "mnopqr", "αβγδεζ")
+
+    def text(seed, *parts):
+        draw = random.Random(seed)
+        return " ".join("".join(draw.choices(alphabets[a], k=5)) for a, n in parts for _ in range(n))
+
+    docs = documents(spark, [text(k, (k % 3, 80)) for k in range(90)], langs=[f"l{k % 3}" for k in range(90)])
+    model = language.fit(docs, F.lit(True))
+    mixed = documents(spark, [text(1, (0, 40), (1, 30), (2, 30)), text(2, (3, 60)), None, "12 !!", text(3, (1, 50))])
+    assert {r.doc_id for r in language.with_language(mixed, model).collect()} == {0, 4}
+
+
+def test_many_languages_are_a_model_of_the_largest(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    docs = documents(spark, [prose(k, 10 + 40 * k) for k in range(40)], langs=[f"x{k}" for k in range(40)])
+    assert language.fit(docs, F.lit(True)).languages == ["x37", "x38", "x39"]
+    assert {r.lang_pred for r in language.infer(docs, language.fit(docs, F.lit(True)), F.struct("doc_id")).selectExpr("mixture.language AS lang_pred").collect()} <= {"x37", "x38", "x39"}
+
+
 def test_no_language_learned(spark):
     docs = documents(spark, ["some text", None], [None, None])
     assert {r.lang_pred for r in language.identified(docs).collect()} == {"und"}
@@ -185,6 +206,30 @@ def test_quality_of_odd_texts(spark):
     assert quality_rules.judged(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("ratio", quality_rules.RATIOS)
+def test_every_threshold_follows_its_source(spark, ratio):
+    """The same measures but for one ratio, which the second source has twice as much of."""
+    def measures(k, source, more):
+        words, lines = 100, 60
+        n = {name: 10 + k % 7 for name in ("symbols_per_word", "dup_lines_per_line", "repeat_share")} | {"chars_per_word": 500 + 20 * (k % 7)}
+        n[ratio] *= more
+        return ("en", source, words, n["chars_per_word"], n["symbols_per_word"], n["dup_lines_per_line"], n["repeat_share"] // 2, lines)
+
+    rows = [measures(k, source, more) for k in range(80) for source, more in (("a", 1), ("b", 2))]
+    names = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+    found = {r.s_source: r for r in quality_rules.thresholds(quality_rules.sketches(spark.createDataFrame(rows, names))).collect()}
+    for name in quality_rules.RATIOS:
+        a, b = (found[s][f"{name}_high"] for s in "ab")
+        assert (b > 1.5 * a) if name == ratio else (b == pytest.approx(a))
+
+
+def test_filtered_judges_each_row(spark):
+    good, bad = prose(1, 60), "a b c d e " * 40
+    rows = [(7, good, "en", "s", 0), (7, bad, "en", "s", 0), (None, good, "en", "s", 0), (None, bad, "en", "s", 0)]
+    kept = quality_rules.filtered(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, good), (7, good)]
+
+
 def test_thresholds_follow_the_source(spark):
     plain = [(k, prose(k, 60), "en", "plain", 0) for k in range(150)]
     code = [(1000 + k, prose(k, 60).replace(" ", " # "), None, "code", 0) for k in range(150)]
@@ -358,6 +403,21 @@ def test_surrogates_are_distinct_and_new(spark):
     assert any(r.attempt for r in rows)
 
 
+def test_no_entity_is_left_on_the_disk(spark, monkeypatch):
+    """What the operator stores holds ciphers in place of entities."""
+    kept = []
+
+    def noted(df):
+        kept.extend(str(value) for row in df.collect() for name, value in row.asDict().items() if name != "made")
+        return stored(df)
+
+    monkeypatch.setattr(pii, "stored", noted)
+    docs = documents(spark, ["mail ab@cd.example and 123-45-6789 or 4111 1111 1111 1111", *(f"a{k}@x.example" for k in range(9))])
+    out = [r.text for r in pii.redacted(docs).collect()]
+    assert kept and "ab@cd" not in out[0]
+    assert not any(x in value for value in kept for x in ("ab@cd", "123456789", "4111111111111111", "x.example"))
+
+
 def test_surrogates_of_crowded_formats(spark):
     numbers = [("phone", f"+1|{k:04d}") for k in range(9_900)] + [("phone", "+1|12345"), ("phone", "+2|1234")]
     letters = [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
@@ -480,6 +540,16 @@ def test_owners_tell_examples_from_live_secrets(spark):
     assert out[9].n_assign == 0
 
 
+def test_copies_of_a_text_neither_hide_nor_multiply_a_secret(spark):
+    own, spread, two = "q8Zx71LmNv30PtRs92KdWy64Hc05JgTb", "a8Zx71LmNv30PtRs92KdWy64Hc05JgTb", "b8Zx71LmNv30PtRs92KdWy64Hc05JgTb"
+    rows = [(k, f"see {own} there", "en", f"s{k}", 0) for k in range(20)]
+    rows += [(100 + k, f"see {spread} in {prose(k, 9)}", "en", "one", 0) for k in range(12)]
+    rows += [(200 + k, f"see {two} in {prose(k, 9)}", "en", f"s{k}", 0) for k in range(2)]
+    out = {r.doc_id: r for r in secret_scan.scanned(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[k].n_live == 1 and not out[k].n_copied for k in (*range(20), 200, 201))
+    assert all(out[100 + k].n_copied == 1 and not out[100 + k].n_live for k in range(12))
+
+
 def test_running_total(spark):
     out = spark.sql("select transform(sequence(1, 2000), x -> cast(x as bigint)) as v").select(
         secret_scan.running_total(F.col("v")).alias("t")
@@ -542,6 +612,22 @@ def test_urls(spark):
     assert link_trust.judged(pages.limit(0)).count() == 0
 
 
+def test_small_ranks_and_far_hosts_still_count(spark):
+    """A chain of hubs of 1,000 links each: the last host's rank is far below any absolute decimal."""
+    chain = [(f"c{k}", f"c{k + 1}", 1.0) for k in range(12)]
+    leaves = [(f"c{k}", f"leaf{k}", 999.0) for k in range(12)]
+    edges = spark.createDataFrame(chain + leaves, "u string, v string, w double")
+    seeds = spark.createDataFrame([("c0", 1, 0)], "host string, trusted long, blocked long")
+    ranks = {r.host: r.trust for r in link_trust.propagated(edges, seeds).collect()}
+    assert all(ranks[f"c{k}"] == pytest.approx(0.15 * (0.85 / 1000) ** k, rel=1e-9) for k in range(13))
+
+
+def test_links_without_a_scheme_and_pages_without_an_id(spark):
+    rows = [(None, "http://x.org/", '<a href="//b.net/fr/2">b</a>'), (1, "http://b.net/es/1", None), (None, "http://y.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.url for r in link_trust.allowed(pages).collect()} == {"http://y.org/"}
+
+
 def test_a_hub_in_parts_ranks_as_in_one(spark):
     pairs = [("hub", f"h{k}", 1.0 + k % 3) for k in range(40)] + [(f"h{k}", f"h{k * 7 % 40}", 1.0) for k in range(40)]
     edges = spark.createDataFrame(pairs + [("h3", "hub", 2.0)], "u string, v string, w double").filter("u != v")

@@ -10,7 +10,7 @@ from saleslens.llm.common import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which one learned language has half of the words at least."""
+    """Documents whose mixture of learned languages explains their text."""
     return language.with_language(docs, language.fit(docs, ~language.held_out()))
 
 

@@ -25,7 +25,7 @@ LEAST_COUNT = 2
 SLIP = 31
 RATIO = 10
 #: Parts of the dimensions: more make signatures sharper and more numerous.
-PARTS = 7
+PARTS = 6
 #: Words of a signature that are compared in one task; those of a larger one are dealt over parts.
 CELL = 4096
 

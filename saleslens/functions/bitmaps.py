@@ -38,6 +38,24 @@ def keys_in(words: str | Column = BITS) -> Column:
     return F.coalesce(F.sum(F.bit_count(words)), F.lit(0)).cast("bigint")
 
 
+def noted(df: DataFrame, *keys: str) -> DataFrame:
+    """kind, word, bitmap: the values of each of the ``keys``, kinds numbered in their order, in one
+    pass over ``df``."""
+    notes = [
+        F.struct(F.lit(k).alias("kind"), word_of(key).alias(WORD), bit_of(key).alias("key_bit"))
+        for k, key in enumerate(keys)
+    ]
+    each = df.select(F.inline(F.array(*notes))).filter(F.col(WORD).isNotNull())
+    return each.groupBy("kind", WORD).agg(F.bit_or("key_bit").alias(BITS))
+
+
+def among(df: DataFrame, key: str, words: DataFrame, kind: int) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in the bitmaps of ``kind`` that ``noted`` gave."""
+    mine = words.filter(F.col("kind") == kind).select(F.col(WORD), F.col(BITS))
+    met = df.withColumn("own_word", word_of(key)).join(mine, F.col("own_word") == F.col(WORD))
+    return met.filter(F.col(BITS).bitwiseAND(bit_of(key)) != 0).select(*df.columns)
+
+
 def counts(df: DataFrame, measure: str, *keys: str) -> DataFrame:
     """One row: the sum of ``measure`` and the number of distinct values of each of the ``keys``.
 

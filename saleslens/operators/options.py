@@ -30,8 +30,17 @@ def filter_options(*sources: tuple[DataFrame, dict[str, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("rank", place)
 
 
+def heads(df: DataFrame, key: str, n: int = PREVIEW_ROWS) -> DataFrame:
+    """The rows with the ``n`` least values of ``key``, repeated ones counted: the key is sorted alone,
+    and whole records are fetched for what is found."""
+    least = df.select(key).orderBy(key).limit(n).distinct()
+    same = least.withColumnRenamed(key, "least")
+    return df.join(same, F.col(key).eqNullSafe(F.col("least")), "left_semi")
+
+
 def table_preview(tables: dict[str, DataFrame], n: int = PREVIEW_ROWS) -> DataFrame:
-    """The first ``n`` rows of each table, as text, ordered by its columns from the left."""
+    """The first ``n`` rows of each table, as text, ordered by its columns from the left. A large
+    table comes as its ``heads``."""
     parts = []
     for name, df in tables.items():
         head = df.orderBy(*df.columns).limit(n)

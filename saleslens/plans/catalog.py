@@ -13,9 +13,13 @@ from saleslens.functions.bins import LEFT_CLOSED, RIGHT_CLOSED
 from saleslens.functions.measures import with_net_sales
 from saleslens.functions.numeric import ratio, row_amount
 from saleslens.functions.periods import with_period_columns
-from saleslens.operators import cube, customers, enrich, filters, options, sales, shipping, staff
+from saleslens.operators import cube, customers, enrich, filters, options, quality, sales, shipping, staff
 from saleslens.plans import frames, pages
+from saleslens.sources import store
+from saleslens.sources.parquet import load_shop
 from saleslens.sources.retail import Retail, retail
+from saleslens.sources.schemas import SUMMARY
+from saleslens.sources.sinks import read_csv, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -255,47 +259,67 @@ def filter_options(data: Retail) -> DataFrame:
 
 @query
 def cube_filter_options(data: Retail) -> DataFrame:
-    sold = frames.order_sales(data, priced=False)
-    days = sold.select(F.col("order_date").cast("date").alias("order_date_key")).distinct()
+    orders, products = frames.sold(data)
+    days = orders.select(F.col("order_date").cast("date").alias("order_date_key")).distinct()
     calendar = cube.with_calendar(days, data.dates(), "order_date_key")
-    buyers = sold.select(F.col("customer_id").alias("customer_key")).distinct()
+    buyers = orders.select(F.col("customer_id").alias("customer_key")).distinct()
     places = frames.with_warehouse_home(buyers, data)
-    goods = data.warehouse_lines().select("product_key").distinct()
-    products = cube.with_warehouse_product(goods, data.warehouse_products())
     return options.filter_options(
         (calendar, {"year": "year_date", "quarter": "quarter_date", "month": "month_date"}),
         (places, {"city": "city_customer"}),
-        (products, {"category": "category_product"}),
+        (products, {"category": "category_name"}),
     )
 
 
 @query
 def table_preview(data: Retail) -> DataFrame:
-    products = data.products().select("product_id", "product_name", "brand_id", "list_price")
-    facts = data.lines().select(
+    """Every column of every table of the star; those that grow are joined for their heads only."""
+    buyers = data.with_home(options.heads(data.buyers(), "customer_id"))
+    products = options.heads(data.snowflake_products(), "product_id")
+    facts = frames.star_lines(data, options.heads(data.lines(), "sale_id")).select(
         "sale_id",
         "order_id",
+        "customer_id",
         "product_id",
+        "store_id",
         "staff_id",
+        _iso("order_date"),
+        _iso("shipped_date"),
         "quantity",
+        "list_price",
         "discount",
         "gross_amount",
-        F.col("shipped_date").cast("date").alias("shipped_date"),
+        "net_amount",
     )
     return options.table_preview(
         {
-            "dim_customers": data.customers(),
+            "dim_customers": buyers.select(*data.customers().columns),
             "dim_date": data.dates(),
-            "dim_staffs": data.staffs(),
-            "dim_products": products,
+            "dim_staffs": options.heads(data.staffs(), "staff_id"),
+            "dim_products": products.select("product_id", "product_name", "brand_id", "category_id", "list_price"),
             "dim_brands": data.brands(),
-            "dim_categories": data.categories().select("category_name"),
+            "dim_categories": data.categories(),
             "dim_stores": data.stores(),
             "fact_sales": facts,
         }
     )
 
 
+@query
+def star_audit(data: Retail) -> DataFrame:
+    """The star written, loaded by its declared schema and checked."""
+    path = store.new_path(data.spark)
+    data.write_shop(path)
+    return quality.audit(load_shop(data.spark, path))
+
+
+@query
+def exported_summary(data: Retail) -> DataFrame:
+    """The cube's summary as its export holds it."""
+    path = write_csv(cube_summary(data), store.new_path(data.spark), "summary")
+    return read_csv(data.spark, path, SUMMARY)
+
+
 # Sales page
 
 

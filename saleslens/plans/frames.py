@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleslens.functions.bins import Bins
+from saleslens.functions.bitmaps import among, noted
 from saleslens.functions.measures import (
     to_grain,
     with_discounted_units,
@@ -55,6 +56,19 @@ def priced_lines(data: Retail) -> DataFrame:
     return with_net_sales(data.lines().join(data.prices(), "product_id", "left"))
 
 
+def star_lines(data: Retail, lines: DataFrame) -> DataFrame:
+    """``lines`` with price, store, date and customer: the columns of a loaded star's fact."""
+    sellers = data.staffs().select("staff_id", "store_id")
+    priced = lines.join(data.prices(), "product_id", "left").join(sellers, "staff_id", "left")
+    return priced.join(data.orders(), "order_id", "left")
+
+
+def sold(data: Retail) -> tuple[DataFrame, DataFrame]:
+    """The orders and the products that have sales; the sales are read once, into bitmaps."""
+    words = store.stored(noted(data.lines(), "order_id", "product_id"))
+    return among(data.orders(), "order_id", words, 0), among(data.products(), "product_id", words, 1)
+
+
 def dated_lines(data: Retail) -> DataFrame:
     """Priced fact rows with the date and customer of their order."""
     return priced_lines(data).join(data.orders(), "order_id", "left")

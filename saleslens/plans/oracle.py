@@ -260,6 +260,42 @@ def _first_rows(table: str, columns: list[str], source: str) -> str:
        ORDER BY {order} LIMIT 5)"""
 
 
+CATEGORY_KEY = "CAST('0x' || substr(md5(p_type), 1, 15) AS BIGINT)"
+
+
+def _audited(table: str, column: str, source: str, dim: str | None = None) -> str:
+    """Counts of one column of a star's table; without a dimension it is the table's own key."""
+    repeated = "0" if dim else "coalesce(sum(n) FILTER (key IS NOT NULL AND n > 1), 0)"
+    orphans = f"coalesce(sum(n) FILTER (key IS NOT NULL AND key NOT IN ({dim})), 0)" if dim else "0"
+    return f"""
+      SELECT '{table}' AS table_name, '{column}' AS column_name,
+        CAST(coalesce(sum(n) FILTER (key IS NOT NULL), 0) AS BIGINT) AS known,
+        CAST(coalesce(sum(n) FILTER (key IS NULL), 0) AS BIGINT) AS missing,
+        CAST({repeated} AS BIGINT) AS repeated, CAST({orphans} AS BIGINT) AS orphans
+      FROM (SELECT key, count(*) AS n FROM ({source}) s GROUP BY key) k"""
+
+
+_FACT = "SELECT {} AS key FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN supplier ON l_suppkey = s_suppkey"
+_BRAND = "CAST(split_part(p_brand, '#', 2) AS INTEGER)"
+AUDIT = "\nUNION ALL".join(
+    (
+        _audited("fact_sales", "sale_id", _FACT.format("l_orderkey * 10 + l_linenumber")),
+        _audited("fact_sales", "customer_id", _FACT.format("o_custkey"), "SELECT c_custkey FROM customer"),
+        _audited("fact_sales", "staff_id", _FACT.format("l_suppkey"), "SELECT s_suppkey FROM supplier"),
+        _audited("fact_sales", "product_id", _FACT.format("l_partkey"), "SELECT p_partkey FROM part"),
+        _audited("fact_sales", "store_id", _FACT.format("s_nationkey"), "SELECT n_nationkey FROM nation"),
+        _audited("dim_customers", "customer_id", "SELECT c_custkey AS key FROM customer"),
+        _audited("dim_staffs", "staff_id", "SELECT s_suppkey AS key FROM supplier"),
+        _audited("dim_staffs", "store_id", "SELECT s_nationkey AS key FROM supplier", "SELECT n_nationkey FROM nation"),
+        _audited("dim_products", "product_id", "SELECT p_partkey AS key FROM part"),
+        _audited("dim_products", "brand_id", f"SELECT {_BRAND} AS key FROM part", f"SELECT {_BRAND} FROM part"),
+        _audited("dim_products", "category_id", f"SELECT {CATEGORY_KEY} AS key FROM part", f"SELECT {CATEGORY_KEY} FROM part"),
+        _audited("dim_brands", "brand_id", f"SELECT DISTINCT {_BRAND} AS key, p_brand FROM part"),
+        _audited("dim_categories", "category_id", f"SELECT DISTINCT {CATEGORY_KEY} AS key, p_type FROM part"),
+        _audited("dim_stores", "store_id", "SELECT n_nationkey AS key FROM nation"),
+    )
+)
+
 PREVIEW = _sales(
     "\nUNION ALL\n".join(
         [
@@ -282,6 +318,7 @@ PREVIEW = _sales(
                     "p_partkey",
                     "p_name",
                     "CAST(split_part(p_brand, '#', 2) AS INTEGER)",
+                    CATEGORY_KEY,
                     "p_retailprice",
                 ],
                 "part",
@@ -292,7 +329,7 @@ PREVIEW = _sales(
                 "(SELECT DISTINCT p_brand FROM part) x",
             ),
             _first_rows(
-                "dim_categories", ["p_type"], "(SELECT DISTINCT p_type FROM part) x"
+                "dim_categories", [CATEGORY_KEY, "p_type"], "(SELECT DISTINCT p_type FROM part) x"
             ),
             _first_rows("dim_stores", ["n_nationkey", "n_name"], "nation"),
             _first_rows(
@@ -300,14 +337,19 @@ PREVIEW = _sales(
                 [
                     "sale_id",
                     "order_id",
+                    "customer_id",
                     "product_id",
+                    "s_nationkey",
                     "staff_id",
+                    "order_date",
+                    "shipped_date",
                     "quantity",
+                    "CAST(list_price AS DOUBLE)",
                     "CAST(discount AS DOUBLE)",
                     "CAST(gross_amount AS DOUBLE)",
-                    "shipped_date",
+                    "CAST(gross_amount AS DOUBLE) * (1 - CAST(discount AS DOUBLE))",
                 ],
-                "sales",
+                "sales LEFT JOIN supplier ON staff_id = s_suppkey",
             ),
         ]
     )
@@ -565,6 +607,8 @@ ORACLE |= {
     "star_of_tables": ORACLE["star_enriched"],
     "cube_a_of_tables": ORACLE["cube_a"],
     "cube_b_of_tables": ORACLE["cube_b"],
+    "star_audit": AUDIT,
+    "exported_summary": ORACLE["cube_summary"],
     "lattice_slice_kpi": ORACLE["cube_slice_kpi"],
     "lattice_top_products": ORACLE["cube_top_products"],
     "lattice_month_financial": ORACLE["cube_month_financial"],

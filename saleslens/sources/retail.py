@@ -9,13 +9,14 @@ at the grain it needs.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache, wraps
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.functions.measures import with_line_count
 from saleslens.sources.parquet import open_table
+from saleslens.sources.schemas import SHOP_TABLES
 
 
 def table(build: Callable[[Retail], DataFrame]) -> Callable[[Retail], DataFrame]:
@@ -81,14 +82,14 @@ class Retail:
     def products(self) -> DataFrame:
         """Products with their brand and category names at hand, as the part table stores them.
 
-        The category key is a hash of its name: the same on every machine, without numbering the
-        categories first.
+        The category key is a hash of its name, of 60 bits: the same on every machine and in every
+        engine, without numbering the categories first.
         """
         return self._table("part").select(
             F.col("p_partkey").alias("product_id"),
             F.col("p_name").alias("product_name"),
             F.substring_index("p_brand", "#", -1).try_cast("int").alias("brand_id"),
-            F.xxhash64("p_type").alias("category_id"),
+            F.conv(F.substring(F.md5("p_type"), 1, 15), 16, 10).cast("bigint").alias("category_id"),
             F.col("p_retailprice").alias("list_price"),
             F.col("p_brand").alias("brand_name"),
             F.col("p_type").alias("category_name"),
@@ -200,6 +201,16 @@ class Retail:
             "dim_stores": self.stores(),
         }
 
+    def write_shop(self, path: str) -> None:
+        """The shop star as Parquet tables with all declared columns, for ``load_shop``; what these
+        tables don't know is null."""
+        for name, df in self.shop().items():
+            columns = [
+                (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+                for c, kind in SHOP_TABLES[name].items()
+            ]
+            df.select(*columns).write.parquet(f"{path}/{name}.parquet")
+
     def warehouse(self) -> dict[str, DataFrame]:
         """The general sales star as tables of their own, as ``load_warehouse`` gives them."""
         home = self.places()

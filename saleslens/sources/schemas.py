@@ -53,7 +53,7 @@ SHOP_TABLES: dict[str, Columns] = {
         "product_id": "bigint",
         "product_name": "string",
         "brand_id": "int",
-        "category_id": "int",
+        "category_id": "bigint",
         "model_year": "int",
         "list_price": "double",
     },
@@ -62,7 +62,7 @@ SHOP_TABLES: dict[str, Columns] = {
         "brand_name": "string",
     },
     "dim_categories": {
-        "category_id": "int",
+        "category_id": "bigint",
         "category_name": "string",
     },
     "dim_stores": {
@@ -77,6 +77,16 @@ SHOP_TABLES: dict[str, Columns] = {
     },
 }
 
+# The cube's summary as it is exported.
+SUMMARY: Columns = {
+    "category_product": "string",
+    "city_customer": "string",
+    "revenue": "double",
+    "profit": "double",
+    "quantity": "bigint",
+    "sales": "bigint",
+}
+
 # General sales warehouse: the product carries its category, employees sell.
 WAREHOUSE_TABLES: dict[str, Columns] = {
     "fact_sales": {

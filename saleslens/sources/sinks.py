@@ -7,7 +7,9 @@ from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from saleslens.sources.schemas import Columns
 
 
 def write_csv(report: DataFrame, folder: str, prefix: str, files: int | None = None) -> str:
@@ -22,6 +24,16 @@ def write_csv(report: DataFrame, folder: str, prefix: str, files: int | None = N
     return path
 
 
+def read_csv(spark: SparkSession, path: str, columns: Columns) -> DataFrame:
+    """An export as it was written, in declared types; a value that doesn't fit is an error. Only what
+    was written to its end is read: a job that broke off leaves no mark of success."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        raise ValueError(f"{path} was not written to its end")
+    shape = ", ".join(f"{name} {kind}" for name, kind in columns.items())
+    return spark.read.schema(shape).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 @contextmanager
 def shared(frame: DataFrame) -> Iterator[DataFrame]:
     """Keep ``frame`` while several reports read it.

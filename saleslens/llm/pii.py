@@ -68,7 +68,7 @@ def _mention(card: str) -> str:
 #: Matches nowhere.
 NEVER = "(?!)"
 #: What every mention has, cheap to look for.
-HINT = rf"[@\d]|{TITLE}\p{{Lu}}"
+HINT = rf"[@\d]|(?=[{TITLE_STARTS}])(?<!\p{{L}}){TITLE}\p{{Lu}}"
 #: Syllables of made-up names by script, and their endings by gender.
 LATIN = "ba be bo da de do fa fe ga ge ka ke la le li lo ma me mi mo na ne no ra re ri ro sa se so ta te to va ve vi".split()
 CYRILLIC = "ба бе бо ва ве да де до га го ка ко ла ле ли ло ма ме ми мо на не но ра ре ри ро са се со та те то".split()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saleslens.sources.store import shared_folder, stored
+
+__all__ = ["BLANK", "NOT_BLANK", "UPPER", "ascii_lower", "cut", "let", "shared_folder", "stored", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of several contracts: runs of anything but space and the controls from tab to return.
 BLANK = r"[\x20\x09-\x0D]"
@@ -19,32 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only a local session may go without: it then gets a temporary folder of this machine.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if set_before is not None:
-            return set_before
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='saleslens-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written once as Parquet to the shared folder and read from there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/saleslens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

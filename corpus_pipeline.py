@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import decontamination, language, near_copies, packing, pii, simhash
+from saleslens.llm import decontamination, language, packing, pii, simhash
 from saleslens.llm.common import stored, table
 
 
@@ -15,8 +15,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies: five-word similarity of 0.8."""
-    return simhash.one_of_each(docs, near_copies.CELL, near_copies.prints, near_copies.classes)
+    """The document with the smallest doc_id of each group of near copies: fingerprints within 3 bits."""
+    return simhash.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, root for every node of `links` (columns u and v, any order): the least node reachable.
 
     Each round halves the paths, so that rounds grow with the logarithm of the longest; what a
-    round leaves is checkpointed. Minima are combined before the shuffle, so a hub is no burden.
+    round leaves is checkpointed. Minima are combined before the shuffle; the edges of a hub meet
+    their minimum in a plain join that adaptive execution may split, as what follows shuffles anew.
     """
     edges = cut(links.select("u", "v").filter("u != v").distinct())
     signature = None

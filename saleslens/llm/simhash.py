@@ -14,7 +14,7 @@ apart are kept: a cell of n fingerprints gives less than n links. A cell with mo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -189,20 +189,19 @@ def classes(fps: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", cell: int = CELL) -> DataFrame:
-    """Per document: doc_id, fingerprint, component_id, links (other texts' fingerprints it is linked by).
+    """Per document: doc_id, fingerprint, component_id, class_fp (least fingerprint of its class, signed).
 
     Documents without words have fingerprint zero and are linked like any other. A row with a null
     doc_id is linked, but names no component; component_id is null only where no doc_id is known.
     Repeated rows come out as often as they came in.
     """
-    found = stored(fingerprints(docs, F.col("doc_id"), text).withColumnRenamed("kept", "doc_id"))
-    return _named(found, lambda rows: classes(rows, cell))
+    return _named(stored(fingerprints(docs, F.col("doc_id"), text).withColumnRenamed("kept", "doc_id")), cell)
 
 
-def _named(found: DataFrame, classed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """found: doc_id, fp and what `classed` reads to give classes of fp."""
+def _named(found: DataFrame, cell: int) -> DataFrame:
+    """found: doc_id and fp."""
     least = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    of = least.join(classed(found), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of = least.join(classes(found, cell), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.join(names, "root").select("fp", "root", "component_id")
     return found.join(named, "fp").select(
@@ -213,24 +212,18 @@ def _named(found: DataFrame, classed: Callable[[DataFrame], DataFrame]) -> DataF
     )
 
 
-def one_of_each(
-    docs: DataFrame,
-    cell: int = CELL,
-    prints: Callable[[DataFrame, Column], DataFrame] = fingerprints,
-    classed: Callable[[DataFrame, int], DataFrame] = classes,
-) -> DataFrame:
+def one_of_each(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id, with all columns.
 
-    Of rows that repeat that doc_id, or of a group without any doc_id, one row stays. `prints` gives
-    `kept` and fp of each document, `classed` the classes of fp; left out, fingerprints within NEAR bits.
+    Of rows that repeat that doc_id, or of a group without any doc_id, one row stays.
     """
-    found = stored(prints(docs, F.col("doc_id")).withColumnRenamed("kept", "doc_id"))
+    found = stored(fingerprints(docs, F.col("doc_id")).withColumnRenamed("kept", "doc_id"))
     if found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        others = _named(found, lambda rows: classed(rows, cell)).filter("doc_id != component_id").select("doc_id")
+        others = _named(found, cell).filter("doc_id != component_id").select("doc_id")
         return docs.join(others, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     # a doc_id alone doesn't tell rows apart: each row carries its fingerprint
-    rows = stored(prints(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
-    named = _named(rows.withColumn("doc_id", F.col("kept.doc_id")).drop("kept"), lambda found: classed(found, cell))
+    rows = stored(fingerprints(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+    named = _named(rows.withColumn("doc_id", F.col("kept.doc_id")).drop("kept"), cell)
     chosen = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     picks = chosen.groupBy("class_fp").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min("fingerprint").alias("hex")

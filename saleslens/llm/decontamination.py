@@ -5,7 +5,10 @@ over its word sequence, and the suffixes of the benchmark items are searched in
 all at once. Shards are made within a task and hold whole texts (a longer text is cut into
 overlapping stretches), so nothing is shuffled and a lost task is simply run again.
 
-Words are compared by a 64-bit hash; two different words agree with a chance of about 5e-20.
+The windows that occur are then followed further: a text's longest verbatim match begins where a
+window does, and its length is bisected over hashes of whole stretches, for all texts at once.
+
+Words and stretches are compared by 64-bit hashes; two different ones agree with a chance of about 5e-20.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ class Suffixes:
     """Suffixes of benchmark items that hold a whole window, and the distinct windows among them."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+        self.window = window
         items = [(name, found) for name, found in items if len(found)]
         self.names = [name for name, _ in items]
         self.flat = np.concatenate([found for _, found in items] or [np.zeros(0, np.uint64)])
@@ -97,12 +101,51 @@ def bisect(seq: np.ndarray, order: np.ndarray, wanted: np.ndarray, after: bool)
     return low
 
 
+class Stretches:
+    """Hashes of any stretch of a sequence of 64-bit numbers, from running sums."""
+
+    def __init__(self, values: np.ndarray):
+        powers = np.cumprod(np.full(len(values) + 1, _FACTOR), dtype=np.uint64)
+        self.back = np.cumprod(np.full(len(values) + 1, _UNDO), dtype=np.uint64)
+        self.sums = np.r_[np.uint64(0), np.cumsum(values * powers[:-1], dtype=np.uint64)]
+
+    def __call__(self, at: np.ndarray, length: int) -> np.ndarray:
+        return (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_UNDO = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+
+
+def reach(
+    mine: Stretches, at: np.ndarray, room: np.ndarray, group: np.ndarray,
+    theirs: Stretches, place: np.ndarray, extent: np.ndarray, least: np.ndarray, most: np.ndarray,
+) -> np.ndarray:
+    """For each group the greatest length, from `least` (which one has) to `most`, at which one of its
+    stretches equals one of theirs. They begin `at` and in `place` and have `room` and `extent`."""
+    low, high = least.copy(), np.maximum(least, most)
+    while (open_ := low < high).any():
+        middle = (low + high + 1) // 2
+        fits = np.zeros(len(low), dtype=bool)
+        want = middle[group]
+        rows = np.flatnonzero(open_[group] & (room >= want))
+        rows = rows[np.argsort(want[rows], kind="stable")]
+        for these in np.split(rows, np.flatnonzero(np.diff(want[rows])) + 1):
+            if len(these):
+                size = int(want[these[0]])
+                same = np.isin(mine(at[these], size), theirs(place[extent >= size], size))
+                fits[group[these[same]]] = True
+        low = np.where(open_ & fits, middle, low)
+        high = np.where(open_ & ~fits, middle - 1, high)
+    return low
+
+
 class Shard:
     """Suffix array over word hashes of texts; text numbers ascend."""
 
     def __init__(self, found: np.ndarray, text: np.ndarray, suffixes: Suffixes):
         self.known, number = np.unique(found, return_inverse=True)
-        self.text = text
+        self.found, self.text = found, text
         ordinal = np.cumsum(np.r_[0, np.diff(text) != 0]) if len(text) else text
         self.place = np.arange(len(found)) + ordinal
         length = len(found) + (int(ordinal[-1]) + 1 if len(text) else 0)
@@ -133,14 +176,15 @@ class Shard:
             if hit.any():
                 yield these[hit], int(width), low[hit], high[hit]
 
-    def hits(self) -> tuple[np.ndarray, np.ndarray]:
-        """Words hit, by word; and pairs of a text and an item with a window in it, once a window.
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words hit, by word; pairs of a text and an item with a window in it, once a window; places
+        of the full windows in the sequence; and (text, width, word) of the first of its widest windows.
 
         The occurrences of a window are counted by text before they meet its items, so that a
         frequent window of many items gives no more pairs than texts and items have in common.
         """
         s, edge = self.suffixes, np.zeros(len(self.seq) + 1, dtype=np.int64)
-        owners = [np.zeros((2, 0), np.int64)]
+        owners, full, widest = [np.zeros((2, 0), np.int64)], np.zeros(0, np.int64), [np.zeros((3, 0), np.int64)]
         for these, width, low, high in self.ranges():
             windows, one = np.unique(low, return_index=True)
             count = (high - low)[one]
@@ -148,6 +192,11 @@ class Shard:
             at = self.order[np.arange(int(count.sum())) + np.repeat(windows - first, count)]
             edge += np.bincount(at, minlength=len(edge))
             edge -= np.bincount(at + width, minlength=len(edge))
+            place = np.sort(at)
+            text, one = np.unique(self.text[self.word[place]], return_index=True)
+            widest.append(np.stack([text, np.full(len(text), width), self.word[place[one]]]))
+            if width == s.window:
+                full = place
             inside = np.stack([np.repeat(np.arange(len(windows)), count), self.text[self.word[at]]])
             window, text = np.unique(inside, axis=1)
             item = np.unique(np.stack([low, s.item[these]]), axis=1)
@@ -156,22 +205,60 @@ class Shard:
             size = np.diff(bounds)[group]
             spread = np.arange(int(size.sum())) + np.repeat(bounds[group] - (np.cumsum(size) - size), size)
             owners.append(np.stack([text[spread], np.repeat(item[1], size)]))
-        return np.cumsum(edge)[self.place] > 0, np.concatenate(owners, axis=1)
-
-    def longest(self) -> Iterator[tuple[int, int, int]]:
-        """(suffix, word, length) of the longest match of each suffix whose window occurs."""
-        s = self.suffixes
-        for these, _, _, _ in self.ranges():
-            for q in these:
-                want = self.wanted[s.at[q] : s.at[q] + s.length[q]][None, :]
-                near = int(bisect(self.seq, self.order, want, False)[0])
-                best = (0, 0)
-                for slot in (near - 1, near):
-                    if 0 <= slot < len(self.order):
-                        at = self.order[slot]
-                        same = self.seq[at : at + want.shape[1]] == want[0]
-                        best = max(best, (len(same) if same.all() else int(same.argmin()), -int(at)))
-                yield int(q), int(self.word[-best[1]]), best[0]
+        first = np.concatenate(widest, axis=1)
+        first = first[:, np.lexsort((-first[1], first[0]))]
+        first = first[:, np.r_[True, np.diff(first[0]) > 0]] if first.size else first
+        return np.cumsum(edge)[self.place] > 0, np.concatenate(owners, axis=1), full, first
+
+    def _sums(self) -> tuple[Stretches, Stretches]:
+        """Of the shard, where no word of an item stands between texts, and of the items."""
+        values = np.full(len(self.word), _FACTOR)
+        values[self.place] = self.found
+        return Stretches(values), Stretches(self.suffixes.flat)
+
+    def longest(self, full: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(text, length, word) of the longest match of each text with a window, the first of equal ones."""
+        s, out = self.suffixes, first.copy()
+        wide = np.flatnonzero(out[1] == s.window)
+        if not len(wide):
+            return out
+        mine, theirs = self._sums()
+        live = self.live[s.width[self.live] == s.window]
+        group = np.searchsorted(out[0, wide], self.text[self.word[full]])
+        room = len(self.word) - full
+        out[1, wide] = length = reach(
+            mine, full, room, group, theirs, s.at[live], s.length[live],
+            out[1, wide], np.full(len(wide), s.length[live].max()),
+        )
+        longer = np.flatnonzero(length[group] > s.window)
+        longer = longer[np.argsort(length[group[longer]], kind="stable")]
+        for these in np.split(longer, np.flatnonzero(np.diff(length[group[longer]])) + 1):
+            if len(these):
+                size = int(length[group[these[0]]])
+                these = these[room[these] >= size]
+                these = these[np.isin(mine(full[these], size), theirs(s.at[live[s.length[live] >= size]], size))]
+                texts, one = np.unique(group[these], return_index=True)
+                out[2, wide[texts]] = self.word[full[these[one]]]
+        return out
+
+    def longest_of_suffixes(self) -> Iterator[tuple[int, int, int]]:
+        """(suffix, word, length) of the longest match of each suffix whose window occurs, the first of equal ones."""
+        s, sums = self.suffixes, None
+        for these, width, low, high in self.ranges():
+            windows, one = np.unique(low, return_index=True)
+            count = (high - low)[one]
+            at = self.order[np.arange(int(count.sum())) + np.repeat(windows - (np.cumsum(count) - count), count)]
+            at = np.sort(at)
+            sums = sums or self._sums()
+            room, least = len(self.word) - at, np.full(len(these), width)
+            length = reach(
+                sums[1], s.at[these], s.length[these], np.arange(len(these)), sums[0], at, room, least, s.length[these]
+            )
+            for size in np.unique(length).tolist():
+                mine, fits = np.flatnonzero(length == size), at[room >= size]
+                there, first = np.unique(sums[0](fits, size), return_index=True)
+                found = fits[first[np.searchsorted(there, sums[1](s.at[these[mine]], size))]]
+                yield from zip(these[mine].tolist(), self.word[found].tolist(), [size] * len(mine))
 
 
 def _read(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -190,17 +277,21 @@ def _stretches(found: np.ndarray, text: np.ndarray, suffixes: Suffixes) -> Itera
             yield at, Shard(found[at:to], text[at:to], suffixes)
 
 
-def _hit_rows(texts: pa.Array, suffixes: Suffixes) -> tuple[list, list, list]:
-    """For each text: number of words, [from, to, from, to, ...] of its hit words, items."""
-    n_words, spans, items = [], [], []
+def _hit_rows(texts: pa.Array, suffixes: Suffixes) -> tuple[list, list, list, list]:
+    """For each text: number of words, [from, to, from, to, ...] of its hit words, items, [length, from]
+    of its longest match (or nothing)."""
+    n_words, spans, items, longest = [], [], [], []
     for row, end, found, text in _read(texts):
         n_words += np.bincount(text, minlength=end - row).tolist()
         covered, pairs = np.zeros(len(found), bool), [np.zeros((2, 0), np.int64)]
+        best: dict[int, list[int]] = {}
         if suffixes.names:
             for at, shard in _stretches(found, text, suffixes):
-                hit, owned = shard.hits()
+                hit, owned, full, widest = shard.hits()
                 covered[at : at + len(hit)] |= hit
                 pairs.append(np.unique(owned, axis=1))
+                for k, length, word in shard.longest(full, widest).T.tolist():
+                    best[k] = longer(best.get(k, []), [length, word + at])
         first = np.searchsorted(text, np.arange(end - row + 1))
         edge = covered.copy()
         edge[1:] = covered[1:] & (~covered[:-1] | (text[1:] != text[:-1]))
@@ -213,12 +304,22 @@ def _hit_rows(texts: pa.Array, suffixes: Suffixes) -> tuple[list, list, list]:
         for k, (a, b) in enumerate(zip(mine, theirs, strict=True)):
             spans.append((a - first[k]).ravel().tolist())
             items.append([suffixes.names[i] for i in b])
-    return n_words, spans, items
+            longest.append([best[k][0], best[k][1] - int(first[k])] if k in best else [])
+    return n_words, spans, items, longest
+
+
+def longer(a: list[int], b: list[int]) -> list[int]:
+    """Of two matches [length, from] the longer one, of equal ones the first; either may be missing."""
+    return max(a, b, key=lambda x: (x[0], -x[1]) if x else (0, 0))
 
 
 FOUND = T.StructField(
     "found",
-    T.StructType().add("n_words", T.LongType()).add("spans", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType())),
+    T.StructType()
+    .add("n_words", T.LongType())
+    .add("spans", T.ArrayType(T.LongType()))
+    .add("items", T.ArrayType(T.StringType()))
+    .add("longest", T.ArrayType(T.LongType())),
 )
 
 
@@ -247,7 +348,8 @@ def scan(
     """One row per document: `kept` (any column of docs, as a struct) and `found`.
 
     found.n_words counts its words, found.spans holds [from, to, from, to, ...] of the words inside
-    an occurrence of a benchmark window, found.items the items with such a window. A null text has
+    an occurrence of a benchmark window, found.items the items with such a window, found.longest
+    [length, from] of the longest verbatim match with an item that holds a window. A null text has
     no words, an empty benchmark hits nothing, items without words are passed over, equal items both
     count. The windows of an item without an id count as any, its name is null. A benchmark over `block_words` words is searched block by block,
     each pass adding to what the pass before has found. `inside` says that `kept` holds the text too,
@@ -279,18 +381,20 @@ def _pass(sent, names: list[str], field: str | None):
                 body = batch.column("body")
             else:
                 body = pc.fill_null(batch.column("kept").field(field), "")
-            n_words, spans, items = _hit_rows(body, suffixes)
+            n_words, spans, items, longest = _hit_rows(body, suffixes)
             if "found" in batch.schema.names:
                 old = batch.column("found").to_pylist()
                 spans = [union(a["spans"], b) for a, b in zip(old, spans, strict=True)]
                 items = [a["items"] + b for a, b in zip(old, items, strict=True)]
+                longest = [longer(a["longest"], b) for a, b in zip(old, longest, strict=True)]
             found = pa.StructArray.from_arrays(
                 [
                     pa.array(n_words, pa.int64()),
                     pa.array(spans, pa.list_(pa.int64())),
                     pa.array(items, pa.list_(pa.string())),
+                    pa.array(longest, pa.list_(pa.int64())),
                 ],
-                ["n_words", "spans", "items"],
+                ["n_words", "spans", "items", "longest"],
             )
             columns = {"kept": batch.column("kept"), "found": found, "body": body}
             yield pa.RecordBatch.from_arrays([columns[name] for name in names], names)
@@ -316,7 +420,9 @@ def n_hit(found: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; longest_match, the words
+    of its longest verbatim match with an item that holds a window (0 if none), and longest_at, the
+    words before the first such match (null if none)."""
     out = scan(docs, benchmark, F.struct("doc_id"), window)
     items = F.array_sort(F.array_distinct(F.array_compact(F.col("found.items"))))
     return out.select(
@@ -326,6 +432,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         F.size(items).cast(T.LongType()).alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("found.spans") > 0).alias("contaminated"),
+        F.coalesce(F.get("found.longest", F.lit(0)), F.lit(0)).cast(T.LongType()).alias("longest_match"),
+        F.get("found.longest", F.lit(1)).alias("longest_at"),
     )
 
 
@@ -366,7 +474,7 @@ def _matches(sent):
             ids, out = batch.column("doc_id"), []
             for row, _, found, text in _read(batch.column("body")):
                 for at, shard in _stretches(found, text, suffixes):
-                    for q, word, length in shard.longest():
+                    for q, word, length in shard.longest_of_suffixes():
                         mine = text[word + at]
                         out.append((
                             suffixes.names[suffixes.item[q]], int(suffixes.start[q]), length,

@@ -16,12 +16,13 @@ _ITEM_WORDS = (
 )
 OP1 = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark),
-b2 AS (SELECT item, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
-windows AS (
-  SELECT DISTINCT item, k, array_to_string(w[i + 1 : i + k], ' ') AS s
-  FROM (SELECT item, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM b2)
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w, row_number() OVER () AS r FROM benchmark),
+b2 AS (SELECT item, r, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+every_window AS (
+  SELECT item, r, k, i AS j, array_to_string(w[i + 1 : i + k], ' ') AS s
+  FROM (SELECT item, r, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM b2)
 ),
+windows AS (SELECT DISTINCT item, k, s FROM every_window),
 sizes AS (SELECT DISTINCT k FROM windows),
 places AS (
   SELECT doc_id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS s
@@ -35,11 +36,24 @@ words AS (
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
   FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id
+),
+steps AS (
+  SELECT doc_id, r, i, k, i - j AS diagonal,
+    i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS run
+  FROM places JOIN every_window USING (k, s)
+),
+matches AS (
+  SELECT doc_id, count(*) + any_value(k) - 1 AS longest_match, min(i) AS longest_at
+  FROM steps GROUP BY doc_id, r, diagonal, run
+),
+longest AS (
+  SELECT * FROM matches
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY longest_match DESC, longest_at) = 1
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match, longest_at
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 _VALUES = {

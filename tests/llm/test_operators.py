@@ -57,7 +57,7 @@ def item_words(text):
 
 
 def hits(text, items, window=10):
-    words, hit, found = item_words(text), set(), set()
+    words, hit, found, longest = item_words(text), set(), set(), (0, None)
     for name, body in items:
         item = item_words(body)
         size = min(window, len(item))
@@ -66,7 +66,11 @@ def hits(text, items, window=10):
                 if words[j : j + size] == item[i : i + size]:
                     hit |= set(range(j, j + size))
                     found |= {str(name)} - {"None"}
-    return len(words), len(hit), ",".join(sorted(found))
+                    same = size
+                    while item[i + same : i + same + 1] == words[j + same : j + same + 1] != []:
+                        same += 1
+                    longest = max(longest, (same, j), key=lambda x: (x[0], -(x[1] or 0)))
+    return len(words), len(hit), ",".join(sorted(found)), longest
 
 
 @pytest.mark.parametrize("block", [1, 1 << 20])
@@ -80,13 +84,16 @@ def test_decontamination_against_brute_force(spark, block, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, texts)
     want = {k: hits(text, items) for k, text in enumerate(texts)}
-    assert any(n and not names for _, n, names in want.values())  # only of the item without an id
+    assert any(n and not names for _, n, names, _ in want.values())  # only of the item without an id
     scan = decontamination.scan(docs, benchmark, F.struct("doc_id"), block_words=block).collect()
     for row in scan:
         got = sum(row.found.spans[1::2]) - sum(row.found.spans[::2])
-        assert (row.found.n_words, got, ",".join(sorted({*row.found.items} - {None}))) == want[row.kept.doc_id]
+        names = ",".join(sorted({*row.found.items} - {None}))
+        assert (row.found.n_words, got, names, tuple(row.found.longest or (0, None))) == want[row.kept.doc_id]
     out = {r.doc_id: r for r in decontamination.contamination(docs, benchmark).collect()}
-    for k, (n, hit, names) in want.items():
+    assert {60, 25, 12, 3, 0} <= {longest for _, _, _, (longest, _) in want.values()}
+    for k, (n, hit, names, longest) in want.items():
+        assert (out[k].longest_match, out[k].longest_at) == longest
         assert (out[k].n_words, out[k].n_hit, out[k].contaminated) == (n, hit, hit > 0)
         assert out[k].items_sha256 == hashlib.sha256(names.encode()).hexdigest()
     kept = decontamination.decontaminated(docs, benchmark)
@@ -99,10 +106,11 @@ def test_frequent_windows_of_many_items_give_few_pairs():
     items = [(str(k), np.concatenate([f for _, _, f, _ in decontamination._read(pa.array(["the"], pa.large_string()))])) for k in range(50)]
     suffixes = decontamination.Suffixes(items, 10)
     _, _, found, rows = next(decontamination._read(text))
-    hit, pairs = decontamination.Shard(found, rows, suffixes).hits()
+    hit, pairs, _, _ = decontamination.Shard(found, rows, suffixes).hits()
     assert pairs.shape == (2, 150) and hit.sum() == 5_002
-    n_words, spans, names = decontamination._hit_rows(text, suffixes)
+    n_words, spans, names, longest = decontamination._hit_rows(text, suffixes)
     assert n_words == [5_000, 2, 0, 1] and spans == [[0, 5_000], [0, 1], [], [0, 1]]
+    assert longest == [[1, 0], [1, 0], [], [1, 0]]
     assert [len(x) for x in names] == [50, 50, 0, 50]
 
 
@@ -111,7 +119,19 @@ def test_longest_matches(spark):
     docs = documents(spark, [prose(2, 30) + " " + " ".join(item.split()[3:25]) + " zz", "", None])
     found = decontamination.longest_matches(docs, spark.createDataFrame([(5, item)], "item_id long, text string"))
     best = {(r.item_id, r.item_start): (r.length, r.doc_id, r.doc_start) for r in found.collect()}
-    assert best[("5", 3)] == (22, 0, 30)
+    assert best == {("5", 3 + k): (22 - k, 0, 30 + k) for k in range(13)}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_longest_match_of_repetitive_texts(seed, monkeypatch):
+    monkeypatch.setattr(decontamination, "STRETCH_WORDS", 30)
+    draw = random.Random(seed)
+    items = [" ".join(draw.choices("ab", k=draw.randrange(1, 25))) for _ in range(4)]
+    texts = [" ".join(draw.choices("abc", [6, 6, 1], k=draw.randrange(0, 90))) for _ in range(8)]
+    read = [(str(k), f) for k, x in enumerate(items) for _, _, f, _ in decontamination._read(pa.array([x], pa.large_string()))]
+    *_, longest = decontamination._hit_rows(pa.array(texts, pa.large_string()), decontamination.Suffixes(read, 4))
+    want = [hits(text, enumerate(items), 4)[3] for text in texts]
+    assert [tuple(x or (0, None)) for x in longest] == want
 
 
 def test_decontamination_of_nothing(spark):

@@ -690,6 +690,20 @@ def test_pipeline_stages(spark):
     ]
 
 
+def test_jump_against_a_scalar_version():
+    def plain(key, shards):
+        at, ahead = -1, 0
+        while ahead < shards:
+            at, key = ahead, (key * int(sharding.MULTIPLIER) + 1) % (1 << 64)
+            ahead = int((at + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return at
+
+    draw = random.Random(8)
+    keys = [0, 1, (1 << 64) - 1, *(draw.randrange(1 << 64) for _ in range(2_000))]
+    for shards in (1, 2, 16, 17, 1000):
+        assert sharding.jump(np.array(keys, np.uint64), shards).tolist() == [plain(key, shards) for key in keys]
+
+
 def test_let_and_shared_folder(spark):
     assert spark.range(1).select(let(F.lit(3), lambda x: x * x).alias("x")).first().x == 9
     assert shared_folder(spark) == shared_folder(spark)

@@ -406,17 +406,17 @@ def trend_year(data: Retail) -> DataFrame:
 
 @query
 def period_growth(data: Retail) -> DataFrame:
-    return sales.period_growth(sales.sales_trend(frames.period_sales(data), "month"), "month")
+    return sales.period_growth(frames.latest_trend(data, "month"), "month")
 
 
 @query
 def period_growth_quarter(data: Retail) -> DataFrame:
-    return sales.period_growth(sales.sales_trend(frames.period_sales(data), "quarter"), "quarter")
+    return sales.period_growth(frames.latest_trend(data, "quarter"), "quarter")
 
 
 @query
 def period_growth_year(data: Retail) -> DataFrame:
-    return sales.period_growth(sales.sales_trend(frames.period_sales(data), "year"), "year")
+    return sales.period_growth(frames.latest_trend(data, "year"), "year")
 
 
 @query

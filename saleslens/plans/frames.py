@@ -14,6 +14,8 @@ Only reports that list or count single sales join dimensions to fact rows.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from saleslens.functions.measures import (
 )
 from saleslens.functions.numeric import with_known
 from saleslens.functions.periods import with_period_columns, with_ship_lag
-from saleslens.operators import cube, customers, enrich, filters, shipping
+from saleslens.operators import cube, customers, enrich, filters, sales, shipping
 from saleslens.plans import lattice, pages
 from saleslens.sources import store
 from saleslens.sources.retail import Retail
@@ -84,6 +86,32 @@ def period_sales(data: Retail) -> DataFrame:
     return with_period_columns(order_sales(data))
 
 
+def sales_since(data: Retail, first: date | None) -> DataFrame:
+    """One row per order from a day on, with its periods. Only lines of these orders are priced."""
+    orders = filters.in_date_range(data.orders(), first).select("order_id", "order_date")
+    lines = data.lines().join(orders, "order_id").join(data.prices(), "product_id", "left")
+    return with_period_columns(to_grain(with_net_sales(lines), "order_id", "order_date"))
+
+
+def latest_trend(data: Retail, period: str) -> DataFrame:
+    """Sales of the last two periods that have any, and perhaps of some before them.
+
+    The dates of the orders alone name the periods, and the first day of the second last bounds the
+    scan of the orders. Where orders without lines leave fewer than two periods with sales, the range
+    grows to twice as many. The driver sees one date per period; the result is a written table.
+    """
+    start = F.trunc(F.col("order_date").cast("date"), period)
+    found = data.orders().select(start.alias("start")).filter("start IS NOT NULL").distinct().collect()
+    starts = sorted((row.start for row in found), reverse=True)
+    periods = 2
+    while True:
+        first = starts[:periods][-1] if starts else None
+        trend = store.stored(sales.sales_trend(sales_since(data, first), period))
+        if periods >= len(starts) or trend.count() >= 2:
+            return trend
+        periods *= 2
+
+
 def kept_orders(data: Retail) -> DataFrame:
     """The page's sales at order grain, as a copy in buckets of the order."""
     return pages.kept_orders(pages.sales_frame(data.shop(), dims=()))

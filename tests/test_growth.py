@@ -67,6 +67,7 @@ def test_the_range_reaches_the_scan_of_the_orders(spark):
     orders = next(line for line in plan.splitlines() if "orders.parquet" in line)
     assert "GreaterThanOrEqual(o_orderdate,1998-06-01" in orders
     assert plan.count("lineitem.parquet") == 1
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 @pytest.mark.parametrize("period", GROWTH.values())

@@ -42,7 +42,7 @@ ROW_LEVEL = {
     "exported_summary",  # reads a written report
 }
 # Growth reads a written trend of two periods; test_growth.py checks the plan that writes it.
-WRITTEN = {"period_growth", "period_growth_quarter", "period_growth_year"}
+WRITTEN = {"period_growth", "period_growth_quarter"}
 
 # Queries that count distinct keys beside sums.
 COUNTED = [

@@ -314,8 +314,8 @@ def warehouse_slice(
         headers = with_warehouse_home(headers, data)
     how = "left" if days == (None, None) else "inner"
     wide = cube.with_warehouse_product(data.warehouse_lines(), data.warehouse_products())
-    wide = cube.with_warehouse_measures(wide).join(headers, "order_id", how)
-    wide = cube.with_time_hierarchy(cube.with_margin(wide))
+    wide = wide.join(headers, "order_id", how)
+    wide = cube.with_time_hierarchy(cube.with_margin(cube.with_warehouse_measures(wide)))
     return filters.slice_cube(wide, year, quarter, month, city, category)
 
 

@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saleslens.functions.bitmaps import BITS, WORD, by_word, keys_in
+from saleslens.functions.bitmaps import BITS, WORD, bit_of, keys_in, word_of
+from saleslens.functions.numeric import exact
 from saleslens.operators import cube
 from saleslens.operators.filters import slice_cube
 from saleslens.sources.store import stored
@@ -33,6 +34,9 @@ KEPT = (
     ("calendar",),
 )
 SALES = "sales"
+#: Amounts of the cube in millionths, which each row has as whole numbers of 64 bits.
+AMOUNTS = ("revenue", "profit", "order_value")
+STREWN = "strewn"
 
 
 @dataclass(frozen=True)
@@ -141,18 +145,16 @@ def _place(path: str, axes: tuple[str, ...]) -> str:
 def build(rows: DataFrame, axes: Axes, path: str) -> Lattice:
     """Writes the cuboids of a cube's rows under ``path``; the fact behind ``rows`` is read once."""
     finest = axes.columns(KEPT[0])
-    words = stored(by_word(rows, "sale_id", *finest, **cube.sums()))
-    several = words.join(_in_several_cells(words), WORD, "left")
-    shared = F.col(BITS).bitwiseAND(F.coalesce("several", F.lit(0).cast("bigint")))
+    words = stored(_with_shared(_words(rows, finest)))
     lattice = Lattice(rows.sparkSession, path, axes)
 
     def keep(kept: tuple[str, ...], cuboid: DataFrame) -> None:
         cuboid.write.parquet(_place(path, kept))
         lattice.sizes[kept] = lattice.cuboid(kept).count()
 
-    keep((), several.withColumn(BITS, shared).filter(F.col(BITS) != 0).select(*finest, WORD, BITS))
+    keep((), words.filter(F.col("shared") != 0).select(*finest, WORD, F.col("shared").alias(BITS)))
     sums = [F.sum(name).alias(name) for name in cube.sums()]
-    alone = several.withColumn(BITS, F.col(BITS).bitwiseXOR(shared))
+    alone = words.withColumn(BITS, F.col(BITS).bitwiseXOR(F.col("shared")))
     keep(KEPT[0], alone.groupBy(*finest).agg(*sums, keys_in().alias(SALES)))
     for kept in KEPT[1:]:
         parent = lattice.cuboid(lattice.smallest(*kept))
@@ -160,16 +162,25 @@ def build(rows: DataFrame, axes: Axes, path: str) -> Lattice:
     return lattice
 
 
-def _in_several_cells(words: DataFrame) -> DataFrame:
-    """Per word the bits that several cells have; only words with such bits are taken apart."""
-    bits = F.sum(F.bit_count(BITS)), F.bit_count(F.bit_or(BITS))
-    over = words.groupBy(WORD).agg(*(n.alias(name) for n, name in zip(bits, ("all", "kinds")))).filter("all > kinds")
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))
-    each = words.join(over, WORD, "left_semi").select(
-        WORD, BITS, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place")
-    ).withColumn("one", one).filter(F.col(BITS).bitwiseAND(F.col("one")) != 0)
-    found = each.groupBy(WORD, "one").agg(F.count("*").alias("cells")).filter("cells > 1")
-    return found.groupBy(WORD).agg(F.bit_or("one").alias("several"))
+def _words(rows: DataFrame, finest: list[str]) -> DataFrame:
+    """The finest cells by word, as ``by_word`` gives them, dealt by word: what compares the cells of a word needs no
+    shuffle of its own. Amounts are dealt as plain integers and margins made afterwards, so that
+    little is moved. Rows without a sale have no word; they are dealt by their cell."""
+    narrow = rows.select("sale_id", *finest, "quantity", *(F.col(name).cast("bigint") for name in AMOUNTS))
+    strewn = F.when(F.col("sale_id").isNull(), F.hash(*finest)).alias(STREWN)
+    dealt = narrow.select("*", word_of("sale_id").alias(WORD), strewn).repartition(WORD, STREWN)
+    facts = cube.with_margin(dealt.withColumns({name: exact(F.col(name)) for name in AMOUNTS}))
+    sums = [total.alias(name) for name, total in cube.sums().items()]
+    return facts.groupBy(*finest, WORD, STREWN).agg(F.bit_or(bit_of("sale_id")).alias(BITS), *sums)
+
+
+def _with_shared(words: DataFrame) -> DataFrame:
+    """Words with the bits that other cells have too: those that a cell shares with any before it in
+    its word, put together over the word."""
+    word = Window.partitionBy(WORD, STREWN)
+    before = F.bit_or(BITS).over(word.orderBy(BITS).rowsBetween(Window.unboundedPreceding, -1))
+    met = words.withColumn("met", F.col(BITS).bitwiseAND(F.coalesce(before, F.lit(0).cast("bigint"))))
+    return met.withColumn("shared", F.col(BITS).bitwiseAND(F.bit_or("met").over(word))).drop("met", STREWN)
 
 
 def opened(spark: SparkSession, axes: Axes, path: str) -> Lattice:

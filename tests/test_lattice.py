@@ -79,6 +79,27 @@ def test_a_sale_in_several_cells_counts_once(rows, tmp_path, chosen):
     same(built.slice(**chosen).summary(), page["summary"])
 
 
+def test_bitmaps_are_of_the_sales_in_several_cells(rows, tmp_path):
+    moved = rows.filter("sale_id % 3 = 0").withColumn(lattice.SHOP.city, F.lit("City 2"))
+    unknown = rows.limit(9).withColumn("sale_id", F.lit(None).cast("bigint"))
+    mixed = rows.union(rows).union(moved).union(unknown)
+    cells = lattice.SHOP.columns(lattice.KEPT[0])
+    held = mixed.filter("sale_id IS NOT NULL").select("sale_id", *cells).distinct()
+    several = {row.sale_id for row in held.groupBy("sale_id").count().filter("count > 1").collect()}
+    built = lattice.build(mixed, lattice.SHOP, f"file://{tmp_path}")
+    found = [(row.key_word * 64 + bit) for row in built.cuboid(()).collect() for bit in range(64) if row.key_bits >> bit & 1]
+    assert several and set(found) == several
+    assert len(found) == held.filter(F.col("sale_id").isin(several)).count()
+
+
+def test_rows_are_dealt_by_word_once(rows):
+    """Cells by word and the bits they share take one shuffle, of narrow rows."""
+    finest = lattice.SHOP.columns(lattice.KEPT[0])
+    text = plan(lattice._with_shared(lattice._words(rows, finest)))
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "key_word" in line]
+    assert len(exchanges) == 1 and "REPARTITION_BY_COL" in exchanges[0]
+
+
 def test_no_bitmaps_are_kept_for_sales_in_one_cell(stored):
     assert stored.sizes[()] == 0
 

@@ -31,6 +31,9 @@ def table(build: Callable[[Retail], DataFrame]) -> Callable[[Retail], DataFrame]
     return planned
 
 
+WAREHOUSE_KEYS = {"product_id": "product_key", "staff_id": "employee_key"}
+
+
 def _whole(column: str) -> Column:
     """A count of units, which these tables have whole; a fraction is an error, not cut off."""
     stored = F.col(column)
@@ -38,6 +41,20 @@ def _whole(column: str) -> Column:
     return F.when(stored.isNull() | (F.rint(stored) == stored), stored.cast("int")).otherwise(F.raise_error(message))
 
 
+def _with_amounts(lines: DataFrame) -> DataFrame:
+    """Stored lines, joined or not, with their sale keys and amounts; other columns stay."""
+    net = F.col("gross_amount") * (1 - F.col("discount"))
+    own = ("order_id", "product_id", "staff_id", "quantity", "discount", "shipped_date", "gross_amount")
+    return lines.select(
+        (F.col("order_id") * 10 + F.col("line_number")).alias("sale_id"),
+        *own,
+        net.alias("net_amount"),
+        (net * F.col("tax")).alias("taxes"),
+        F.lit(None).cast("double").alias("shipping_fee"),
+        *(name for name in lines.columns if name not in (*own, "line_number", "tax")),
+    )
+
+
 class Retail:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -50,9 +67,14 @@ class Retail:
     @table
     def lines(self) -> DataFrame:
         """Sales without what the order or the part know about them."""
-        net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-        lines = self._table("lineitem").select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sale_id"),
+        return with_line_count(_with_amounts(self.stored_lines()))
+
+    @table
+    def stored_lines(self) -> DataFrame:
+        """Sales as the lines are stored, before ``_with_amounts``: rates and line numbers take less
+        room in a shuffle than the amounts and the sale keys made of them."""
+        return self._table("lineitem").select(
+            F.col("l_linenumber").alias("line_number"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("staff_id"),
@@ -60,11 +82,8 @@ class Retail:
             F.col("l_discount").alias("discount"),
             F.col("l_shipdate").alias("shipped_date"),
             F.col("l_extendedprice").alias("gross_amount"),
-            net.alias("net_amount"),
-            (net * F.col("l_tax")).alias("taxes"),
-            F.lit(None).cast("double").alias("shipping_fee"),
+            F.col("l_tax").alias("tax"),
         )
-        return with_line_count(lines)
 
     @table
     def orders(self) -> DataFrame:
@@ -188,10 +207,10 @@ class Retail:
     def shop(self) -> dict[str, DataFrame]:
         """The bike-shop star as tables of their own, as ``load_shop`` gives them."""
         sellers = self.staffs().select("staff_id", "store_id")
-        fact = self.lines().join(self.prices(), "product_id", "left")
+        fact = self.stored_lines().join(self.prices(), "product_id", "left")
         fact = fact.join(sellers, "staff_id", "left").join(self.orders(), "order_id", "left")
         return {
-            "fact_sales": fact.drop("line_count"),
+            "fact_sales": _with_amounts(fact),
             "dim_date": self.dates(),
             "dim_customers": self.customers(),
             "dim_staffs": self.staffs(),
@@ -229,8 +248,9 @@ class Retail:
             F.col("state").alias("city"),
             "country_region",
         )
+        fact = with_line_count(_with_amounts(self.stored_lines().join(self.warehouse_orders(), "order_id", "left")))
         return {
-            "fact_sales": self.warehouse_lines().join(self.warehouse_orders(), "order_id", "left"),
+            "fact_sales": fact.withColumnsRenamed(WAREHOUSE_KEYS),
             "dim_date": self.dates(),
             "dim_customers": customers,
             "dim_employees": employees,
@@ -241,9 +261,7 @@ class Retail:
 
     @table
     def warehouse_lines(self) -> DataFrame:
-        return self.lines().withColumnsRenamed(
-            {"product_id": "product_key", "staff_id": "employee_key"}
-        )
+        return self.lines().withColumnsRenamed(WAREHOUSE_KEYS)
 
     @table
     def warehouse_orders(self) -> DataFrame:

@@ -265,3 +265,11 @@ def test_page_tables_join_only_what_they_read(spark):
     assert joined(chosen["kpi"]) == 1
     people = pages.customer_report(tables)
     assert joined(people["kpi"]) == 0 and joined(people["repeat_by_state"]) == 1
+
+
+@pytest.mark.parametrize("name", ["star_of_tables", "cube_a_of_tables", "cube_b_of_tables"])
+def test_amounts_and_sale_keys_are_made_after_the_joins_of_a_loaded_fact(plans, name):
+    lines = plans[name].splitlines()
+    made = [at for at, line in enumerate(lines) if "AS sale_id#" in line]
+    orders = [at for at, line in enumerate(lines) if "SortMergeJoin [order_id#" in line]
+    assert len(made) == 1 and made[0] < orders[0]

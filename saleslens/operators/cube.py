@@ -67,9 +67,9 @@ SHOP_STORE = (
 
 
 def with_calendar(fact: DataFrame, dates: DataFrame, key: str) -> DataFrame:
-    """Calendar columns of the day in ``key``. Spark sends the calendar to every task if it is as
-    small as calendars are; a larger one is joined like any other table."""
-    return attach(fact, suffixed(dates, "_date"), key, "date_key_date")
+    """Calendar columns of the day in ``key``. A calendar has a row per day however many the sales
+    are, so it is sent to every task and no sale is moved for it."""
+    return attach(fact, F.broadcast(suffixed(dates, "_date")), key, "date_key_date")
 
 
 def _part(dim: DataFrame, columns: tuple[str, ...], suffix: str) -> DataFrame:
@@ -96,11 +96,15 @@ def with_warehouse_measures(cube: DataFrame) -> DataFrame:
 
 
 def warehouse_cube(fact: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Fact with its calendar, customer, employee and product, measures and time keys."""
-    wide = with_calendar(fact, tables["dim_date"], "order_date_key")
-    wide = with_warehouse_customer(wide, tables["dim_customers"])
+    """Fact with its calendar, customer, employee and product, measures and time keys.
+
+    Every join moves what the joins before it have added: the widest comes last, and after it the
+    calendar, which moves nothing.
+    """
+    wide = with_warehouse_product(fact, tables["dim_products"])
     wide = with_warehouse_employee(wide, tables["dim_employees"])
-    wide = with_warehouse_product(wide, tables["dim_products"])
+    wide = with_warehouse_customer(wide, tables["dim_customers"])
+    wide = with_calendar(wide, tables["dim_date"], "order_date_key")
     return with_time_hierarchy(with_margin(with_warehouse_measures(wide)))
 
 
@@ -138,16 +142,16 @@ def with_shop_measures(cube: DataFrame) -> DataFrame:
 
 
 def shop_cube(fact: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Fact with calendar, customer, staff, product, brand, category and store."""
-    day = fact.withColumn("order_day", F.col("order_date").cast("date"))
-    wide = with_calendar(day, tables["dim_date"], "order_day").drop("order_day")
-    wide = with_shop_customer(wide, tables["dim_customers"])
-    wide = with_shop_staff(wide, tables["dim_staffs"])
+    """Fact with calendar, customer, staff, product, brand, category and store, the widest last."""
     product_part = shop_product(
         tables["dim_products"], tables["dim_brands"], tables["dim_categories"]
     )
+    day = fact.withColumn("order_day", F.col("order_date").cast("date"))
+    wide = with_shop_staff(day, tables["dim_staffs"])
     wide = with_shop_product(wide, product_part)
+    wide = with_shop_customer(wide, tables["dim_customers"])
     wide = with_shop_store(wide, tables["dim_stores"])
+    wide = with_calendar(wide, tables["dim_date"], "order_day").drop("order_day")
     return with_time_hierarchy(with_margin(with_shop_measures(wide)))
 
 

@@ -267,6 +267,16 @@ def test_page_tables_join_only_what_they_read(spark):
     assert joined(people["kpi"]) == 0 and joined(people["repeat_by_state"]) == 1
 
 
+@pytest.mark.parametrize("name", ["cube_a_of_tables", "cube_b_of_tables"])
+def test_a_loaded_cube_moves_no_sale_for_its_calendar(plans, name):
+    """The calendar comes last, by broadcast, and the widest dimension just before it."""
+    joins = [line for line in plans[name].splitlines() if re.search(r"HashJoin|SortMergeJoin", line)]
+    assert "BroadcastHashJoin" in joins[0] and "date_key_date" in joins[0]
+    assert not re.search(r"hashpartitioning\((order_date_key|order_day)", plans[name])
+    facts = [line for line in joins if re.search(r"\[(customer|product|staff|employee)_(id|key)#", line)]
+    assert "customer" in facts[0]
+
+
 @pytest.mark.parametrize("name", ["star_of_tables", "cube_a_of_tables", "cube_b_of_tables"])
 def test_amounts_and_sale_keys_are_made_after_the_joins_of_a_loaded_fact(plans, name):
     lines = plans[name].splitlines()

@@ -33,7 +33,7 @@ from saleslens.functions.periods import with_period_columns, with_ship_lag
 from saleslens.operators import cube, customers, enrich, filters, sales, shipping
 from saleslens.plans import lattice, pages
 from saleslens.sources import store
-from saleslens.sources.retail import Retail
+from saleslens.sources.retail import Retail, with_amounts
 
 
 # A dimension made of two tables is joined one table at a time, never joined up first: Spark sizes
@@ -326,9 +326,29 @@ def warehouse_places(data: Retail) -> DataFrame:
     return warehouse_costed(data).join(cities, "order_id", "left")
 
 
+def warehouse_sales(data: Retail) -> DataFrame:
+    """The rows of the cube as the join with their orders leaves them: dealt by order and, without
+    one, strewn. Lines are moved as they are stored and amounts made of them afterwards."""
+    sold = F.col("order_id").isNotNull()
+    lines = data.stored_lines()
+    strewn = F.when(sold, 0).otherwise(F.hash("line_number", "product_id", "staff_id", "shipped_date", "gross_amount"))
+    lines = lines.withColumn(lattice.STREWN, strewn).withColumnRenamed("product_id", "product_key")
+    lines = cube.with_warehouse_product(lines, data.warehouse_products())
+    headers = cube.with_calendar(data.warehouse_orders(), data.dates(), "order_date_key")
+    headers = with_warehouse_home(headers, data).withColumn(lattice.STREWN, F.when(sold, 0))
+    wide = lines.withColumnRenamed("product_key", "product_id").join(headers, ["order_id", lattice.STREWN], "left")
+    return cube.with_warehouse_measures(with_amounts(wide))
+
+
 def warehouse_lattice(data: Retail) -> lattice.Lattice:
-    """The cube's cuboids, written to the shared folder."""
-    return lattice.build(warehouse_slice(data), lattice.WAREHOUSE, store.new_path(data.spark))
+    """The cube's cuboids, written to the shared folder.
+
+    With line numbers of one digit the rows of a sale have their order in common, and stay where the
+    join with the orders has put them; others are dealt by word.
+    """
+    beyond = data.stored_lines().filter(~F.col("line_number").between(0, 9))
+    dealt = ("order_id", lattice.STREWN) if beyond.isEmpty() else ()
+    return lattice.build(warehouse_sales(data), lattice.WAREHOUSE, store.new_path(data.spark), dealt)
 
 
 # Cube over the bike shop.

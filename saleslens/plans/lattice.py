@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saleslens.functions.bitmaps import BITS, WORD, bit_of, keys_in, word_of
+from saleslens.functions.bitmaps import BITS, WORD, bit_of, word_of
 from saleslens.functions.numeric import exact
 from saleslens.operators import cube
 from saleslens.operators.filters import slice_cube
@@ -142,45 +142,72 @@ def _place(path: str, axes: tuple[str, ...]) -> str:
     return f"{path}/cuboid={'-'.join(axes)}"
 
 
-def build(rows: DataFrame, axes: Axes, path: str) -> Lattice:
-    """Writes the cuboids of a cube's rows under ``path``; the fact behind ``rows`` is read once."""
+def build(rows: DataFrame, axes: Axes, path: str, dealt: tuple[str, ...] = ()) -> Lattice:
+    """Writes the cuboids of a cube's rows under ``path``; the fact behind ``rows`` is read once.
+
+    ``dealt`` names columns that all rows of a sale have in common and that the rows are dealt by
+    already, as a join by them leaves them. Without any, the rows are dealt by the word of their sale.
+    """
     finest = axes.columns(KEPT[0])
-    words = stored(_with_shared(_words(rows, finest)))
+    words = _with_margins(stored(_narrow(_with_shared(_words(rows, finest, dealt), dealt), finest), compression="zstd"))
     lattice = Lattice(rows.sparkSession, path, axes)
 
     def keep(kept: tuple[str, ...], cuboid: DataFrame) -> None:
         cuboid.write.parquet(_place(path, kept))
         lattice.sizes[kept] = lattice.cuboid(kept).count()
 
-    keep((), words.filter(F.col("shared") != 0).select(*finest, WORD, F.col("shared").alias(BITS)))
+    keep((), words.filter(F.col(BITS).isNotNull()).select(*finest, WORD, BITS))
     sums = [F.sum(name).alias(name) for name in cube.sums()]
-    alone = words.withColumn(BITS, F.col(BITS).bitwiseXOR(F.col("shared")))
-    keep(KEPT[0], alone.groupBy(*finest).agg(*sums, keys_in().alias(SALES)))
+    keep(KEPT[0], words.groupBy(*finest).agg(*sums, F.sum(SALES).alias(SALES)))
     for kept in KEPT[1:]:
         parent = lattice.cuboid(lattice.smallest(*kept))
         keep(kept, parent.groupBy(*axes.columns(kept)).agg(*sums, F.sum(SALES).alias(SALES)))
     return lattice
 
 
-def _words(rows: DataFrame, finest: list[str]) -> DataFrame:
-    """The finest cells by word, as ``by_word`` gives them, dealt by word: what compares the cells of a word needs no
-    shuffle of its own. Amounts are dealt as plain integers and margins made afterwards, so that
-    little is moved. Rows without a sale have no word; they are dealt by their cell."""
-    narrow = rows.select("sale_id", *finest, "quantity", *(F.col(name).cast("bigint") for name in AMOUNTS))
-    strewn = F.when(F.col("sale_id").isNull(), F.hash(*finest)).alias(STREWN)
-    dealt = narrow.select("*", word_of("sale_id").alias(WORD), strewn).repartition(WORD, STREWN)
-    facts = cube.with_margin(dealt.withColumns({name: exact(F.col(name)) for name in AMOUNTS}))
+def _words(rows: DataFrame, finest: list[str], dealt: tuple[str, ...] = ()) -> DataFrame:
+    """The finest cells by word, as ``by_word`` gives them, dealt by word or by what the rows are dealt
+    by already: what compares the cells of a word needs no shuffle of its own. Amounts are dealt as
+    plain integers and margins made afterwards, so that little is moved. Rows without a sale have no
+    word; they are dealt by their cell."""
+    amounts = [F.col(name).cast("bigint") for name in AMOUNTS]
+    narrow = rows.select("sale_id", *dealt, *finest, "quantity", *amounts).withColumn(WORD, word_of("sale_id"))
+    if not dealt:
+        strewn = F.when(F.col("sale_id").isNull(), F.hash(*finest))
+        narrow = narrow.withColumn(STREWN, strewn).repartition(WORD, STREWN)
+    facts = cube.with_margin(narrow.withColumns({name: exact(F.col(name)) for name in AMOUNTS}))
     sums = [total.alias(name) for name, total in cube.sums().items()]
-    return facts.groupBy(*finest, WORD, STREWN).agg(F.bit_or(bit_of("sale_id")).alias(BITS), *sums)
+    return facts.groupBy(*finest, WORD, *(dealt or (STREWN,))).agg(F.bit_or(bit_of("sale_id")).alias(BITS), *sums)
 
 
-def _with_shared(words: DataFrame) -> DataFrame:
+def _with_shared(words: DataFrame, dealt: tuple[str, ...] = ()) -> DataFrame:
     """Words with the bits that other cells have too: those that a cell shares with any before it in
     its word, put together over the word."""
-    word = Window.partitionBy(WORD, STREWN)
+    by = dealt or (STREWN,)
+    word = Window.partitionBy(*by, WORD)
     before = F.bit_or(BITS).over(word.orderBy(BITS).rowsBetween(Window.unboundedPreceding, -1))
     met = words.withColumn("met", F.col(BITS).bitwiseAND(F.coalesce(before, F.lit(0).cast("bigint"))))
-    return met.withColumn("shared", F.col(BITS).bitwiseAND(F.bit_or("met").over(word))).drop("met", STREWN)
+    return met.withColumn("shared", F.col(BITS).bitwiseAND(F.bit_or("met").over(word))).drop("met", *by)
+
+
+def _narrow(words: DataFrame, finest: list[str]) -> DataFrame:
+    """What the cuboids are made of: sums and numbers of the sales in one cell; the word and its
+    bits only where a cell shares some, the margin only where it is of several rows."""
+    alone = F.coalesce(F.bit_count(F.col(BITS).bitwiseXOR(F.col("shared"))), F.lit(0)).cast("bigint")
+    shares = F.col("shared") != 0
+    kept = words.withColumns({
+        SALES: alone,
+        WORD: F.when(shares, F.col(WORD)),
+        BITS: F.when(shares, F.col("shared")),
+        "margin": F.when(F.col("margins") > 1, F.col("margin")),
+    })
+    return kept.select(*finest, *cube.sums(), SALES, WORD, BITS)
+
+
+def _with_margins(words: DataFrame) -> DataFrame:
+    """Words as ``_narrow`` leaves them, with the margins of single rows, which their sums give."""
+    single = F.when(F.col("margins") == 1, F.col("profit_margin")).otherwise(F.col("margin"))
+    return cube.with_margin(words).withColumn("margin", single).drop("profit_margin")
 
 
 def opened(spark: SparkSession, axes: Axes, path: str) -> Lattice:

@@ -41,7 +41,7 @@ def _whole(column: str) -> Column:
     return F.when(stored.isNull() | (F.rint(stored) == stored), stored.cast("int")).otherwise(F.raise_error(message))
 
 
-def _with_amounts(lines: DataFrame) -> DataFrame:
+def with_amounts(lines: DataFrame) -> DataFrame:
     """Stored lines, joined or not, with their sale keys and amounts; other columns stay."""
     net = F.col("gross_amount") * (1 - F.col("discount"))
     own = ("order_id", "product_id", "staff_id", "quantity", "discount", "shipped_date", "gross_amount")
@@ -67,11 +67,11 @@ class Retail:
     @table
     def lines(self) -> DataFrame:
         """Sales without what the order or the part know about them."""
-        return with_line_count(_with_amounts(self.stored_lines()))
+        return with_line_count(with_amounts(self.stored_lines()))
 
     @table
     def stored_lines(self) -> DataFrame:
-        """Sales as the lines are stored, before ``_with_amounts``: rates and line numbers take less
+        """Sales as the lines are stored, before ``with_amounts``: rates and line numbers take less
         room in a shuffle than the amounts and the sale keys made of them."""
         return self._table("lineitem").select(
             F.col("l_linenumber").alias("line_number"),
@@ -210,7 +210,7 @@ class Retail:
         fact = self.stored_lines().join(self.prices(), "product_id", "left")
         fact = fact.join(sellers, "staff_id", "left").join(self.orders(), "order_id", "left")
         return {
-            "fact_sales": _with_amounts(fact),
+            "fact_sales": with_amounts(fact),
             "dim_date": self.dates(),
             "dim_customers": self.customers(),
             "dim_staffs": self.staffs(),
@@ -248,7 +248,7 @@ class Retail:
             F.col("state").alias("city"),
             "country_region",
         )
-        fact = with_line_count(_with_amounts(self.stored_lines().join(self.warehouse_orders(), "order_id", "left")))
+        fact = with_line_count(with_amounts(self.stored_lines().join(self.warehouse_orders(), "order_id", "left")))
         return {
             "fact_sales": fact.withColumnsRenamed(WAREHOUSE_KEYS),
             "dim_date": self.dates(),

@@ -7,6 +7,8 @@ of its own, a unit costs its list price, and the order value is the net amount.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,16 +97,22 @@ def with_warehouse_measures(cube: DataFrame) -> DataFrame:
     return with_cube_amounts(cube, "standard_cost_product", "shipping_fee", "taxes")
 
 
-def warehouse_cube(fact: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def warehouse_cube(
+    fact: DataFrame,
+    tables: dict[str, DataFrame],
+    charged: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Fact with its calendar, customer, employee and product, measures and time keys.
 
     Every join moves what the joins before it have added: the widest comes last, and after it the
-    calendar, which moves nothing.
+    calendar, which moves nothing. ``charged`` makes amounts of the fact anew from its other columns;
+    they are then made after the joins and not moved.
     """
     wide = with_warehouse_product(fact, tables["dim_products"])
     wide = with_warehouse_employee(wide, tables["dim_employees"])
     wide = with_warehouse_customer(wide, tables["dim_customers"])
     wide = with_calendar(wide, tables["dim_date"], "order_date_key")
+    wide = charged(wide) if charged else wide
     return with_time_hierarchy(with_margin(with_warehouse_measures(wide)))
 
 

@@ -283,3 +283,17 @@ def test_amounts_and_sale_keys_are_made_after_the_joins_of_a_loaded_fact(plans,
     made = [at for at, line in enumerate(lines) if "AS sale_id#" in line]
     orders = [at for at, line in enumerate(lines) if "SortMergeJoin [order_id#" in line]
     assert len(made) == 1 and made[0] < orders[0]
+
+
+def test_a_loaded_cube_moves_rates_and_makes_charges_after_its_joins(plans):
+    lines = plans["cube_b_of_tables"].splitlines()
+    last = next(at for at, line in enumerate(lines) if "SortMergeJoin [customer_key#" in line)
+    assert not any(re.search(r"(net_amount|taxes)#", line) for line in lines[last:])
+    assert any("discount#" in line and "tax#" in line for line in lines[last:])
+
+
+def test_a_loaded_cube_moves_no_sale_for_employees_of_a_size_to_broadcast(spark):
+    """Only stored employees have a size by which Spark can tell."""
+    plan = CATALOG["cube_b_of_tables"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [employee_key#" in plan
+    assert not re.search(r"hashpartitioning\(employee_key", plan)
